@@ -12,7 +12,7 @@ A sequence's id is made of the task's partition and a counter, the same whenever
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -29,32 +29,65 @@ SHARD_DOCS = 2048
 SHARD_IDS = 4_000_000
 QUERY_TERMS = 24
 LEAST_TAIL = 64
-CACHE_WORDS = 200_000
+#: Chunks kept with their ids, about 200 bytes each.
+CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of texts. White space parts what the tokenizer sees, so chunks between it are encoded once and kept."""
+    """Ids of texts. White space parts what the tokenizer sees, so chunks between it are encoded once and kept.
+
+    A-Z is lower-cased beforehand, as the tokenizer does, save where that could change what it sees: before combining
+    marks (lead bytes CC and CD), which compose with some capitals only, and in the names of special tokens.
+    """
+
+    SPLIT = "<|endoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.parting = self.tokenizer.token_to_id(self.SPLIT)
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Chunks are joined by a special token, which the tokenizer parts on before anything else, and cut there again."""
+        ended = [w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalnum()]
+        bare = {w[:-1] for w in ended}
+        plain = [w for w in {*new, *bare, b",", b"."}.difference(ended, self.known) if b"<|" not in w]
+        for i in range(0, len(plain), 256):
+            some = plain[i : i + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.SPLIT.join([w.decode() for w in some])], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = [-1, *np.flatnonzero(ids == self.parting).tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[4 * a + 4 : 4 * z] for a, z in zip(cuts, cuts[1:])], strict=True))
+        for w in {*new, *bare}.difference(ended):
+            if b"<|" in w:
+                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+        for w in ended:  # a mark after an ASCII letter or digit is a piece of its own
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [re.findall(r"[^ \n\t\r]+", t) for t in texts]
+        parts = []
+        for t in texts:
+            raw = t.encode()
+            parts.append((raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split())
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for p in parts for w in p} - self.known.keys())
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        new = set().union(*parts) - self.known.keys()
+        if new:
+            self.learn(list(new))
         get = self.known.__getitem__
         end = np.array([END_ID], np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(get, p)) + end, np.uint32) for p in parts]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it has learned serves later tasks too."""
+    return Encoder(path)
+
+
 class Index:
     """Inverted BM25 index of a shard; used documents are passed over."""
 
@@ -155,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encode, sequence = Encoder(path), TaskContext.get().partitionId() << 36
+        encode, sequence = encoder(path), TaskContext.get().partitionId() << 36
         names, ids, size = [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from gatelens.llm.decontam import op5_decontamination
+from gatelens.llm.jaccard import op6_jaccard_join
 from gatelens.llm.langid import op2_languages
+from gatelens.llm.linededup import OP3_SQL, op3_line_dedup
 from gatelens.llm.nbsvm import op10_quality
 from gatelens.llm.packing import op8_packing
+from gatelens.llm.rptree import op7_vector_dedup
+from gatelens.llm.secrets import op1_secret_scan
+from gatelens.llm.urlfilter import OP4_SQL, op4_url_filter
+from gatelens.llm.warc import op9_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_languages, op5_decontamination, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_languages, op3_line_dedup, op4_url_filter, op5_decontamination, op6_jaccard_join, op7_vector_dedup, op8_packing, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; the others are held against brute force in the tests."""
+    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL}
