@@ -33,14 +33,12 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder; later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def keep(df: DataFrame, what: str = "step") -> DataFrame:
+    """Write as a Parquet table in the shared folder and read it back.
 
-
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """Like cut(), as a Parquet table: columns are read back one by one."""
+    This cuts the lineage, survives the loss of any executor, and gives the planner true sizes; sizes guessed over a
+    loop's joins would grow without bound.
+    """
     path = scratch_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -150,14 +148,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     A round takes the least label of the neighbours and then the label of that label, so long chains shorten
     geometrically; the labels are written to the shared folder after each round.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    both = keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
+    labels = keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
         hooked = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(hooked.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
+        new = keep(hooked.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         changed = not new.where("was <> root").isEmpty()
         labels = new.select("node", "root")
         if not changed:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import BLACK, LOWER, components, cut, hash_windows, hash_words, keep, mix, slices, table, utf8, words
+from gatelens.llm.common import BLACK, LOWER, components, hash_windows, hash_words, keep, mix, slices, table, utf8, words
 
 WORDS = 5
 PERCENT = 80
@@ -194,7 +194,7 @@ def join_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = trie_join([np.frombuffer(raw[i], np.uint64) for i in single], probe, label[single], percent) if len(single) > 1 else []
         return pa.table({"a": pa.array([int(cid[single[i]]) for i, _ in links], pa.int64()), "b": pa.array([int(cid[single[j]]) for _, j in links], pa.int64())})
 
-    return cut(units.join(sets, "cid").groupBy("u1", "u2", "u3").applyInArrow(run, "a long, b long"))
+    return keep(units.join(sets, "cid").groupBy("u1", "u2", "u3").applyInArrow(run, "a long, b long"))
 
 
 def class_components(docs: DataFrame, kept: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -202,11 +202,11 @@ def class_components(docs: DataFrame, kept: DataFrame, size: int, percent: int)
     classes = kept.where("n > 0").dropDuplicates(["cid"]).select("cid", "n", "prefix")
     tokens = classes.select("cid", F.explode("prefix").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("cid").alias("pivot")).where("c > 1").select("tok", "pivot")
-    edges = cut(tokens.join(shared, "tok").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
+    edges = keep(tokens.join(shared, "tok").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
     if edges.isEmpty():
         return None
     groups = components(edges).select(F.col("node").alias("cid"), F.col("root").alias("u1"))
-    groups = cut(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1"))
+    groups = keep(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1"))
     # a text of each candidate class, and its set again
     lead = kept.join(groups.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id")).alias("d")).select(F.col("d.doc_id").alias("doc_id")).distinct()
 
@@ -223,13 +223,13 @@ def class_components(docs: DataFrame, kept: DataFrame, size: int, percent: int)
     dealt = [groups.where(f"c > {BLOCK}").select("u1", F.lit(salt).alias("u2"), part(salt, blocks(F.col("c"))).alias("u3"), "cid", "c") for salt in (0, 1)]
     units = whole.unionByName(dealt[0]).unionByName(dealt[1]).select("u1", "u2", "u3", "cid", F.lit(True).alias("probe"), F.col("cid").alias("label"))
     links = join_units(units, sets, percent)
-    large = cut(groups.where(f"c > {BLOCK}"))
+    large = keep(groups.where(f"c > {BLOCK}"))
     if not large.isEmpty():
         labels = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = cut(large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"))
+        now = keep(large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"))
         counts = now.groupBy("u1", "label").agg(F.count("*").alias("m"))
         major = counts.groupBy("u1").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).select("u1", F.col("top.label").alias("major"), (F.col("all") - F.col("top.m")).alias("others")).where("others > 0")
-        left = cut(now.join(major, "u1"))
+        left = keep(now.join(major, "u1"))
         rest = left.where("label <> major")
         fan = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
         ours = rest.select("u1", part(2, blocks(F.col("others"))).alias("u2"), fan(F.col("c")).alias("u3"), "cid", F.lit(True).alias("probe"), "label")
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         least = rooted.groupBy("root").agg(F.min("lead").alias("component"))
         firsts = rooted.join(least, "root").select("cid", F.col("component").alias("lead"))
     # classes with one row keep their own id, so only the others' rows meet, and a large class is split by the join
-    named = rows.join(cut(firsts), "cid", "left")
+    named = rows.join(keep(firsts), "cid", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

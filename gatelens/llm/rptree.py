@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import components, cut, keep, table
+from gatelens.llm.common import components, keep, table
 
 COSINE = 0.95
 TREES = 4
@@ -189,7 +189,7 @@ def class_links(classes: DataFrame, cosine: float, trees: int) -> tuple[DataFram
             "n": pa.array(np.concatenate([count[some], np.zeros(len(joined))]).astype(np.int64)),
         })
 
-    found = cut(classes.mapInArrow(dealt(split), schema).groupBy("code", "i", "j").applyInArrow(leaf, "a long, b long, n long"))
+    found = keep(classes.mapInArrow(dealt(split), schema).groupBy("code", "i", "j").applyInArrow(leaf, "a long, b long, n long"))
     return found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
 
 
@@ -220,7 +220,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES)
         named = rooted.join(least, "root").join(counts, "cid", "left").select("cid", "mult", F.col("component").alias("lead"), "n")
     else:
         named = named.withColumn("n", F.lit(0).cast("long"))
-    out = light.join(cut(named), "cid", "left").select("vec_id", F.coalesce(F.col("mult") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("lead", "vec_id").alias("component_id"))
+    out = light.join(keep(named), "cid", "left").select("vec_id", F.coalesce(F.col("mult") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("lead", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
