@@ -1,29 +1,34 @@
 """N-gram Jaccard join by tries: near-duplicate documents and their components.
 
-A document's set holds hashes of its distinct word shingles. Documents with equal sets are one class. A class's
-shingles stand in one global order, rare ones first: a bounded list of the most frequent shingles goes last, by
-frequency, all others go by hash. The order decides how much work there is, never the result. Two sets that reach the
-similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, so classes that share none of those can't
-link. Classes joined by such shingles form candidate groups, and each class's set is sent to its group once.
-
-In a task a group's sets are stored as a trie in a common order, sets with a common beginning next to each other. A
-probe walks it and carries the overlap of every common beginning over to all sets below; a subtree goes when overlap
-plus what can still follow is too little. Pairs that are connected already are passed over, so many copies of one text
-cost one link each. Groups over ``BLOCK`` classes are first joined in random blocks, twice; then only classes outside
-the group's largest component are compared with all of its classes, in pairs of blocks. No pair is left out, no group
-comes into one task, and nothing but the list of frequent shingles, bounded by ``FREQUENT``, is collected.
+A document's set holds hashes of its distinct word shingles; documents with equal sets are one class. Two sets that
+reach the similarity share at least that percentage of the shingles of each, so a class can link only if as many of
+its shingles are repeated anywhere. Repeats are found exactly: blocks of documents send their sorted shingles, packed
+into a few bytes each, to ranges of the hash space, and each range returns counts per document. What passes, copies
+and near copies, is counted once more class by class.
+
+The classes left have their shingles in one global order, rare ones first, and sets that reach the similarity share
+one of the first ``n - ceil(0.8 n) + 1`` of each. Classes joined by such shingles form candidate groups, and each
+class's set is sent to its group once. In a task a group's sets are stored as a trie in a common order, sets with a
+common beginning next to each other. A probe walks it and carries the overlap of every common beginning over to all
+sets below; a subtree goes when overlap plus what can still follow is too little. Pairs that are connected already
+are passed over, so many copies of one text cost one link each. Groups over ``BLOCK`` classes are first joined in
+random blocks, twice; then only classes outside the group's largest component are compared with all of its classes, in
+pairs of blocks. No pair is left out, no group comes into one task, and nothing is collected.
 
 Rows: texts without words, null ones included, have an empty set and link with nothing. Rows that repeat a doc_id
 are separate rows that share it. Ids of components are the smallest doc_id, nulls last. Other columns are passed on by
-``keep_one``. Shingles and sets are compared by 64-bit hashes.
+``keep_one``. Sets are compared by 64-bit hashes of shingles; repeats are counted by at least 48 bits of them, where a
+false match only lets a class pass to the exact steps.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +36,8 @@ from gatelens.llm.common import BLACK, LOWER, components, hash_windows, hash_wor
 
 WORDS = 5
 PERCENT = 80
-FREQUENT = 1 << 18
-#: A shingle is counted as frequent where it is in so many texts of a block of so many shingles.
-LEAST_LOCAL, LOCAL_SHINGLES = 4, 4_000_000
+#: Shingles and documents in a block that is packed at once; shingles aimed at for a range of the hash space.
+PACK_SHINGLES, PACK_DOCS, RANGE_SHINGLES = 2_000_000, 60_000, 2_000_000
 BLOCK = 192
 
 
@@ -59,56 +63,83 @@ def set_id(s: np.ndarray) -> int:
     return int((total[0] ^ (total[1] << np.uint64(1) | total[1] >> np.uint64(63))).view(np.int64))
 
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and ranks by count of the most frequent shingles of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= LEAST_LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], names=["h", "n"])
-
-        for batch in slices(batches):
-            for s in shingle_sets(batch, size):
-                held.append(s)
-                n += len(s)
-            if n > LOCAL_SHINGLES:
-                yield from flush()
-                held, n = [], 0
-        if held:
-            yield from flush()
-
-    top = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by_hash = np.argsort(h)
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, n))] = np.arange(len(h))
-    return h[by_hash], rank[by_hash]
-
-
-def ordered(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    if not len(often):
-        return s
-    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-    last = often[at] == s
-    return np.concatenate([s[~last], s[last][np.argsort(rank[at[last]])]])
-
-
-def set_prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, cid, n, prefix) of every row."""
-    often, rank = frequent(docs, size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(batch, size)
-            prefix = [ordered(s, often, rank)[: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            off = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat], names=["doc_id", "cid", "n", "prefix"])
-
-    return keep(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid long, n long, prefix array<long>"), "prefixes")
+def packed(sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """(range, bytes) of a block: 6 bytes of each shingle beyond the range's bits, in order, then 2 of its set's number."""
+    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    own = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    order = np.argsort(h)
+    h, own = h[order], own[order]
+    bounds = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+    low = np.ascontiguousarray(((h << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+    for r, (a, z) in enumerate(zip([0, *bounds.tolist()], [*bounds.tolist(), len(h)], strict=True)):
+        if z > a:
+            yield r, low[a:z].tobytes() + own[a:z].tobytes()
+
+
+def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
+    """(id, cid, n, rep) of every row: how many of a set's n shingles are in another set too. sets_of: batch -> ids, sets."""
+    ranges = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_SHINGLES)
+    bits = min(16, (ranges - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        sets, number, meta, n = [], {}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            parts, blobs = map(list, zip(*packed(sets, bits), strict=True)) if sets else ([], [])
+            parts.append((1 << bits) + block % (1 << bits))
+            blobs.append(pickle.dumps(meta))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "blob"])
+
+        for batch in slices(batches, column):
+            ids, found = sets_of(batch)
+            for i, s in zip(ids.to_pylist(), found, strict=True):
+                cid = set_id(s)
+                if len(s) and cid not in number:
+                    number[cid] = len(sets)
+                    sets.append(s)
+                    n += len(s)
+                meta.append((i, cid, len(s), number.get(cid, -1)))
+            if n > PACK_SHINGLES or len(sets) > PACK_DOCS - 10_000 or len(meta) > 4 * PACK_DOCS:
+                yield flush()
+                block += 1
+                sets, number, meta, n = [], {}, [], 0
+        if meta:
+            yield flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() >= 1 << bits:
+            return pa.table({"block": group.column("block"), "meta": pa.array([True] * len(group)), "blob": group.column("blob")})
+        blobs = group.column("blob").to_pylist()
+        sizes = [len(b) // 8 for b in blobs]
+        low = np.zeros((sum(sizes), 8), np.uint8)
+        np.concatenate([np.frombuffer(b, np.uint8, 6 * n).reshape(-1, 6) for b, n in zip(blobs, sizes, strict=True)], out=low[:, :6])
+        low = low.view(np.uint64).ravel()
+        order = np.argsort(low)
+        same = low[order][1:] == low[order][:-1]
+        again = np.zeros(len(low), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        out, at = [], 0
+        for b, n in zip(blobs, sizes, strict=True):
+            own = np.frombuffer(b, np.uint16, n, 6 * n)
+            out.append(np.bincount(own[again[at : at + n]]).astype(np.uint32).tobytes())
+            at += n
+        return pa.table({"block": group.column("block"), "meta": pa.array([False] * len(out)), "blob": pa.array(out, pa.binary())})
+
+    def total_up(group: pa.Table) -> pa.Table:
+        rep, meta = np.zeros(PACK_DOCS, np.int64), []
+        for is_meta, blob in zip(group.column("meta").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            if is_meta:
+                meta = pickle.loads(blob)
+            else:
+                c = np.frombuffer(blob, np.uint32)
+                rep[: len(c)] += c
+        i, cid, n, number = zip(*meta, strict=True)
+        return pa.table({"id": pa.array(i, pa.int64()), "cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "rep": pa.array([int(rep[k]) if k >= 0 else 0 for k in number], pa.int64())})
+
+    counted = source.mapInArrow(pack, "part long, block long, blob binary").groupBy("part").applyInArrow(count, "block long, meta boolean, blob binary")
+    return keep(counted.groupBy("block").applyInArrow(total_up, "id long, cid long, n long, rep long"), "repeats")
 
 
 def trie_join(sets: list[np.ndarray], probes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -197,26 +228,58 @@ def join_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return keep(units.join(sets, "cid").groupBy("u1", "u2", "u3").applyInArrow(run, "a long, b long"))
 
 
-def class_components(docs: DataFrame, kept: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(cid, root) of linked classes; None where no class has a candidate."""
-    classes = kept.where("n > 0").dropDuplicates(["cid"]).select("cid", "n", "prefix")
-    tokens = classes.select("cid", F.explode("prefix").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("cid").alias("pivot")).where("c > 1").select("tok", "pivot")
-    edges = keep(tokens.join(shared, "tok").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
-    if edges.isEmpty():
-        return None
-    groups = components(edges).select(F.col("node").alias("cid"), F.col("root").alias("u1"))
-    groups = keep(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1"))
-    # a text of each candidate class, and its set again
-    lead = kept.join(groups.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id")).alias("d")).select(F.col("d.doc_id").alias("doc_id")).distinct()
+def class_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(cid, s) of the classes of rows(id, cid): the set of a text of each, made again."""
+    lead = rows.groupBy("cid").agg(F.min(F.struct("id")).alias("d")).select(F.col("d.id").alias("lead")).distinct()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = shingle_sets(batch, size)
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "s"])
 
-    texts = docs.select("doc_id", "text").join(lead.withColumnRenamed("doc_id", "lead"), F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
-    sets = keep(texts.select("text").mapInArrow(again, "cid long, s binary").dropDuplicates(["cid"]), "sets")
+    texts = docs.select("doc_id", "text").join(lead, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
+    return keep(texts.select("text").mapInArrow(again, "cid long, s binary").dropDuplicates(["cid"]), "sets")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            batch = whole.slice(a, 256)
+            sets = [np.frombuffer(b, np.int64) for b in batch.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["cid", "tok"])
+
+
+def candidate_groups(sets: DataFrame, passed: DataFrame, percent: int) -> DataFrame | None:
+    """(u1, c, cid): classes that share a shingle of their prefixes, directly or over others, and how many they are."""
+    tokens = sets.join(passed.select("cid"), "cid", "left_semi").mapInArrow(_tokens, "cid long, tok long")
+    held = keep(tokens, "tokens")
+    often = held.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    inner = held.join(often, "tok").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    # shingles of one class come first; what is left of the prefix are the rarest others
+    room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.size("t"))
+    prefix = inner.join(passed.select("cid", "n"), "cid").where(room > 0).select("cid", F.explode(F.slice("t", F.lit(1), room.cast("int"))).alias("p")).select("cid", "p.tok")
+    prefix = keep(prefix, "prefixes")
+    pivot = prefix.groupBy("tok").agg(F.min("cid").alias("pivot"))
+    edges = keep(prefix.join(pivot, "tok").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return None
+    groups = keep(components(edges).select(F.col("node").alias("cid"), F.col("root").alias("u1")))
+    return keep(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1"))
+
+
+def class_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(cid, root) of linked classes; None where none link."""
+    enough = lambda x: x.where(f"n > 0 and 100 * rep >= {percent} * n")
+    first = enough(rows)
+    if first.isEmpty():
+        return None
+    sets = class_sets(docs, first.select("id", "cid"), size)
+    loaded = lambda batch: (batch.column("cid"), [np.frombuffer(b, np.uint64) for b in batch.column("s").to_pylist()])
+    n = first.dropDuplicates(["cid"]).agg(F.sum("n")).collect()[0][0]
+    passed = enough(repeats(sets, loaded, n, "s"))
+    groups = candidate_groups(sets, passed, percent)
+    if groups is None:
+        return None
     blocks = lambda n: F.ceil(n / (BLOCK / 2)).cast("int")
     part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), n).cast("int")
     whole = groups.select("u1", F.lit(-1).alias("u2"), F.lit(-1).alias("u3"), "cid", "c").where(f"c <= {BLOCK}")
@@ -242,9 +305,10 @@ def class_components(docs: DataFrame, kept: DataFrame, size: int, percent: int)
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    kept = set_prefixes(docs, size, percent)
-    rows = kept.select("doc_id", "cid", F.col("n").alias("n_shingles"))
-    roots = class_components(docs, kept, size, percent)
+    about = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    counted = repeats(docs.select("doc_id", "text"), lambda batch: (batch.column("doc_id"), shingle_sets(batch, size)), about // 6, "text")
+    rows = counted.select(F.col("id").alias("doc_id"), "cid", F.col("n").alias("n_shingles"))
+    roots = class_components(docs, counted, size, percent)
     firsts = rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("lead"))
     if roots is not None:
         rooted = firsts.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
