@@ -13,6 +13,7 @@ A sequence's id is made of the task's partition and a counter, the same whenever
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,48 +39,64 @@ class Encoder:
     """Ids of texts. White space parts what the tokenizer sees, so chunks between it are encoded once and kept.
 
     A-Z is lower-cased beforehand, as the tokenizer does, save where that could change what it sees: before combining
-    marks (lead bytes CC and CD), which compose with some capitals only, and in the names of special tokens.
+    marks (lead bytes CC and CD), which compose with some capitals only, and in the names of special tokens. Chunks of
+    lower-case Latin letters alone are one piece each for the tokenizer whatever its rules for others; they skip those.
     """
 
-    SPLIT = "<|endoftext|>"
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parting = self.tokenizer.token_to_id(self.SPLIT)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces.normalizer = None
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, new: list[bytes]) -> None:
-        """Chunks are joined by a special token, which the tokenizer parts on before anything else, and cut there again."""
-        ended = [w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalnum()]
-        bare = {w[:-1] for w in ended}
-        plain = [w for w in {*new, *bare, b",", b"."}.difference(ended, self.known) if b"<|" not in w]
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.SPLIT.join([w.decode() for w in some])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = [-1, *np.flatnonzero(ids == self.parting).tolist(), len(ids)]
+    def learn(self, new: set[bytes]) -> None:
+        known, other, ended, plain = self.known, [], [], set()
+        letters = self.LETTERS.fullmatch
+        for w in new:
+            if letters(w):
+                plain.add(w)
+            elif w[-1] in b".," and letters(w[:-1]):
+                # a mark after a letter is a piece of its own
+                ended.append(w)
+                if w[:-1] not in known:
+                    plain.add(w[:-1])
+            else:
+                other.append(w)
+        plain = list(plain)
+        for i in range(0, len(plain), 512):
+            some = plain[i : i + 512]
+            ids = np.array(self.pieces.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            self.known.update(zip(some, [raw[4 * a + 4 : 4 * z] for a, z in zip(cuts, cuts[1:])], strict=True))
-        for w in {*new, *bare}.difference(ended):
-            if b"<|" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-        for w in ended:  # a mark after an ASCII letter or digit is a piece of its own
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            known.update(zip(some, [raw[a:z] for a, z in zip([0, *cuts], cuts)], strict=True))
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, np.uint32).tobytes()
+        marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in ".,"}
+        for w in ended:
+            known[w] = known[w[:-1]] + marks[chr(w[-1])]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = []
+        chunks, ends = [], [0]
         for t in texts:
             raw = t.encode()
-            parts.append((raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split())
+            chunks += (raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split()
+            ends.append(len(chunks))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = set().union(*parts) - self.known.keys()
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
+        got = list(map(self.known.get, chunks))
+        if lacking := [i for i, x in enumerate(got) if x is None]:
+            self.learn({chunks[i] for i in lacking})
+            for i in lacking:
+                got[i] = self.known[chunks[i]]
         end = np.array([END_ID], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(get, p)) + end, np.uint32) for p in parts]
+        return [np.frombuffer(b"".join(got[a:z]) + end, np.uint32) for a, z in zip(ends, ends[1:])]
 
 
 @functools.cache
