@@ -13,6 +13,7 @@ A sequence's id is made of the task's partition and a counter, the same whenever
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ class Encoder:
     LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would only spin
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -56,8 +59,8 @@ class Encoder:
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, new: set[bytes]) -> None:
-        known, other, ended, plain = self.known, [], [], set()
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        known, other, ended, plain = {}, [], [], set()
         letters = self.LETTERS.fullmatch
         for w in new:
             if letters(w):
@@ -65,7 +68,9 @@ class Encoder:
             elif w[-1] in b".," and letters(w[:-1]):
                 # a mark after a letter is a piece of its own
                 ended.append(w)
-                if w[:-1] not in known:
+                if w[:-1] in self.known:
+                    known[w[:-1]] = self.known[w[:-1]]
+                else:
                     plain.add(w[:-1])
             else:
                 other.append(w)
@@ -81,20 +86,22 @@ class Encoder:
         marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in ".,"}
         for w in ended:
             known[w] = known[w[:-1]] + marks[chr(w[-1])]
+        return known
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         chunks, ends = [], [0]
-        for t in texts:
-            raw = t.encode()
+        for raw in texts:
             chunks += (raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split()
             ends.append(len(chunks))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         got = list(map(self.known.get, chunks))
         if lacking := [i for i, x in enumerate(got) if x is None]:
-            self.learn({chunks[i] for i in lacking})
+            new = self.learn({chunks[i] for i in lacking})
             for i in lacking:
-                got[i] = self.known[chunks[i]]
+                got[i] = new[chunks[i]]
+            if len(self.known) > CACHE_WORDS and len(lacking) > len(chunks) // 4:
+                self.known.clear()  # the texts have changed
+            if len(self.known) <= CACHE_WORDS:
+                self.known |= new
         end = np.array([END_ID], np.uint32).tobytes()
         return [np.frombuffer(b"".join(got[a:z]) + end, np.uint32) for a, z in zip(ends, ends[1:])]
 
@@ -220,7 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in slices(batches):
-            for name, one in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for name, one in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]), strict=True):
                 names.append(name)
                 ids.append(one)
                 size += len(one)
