@@ -193,7 +193,7 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = weak_components(nodes, edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("giant"))
     n = nodes.agg(F.count("*").alias("nodes"), F.count_if("is_admin").alias("admins"), F.count_if("is_high_value").alias("high_value"), F.count_if(F.col("node_type").isin("User", "Role")).alias("principals"))
     e = edges.agg(F.count("*").alias("edges"), F.count_if("is_bridge").alias("bridges"))
-    row = n.crossJoin(e).crossJoin(d.agg(F.count_if("degree = 0").alias("isolated"))).crossJoin(parts)
+    row = n.crossJoin(e).crossJoin(d.agg(F.count_if(F.col("degree") == 0).alias("isolated"))).crossJoin(parts)
     warn = lambda bad, name: F.when(bad, F.lit(name))
     warnings = F.array_compact(F.array(
         warn(F.col("nodes") == 0, "no_nodes"), warn(F.col("edges") == 0, "no_edges"), warn(F.col("isolated") > 0.1 * F.col("nodes"), "isolated"),

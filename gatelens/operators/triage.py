@@ -46,5 +46,5 @@ def display(triage: DataFrame) -> DataFrame:
 def posture(triage: DataFrame) -> DataFrame:
     """One row of counts by type and severity, flagged principals and mean blast radius."""
     s = lambda name: F.count_if(F.col("severity") == name).alias(name.lower())
-    return triage.agg(F.count("*").alias("principals"), F.count_if("node_type = 'User'").alias("users"), F.count_if("node_type = 'Role'").alias("roles"), s("CRITICAL"), s("HIGH"), s("MEDIUM"), s("LOW"),
-                      F.count_if("probability > 0.15").alias("flagged"), F.round(F.coalesce(F.avg("blast_radius"), F.lit(0.0)), 6).alias("mean_blast_radius"))
+    return triage.agg(F.count("*").alias("principals"), F.count_if(F.col("node_type") == "User").alias("users"), F.count_if(F.col("node_type") == "Role").alias("roles"), s("CRITICAL"), s("HIGH"), s("MEDIUM"), s("LOW"),
+                      F.count_if(F.col("probability") > 0.15).alias("flagged"), F.round(F.coalesce(F.avg("blast_radius"), F.lit(0.0)), 6).alias("mean_blast_radius"))
