@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gatelens.llm import decontam, jaccard, langid, linededup, packing
-from gatelens.llm.common import scratch_dir, table
+from gatelens.llm.common import scratch_dir, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; profiles are learned from the input's labelled four fifths."""
+    small_batches(spark)
     filters = langid.learn(docs.where(~langid.held_out("doc_id", 5, 0)))
     return langid.keep_languages(docs, filters)
 
@@ -23,6 +24,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -31,6 +33,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -12,13 +15,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about this many bytes, so that a worker's memory is bounded by this and the longest text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+#: Rows in a batch that goes to a Python worker: texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(f):
+    """f, a map over batches or a function of a group, giving unused memory back to the system at its end.
+
+    Workers live on for other tasks, and two of them share an executor's memory with its JVM.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    @functools.wraps(f)
+    def run(x):
+        if isinstance(x, pa.Table):
+            out = f(x)
+            release()
+            return out
+        return mapped(x)
+
+    def mapped(x):
+        yield from f(x)
+        release()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -148,7 +186,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     A round takes the least label of the neighbours and then the label of that label, so long chains shorten
     geometrically; the labels are written to the shared folder after each round.
     """
-    both = keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    for _ in range(2):  # a node keeps its least neighbour, and ties the others to that one: as connected, and mostly far fewer
+        pairs = keep(pairs)
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = pairs.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+    both = keep(pairs)
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     for _ in range(rounds):

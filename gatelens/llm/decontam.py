@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import ALNUM, LOWER, hash_windows, hash_words, slices, table, utf8, words
+from gatelens.llm.common import ALNUM, LOWER, hash_windows, hash_words, slices, table, tidy, utf8, words
 
 #: Windows in one broadcast block: about 150 bytes each, 30 MB.
 BLOCK_WINDOWS = 200_000
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
         return run
 
-    found = [source.mapInArrow(scanner(g), schema) for g in parts]
+    found = [source.mapInArrow(tidy(scanner(g)), schema) for g in parts]
     if len(found) == 1:
         return found[0].drop("row")
     merged = found[0]
@@ -150,7 +150,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_s
     """
     kept = docs
     for grams in blocks(benchmark, window):
-        kept = kept.mapInArrow(_cutter(grams, drop_share), docs.schema)
+        kept = kept.mapInArrow(tidy(_cutter(grams, drop_share)), docs.schema)
     return kept
 
 

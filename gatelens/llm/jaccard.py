@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import BLACK, LOWER, components, hash_windows, hash_words, keep, mix, slices, table, utf8, words
+from gatelens.llm.common import BLACK, LOWER, components, hash_windows, hash_words, keep, mix, slices, table, tidy, utf8, words
 
 WORDS = 5
 PERCENT = 80
 #: Shingles and documents in a block that is packed at once; shingles aimed at for a range of the hash space.
-PACK_SHINGLES, PACK_DOCS, RANGE_SHINGLES = 2_000_000, 60_000, 2_000_000
+PACK_SHINGLES, PACK_DOCS, RANGE_SHINGLES = 1_000_000, 60_000, 1_000_000
 BLOCK = 192
 
 
@@ -138,7 +138,7 @@ def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
         i, cid, n, number = zip(*meta, strict=True)
         return pa.table({"id": pa.array(i, pa.int64()), "cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "rep": pa.array([int(rep[k]) if k >= 0 else 0 for k in number], pa.int64())})
 
-    counted = source.mapInArrow(pack, "part long, block long, blob binary").groupBy("part").applyInArrow(count, "block long, meta boolean, blob binary")
+    counted = source.mapInArrow(tidy(pack), "part long, block long, blob binary").groupBy("part").applyInArrow(tidy(count), "block long, meta boolean, blob binary")
     return keep(counted.groupBy("block").applyInArrow(total_up, "id long, cid long, n long, rep long"), "repeats")
 
 
@@ -238,7 +238,7 @@ def class_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "s"])
 
     texts = docs.select("doc_id", "text").join(lead, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
-    return keep(texts.select("text").mapInArrow(again, "cid long, s binary").dropDuplicates(["cid"]), "sets")
+    return keep(texts.select("text").mapInArrow(tidy(again), "cid long, s binary").dropDuplicates(["cid"]), "sets")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_groups(sets: DataFrame, passed: DataFrame, percent: int) -> DataFrame | None:
     """(u1, c, cid): classes that share a shingle of their prefixes, directly or over others, and how many they are."""
-    tokens = sets.join(passed.select("cid"), "cid", "left_semi").mapInArrow(_tokens, "cid long, tok long")
+    tokens = sets.join(passed.select("cid"), "cid", "left_semi").mapInArrow(tidy(_tokens), "cid long, tok long")
     held = keep(tokens, "tokens")
     often = held.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     inner = held.join(often, "tok").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))

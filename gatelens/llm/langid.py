@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import mix, slices
+from gatelens.llm.common import mix, slices, tidy
 
 #: Rows that the profiles are learned from, for each language: the stated bound on the labelled sample.
 ROWS_PER_LANGUAGE = 2000
@@ -110,7 +110,7 @@ def learn(rows: DataFrame, seed: str = "langid") -> Filters:
     least = F.lit(1 << 60)
     for i, lang in enumerate(languages):
         least = F.when(F.col("lang") == i, F.lit(max(2, int(LEAST_SHARE * taken.get(lang, 0))))).otherwise(least)
-    found = sample.mapInArrow(count, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = sample.mapInArrow(tidy(count), "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # every sampled text brings its distinct n-grams, a profile entry takes LEAST_SHARE of them: at most 1 / LEAST_SHARE texts' worth
     profile = found.select("lang", "h").toArrow()
     masks = np.zeros(SLOTS, np.uint64)
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             lang, score, cover = judge(filters, clean(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(cover)], names=["doc_id", "lang_pred", "score", "coverage"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, coverage double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, coverage double")
 
 
 def keep_languages(docs: DataFrame, filters: Filters, least_coverage: float = 0.2) -> DataFrame:
@@ -167,7 +167,7 @@ def keep_languages(docs: DataFrame, filters: Filters, least_coverage: float = 0.
             stay = np.array([x != "und" for x in lang]) & (cover >= least_coverage)
             yield batch.filter(pa.array(stay))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: str, parts: int, part: int) -> F.Column:

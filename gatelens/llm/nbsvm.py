@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import slices, table, utf8
+from gatelens.llm.common import slices, table, tidy, utf8
 from gatelens.llm.langid import held_out
 
 #: The stated bound on the labelled sample that the model is fitted to.
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "label", "buckets"])
 
     # at most limit rows of at most DIMS two-byte buckets; a usual text has some hundreds
-    found = sample.mapInArrow(run, "doc_id long, label int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
+    found = sample.mapInArrow(tidy(run), "doc_id long, label int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
     return fit([np.frombuffer(b, np.uint16).astype(np.int64) for b in found.column("buckets").to_pylist()], found.column("label").to_numpy())
 
 
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_rows(model, batch))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

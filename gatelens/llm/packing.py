@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelens.llm.common import slices, table
+from gatelens.llm.common import slices, table, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -32,7 +32,7 @@ SHARD_IDS = 4_000_000
 QUERY_TERMS = 24
 LEAST_TAIL = 64
 #: Chunks kept with their ids, about 200 bytes each.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import components, keep, table
+from gatelens.llm.common import components, keep, table, tidy
 
 COSINE = 0.95
 TREES = 4
@@ -163,7 +163,7 @@ def class_links(classes: DataFrame, cosine: float, trees: int) -> tuple[DataFram
         return run
 
     schema = "code long, i long, j long, b long, cid long, mult long, v binary, codes binary"
-    sizes = classes.mapInArrow(dealt({}), schema).groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_MOST).collect()  # no more rows than leaves
+    sizes = classes.mapInArrow(tidy(dealt({})), schema).groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_MOST).collect()  # no more rows than leaves
     split = {r["code"]: -(-r["n"] * 2 // LEAF_MOST) for r in sizes}
 
     def leaf(group: pa.Table) -> pa.Table:
@@ -189,7 +189,7 @@ def class_links(classes: DataFrame, cosine: float, trees: int) -> tuple[DataFram
             "n": pa.array(np.concatenate([count[some], np.zeros(len(joined))]).astype(np.int64)),
         })
 
-    found = keep(classes.mapInArrow(dealt(split), schema).groupBy("code", "i", "j").applyInArrow(leaf, "a long, b long, n long"))
+    found = keep(classes.mapInArrow(tidy(dealt(split)), schema).groupBy("code", "i", "j").applyInArrow(leaf, "a long, b long, n long"))
     return found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
 
 
@@ -207,7 +207,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES)
 
     light = rows.select("vec_id", "cid")
     counted = light.where("cid is not null").groupBy("cid").agg(F.count("*").alias("mult"), F.min("vec_id").alias("lead"))
-    single = rows.where("cid is not null").select("cid", "embedding").mapInArrow(pack, "cid long, v binary").dropDuplicates(["cid"])
+    single = rows.where("cid is not null").select("cid", "embedding").mapInArrow(tidy(pack), "cid long, v binary").dropDuplicates(["cid"])
     classes = keep(counted.join(single, "cid").withColumn("dim", F.octet_length("v")), "vectors")
     counts, links = None, None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1").collect():

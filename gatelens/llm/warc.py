@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import scratch_dir, table
+from gatelens.llm.common import scratch_dir, table, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
             fs.move(part, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([fs.get_file_info(name).size])], names=["path", "size"])
 
-    return marked.mapInArrow(run, "path string, size long")
+    return marked.mapInArrow(tidy(run), "path string, size long")
 
 
 class Bytes:
@@ -192,7 +192,7 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORD)
+    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(tidy(run), RECORD)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
