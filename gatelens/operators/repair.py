@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 from abc import ABC, abstractmethod
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +147,6 @@ def exact_cuts(paths: DataFrame, actions: DataFrame, most: int = 10) -> DataFram
 
 def policy_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(policy_id, diff): unified diffs of the JSON texts of (policy_id, doc) tables, for policies that changed."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "before", "after", lineterm="")) for x, y in zip(a, b, strict=True)])
