@@ -70,40 +70,59 @@ def tail(z: Column) -> Column:
     return F.when(z >= 0, p).otherwise(1 - p)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once; a lambda would compute it again at each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _adjacent(a: Column, f) -> Column:
+    """Sum of f over neighbours."""
+    return F.aggregate(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), f), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def battery(token: Column) -> Column:
-    """struct<n, uniform, written>: length, the p-value of randomness and the p-value of written text."""
+    """struct<n, uniform, written>: length, the p-value of randomness and the p-value of written text.
+
+    Every step is linear in the token's length.
+    """
     core = F.regexp_replace(token, "=+$", "")
     alphabet = F.lit(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
         alphabet = F.when(core.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    first = F.struct(core.alias("core"), alphabet.alias("alphabet"), F.length(core).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"), F.split(core, "", -1).alias("chars"))
+
+    def coded(x: Column) -> Column:
+        codes = F.transform(x["chars"], lambda c: F.instr(x["alphabet"], c) - 1)
+        kinds = F.transform(x["chars"], lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3))
+        counts = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(x["n"] - F.length(F.replace(x["core"], c, F.lit(""))), F.lit(2.0)))
+        return F.struct(x["n"].alias("n"), x["k"].alias("k"), codes.alias("codes"), kinds.alias("kinds"), counts.alias("counts"))
+
+    def averaged(x: Column) -> Column:
+        mean = F.aggregate(x["codes"], F.lit(0.0), lambda acc, c: acc + c) / x["n"]
+        high = F.aggregate(x["codes"], F.lit(0.0), lambda acc, c: acc + F.when(c >= x["k"] / 2, 1.0).otherwise(0.0))
+        changes = _adjacent(x["kinds"], lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+        runs = 1 + _adjacent(x["codes"], lambda a, b: F.when((a >= x["k"] / 2) != (b >= x["k"] / 2), 1.0).otherwise(0.0))
+        return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["codes"].alias("codes"), x["counts"].alias("counts"), mean.alias("mean"), high.alias("high"), changes.alias("changes"), runs.alias("runs"))
+
+    def moments(x: Column) -> Column:
+        squares = F.aggregate(x["codes"], F.lit(0.0), lambda acc, c: acc + (c - x["mean"]) * (c - x["mean"]))
+        lagged = _adjacent(x["codes"], lambda a, b: (a - x["mean"]) * (b - x["mean"]))
+        return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["counts"].alias("counts"), x["high"].alias("high"), x["changes"].alias("changes"), x["runs"].alias("runs"), squares.alias("squares"), lagged.alias("lagged"))
 
     def judged(x: Column) -> Column:
-        core, alphabet = x["core"], x["alphabet"]
-        n, k = F.length(core).cast("double"), F.length(alphabet).cast("double")
-        chars = F.transform(F.sequence(F.lit(1), F.length(core)), lambda i: F.substring(core, i, F.lit(1)))
-        codes = F.transform(chars, lambda c: F.instr(alphabet, c) - 1)
-        counts = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(core, c, F.lit(""))), F.lit(2.0)))
-        chi = k / n * counts - n
-        p_chi = tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-        pairs = lambda a, f: F.aggregate(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), f), F.lit(0.0), lambda acc, v: acc + v)
-        high = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.when(c >= k / 2, 1.0).otherwise(0.0))
-        both = 2 * high * (n - high)
-        runs = 1 + pairs(codes, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0))
+        n, k = x["n"], x["k"]
+        p_chi = tail((k / n * x["counts"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+        both = 2 * x["high"] * (n - x["high"])
         spread = both * (both - n) / (n * n * (n - 1))
-        p_runs = F.when(spread <= 0, 0.0).otherwise(2 * tail(F.abs(runs - 1 - both / n) / F.sqrt(spread)))
-        mean = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
-        squares = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - mean) * (c - mean))
-        serial = pairs(codes, lambda a, b: (a - mean) * (b - mean)) / squares
-        p_serial = F.when(squares <= 0, 0.0).otherwise(2 * tail(F.abs(serial + 1 / n) * F.sqrt(n)))
+        p_runs = F.when(spread <= 0, 0.0).otherwise(2 * tail(F.abs(x["runs"] - 1 - both / n) / F.sqrt(spread)))
+        p_serial = F.when(x["squares"] <= 0, 0.0).otherwise(2 * tail(F.abs(x["lagged"] / x["squares"] + 1 / n) * F.sqrt(n)))
         uniform = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
-        kind = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3))
-        share = pairs(kind, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)) / (n - 1)
+        share = x["changes"] / (n - 1)
         least, most = F.greatest(share, F.lit(1e-12)), F.greatest(1 - share, F.lit(1e-12))
         bound = F.exp(-(n - 1) * (least * F.log(least / TEXT_CHANGE) + most * F.log(most / (1 - TEXT_CHANGE))))
         return F.struct(n.cast("long").alias("n"), F.round(uniform, 9).alias("uniform"), F.when(share > TEXT_CHANGE, bound).otherwise(F.lit(1.0)).alias("written"))
 
-    whole = F.transform(F.array(F.struct(core.alias("core"), alphabet.alias("alphabet"))), judged)
-    return F.when(F.length(core) >= LEAST_TOKEN, F.element_at(whole, 1))
+    return F.when(F.length(core) >= LEAST_TOKEN, let(first, lambda x: let(coded(x), lambda y: let(averaged(y), lambda z: let(moments(z), judged)))))
 
 
 def band(n: Column) -> Column:
