@@ -32,7 +32,7 @@ SHARD_IDS = 4_000_000
 QUERY_TERMS = 24
 LEAST_TAIL = 64
 #: Chunks kept with their ids, about 200 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
