@@ -169,7 +169,7 @@ class ParseTerraform:
 
 def read_texts(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
     """(path, text) of the .tf and .tf.json files of a directory."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).text(directory)
+    files = spark.read.text(directory, wholetext=True, recursiveFileLookup=recursive)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.col("path").rlike(r"\.tf(\.json)?$"))
 
 
