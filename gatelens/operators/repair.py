@@ -154,3 +154,13 @@ def policy_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     j = before.select("policy_id", F.col("doc").alias("a")).join(after.select("policy_id", F.col("doc").alias("b")), "policy_id", "full").where("not a <=> b")
     return j.select("policy_id", diff("a", "b").alias("diff"))
 
+
+def side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(policy_id, html): HTML tables of both texts, for policies that changed."""
+
+    @F.pandas_udf("string")
+    def table(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.HtmlDiff().make_table((x or "").splitlines(), (y or "").splitlines(), "before", "after") for x, y in zip(a, b, strict=True)])
+
+    j = before.select("policy_id", F.col("doc").alias("a")).join(after.select("policy_id", F.col("doc").alias("b")), "policy_id", "full").where("not a <=> b")
+    return j.select("policy_id", table("a", "b").alias("html"))

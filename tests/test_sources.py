@@ -81,3 +81,16 @@ def test_sql_twins_have_queries():
 def test_entry_without_optional_operators():
     code = "import sys; sys.modules['gatelens.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'policy_decision' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_command_line(spark, tmp_path):
+    from gatelens.__main__ import main
+
+    main(["generate", "--nodes", "60", "--motifs", "passrole_lambda", "--out", str(tmp_path / "g")])
+    assert spark.read.parquet(str(tmp_path / "g" / "nodes")).count() == 63
+    main(["run", "edge_counts", "--data", SMALL, "--out", str(tmp_path / "q")])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 5
+    (tmp_path / "tf").mkdir()
+    (tmp_path / "tf" / "a.tf").write_text(terraform.FIXTURE)
+    main(["ingest", str(tmp_path / "tf"), "--out", str(tmp_path / "i")])
+    assert spark.read.parquet(str(tmp_path / "i" / "edges")).count() == 5
