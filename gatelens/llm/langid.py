@@ -102,9 +102,11 @@ def learn(rows: DataFrame, seed: str = "langid") -> Filters:
             lang = batch.column("lang").to_pylist()
             row, h, _ = grams(clean(batch.column("text")))
             code = np.array([languages.index(x) for x in lang])
-            pair = np.unique(np.stack([h.view(np.int64), row]), axis=1)
-            key, n = np.unique(np.stack([code[pair[1]], pair[0]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key[0].astype(np.int32)), pa.array(key[1]), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
+            # keys of one number: (text, n-gram) once each, then texts for each (language, n-gram)
+            _, once = np.unique(mix(h ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
+            h, lang = h[once], code[row[once]]
+            _, at, n = np.unique(mix(h ^ mix(lang.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lang[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
     taken = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     least = F.lit(1 << 60)
