@@ -29,7 +29,6 @@ WINDOW = 4096
 END_ID = 2
 SHARD_DOCS = 2048
 SHARD_IDS = 4_000_000
-QUERY_TERMS = 24
 LEAST_TAIL = 64
 #: Chunks kept with their ids, about 200 bytes each.
 CACHE_WORDS = 700_000
@@ -136,15 +135,12 @@ class Index:
         return i
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents by falling score, then by place; those without a common query term last."""
+        """Unused documents by falling score over all terms of the seed, then by place; those without a common term last."""
         t = self.terms[seed]
-        t = t[self.df[t] > 1]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-self.idf[t], QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(len(self.free))
-        for x in t.tolist():
-            a, z = self.first[x], self.first[x + 1]
-            score[self.doc[a:z]] += self.weight[a:z]
+        t = t[self.df[t] > 1]  # the others are in the seed alone
+        first, n = self.first[t], self.df[t]
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.weight[at], len(self.free))
         score[~self.free] = -1
         while score.max(initial=-1) >= 0:
             best = int(np.argmax(score))

@@ -225,6 +225,14 @@ def test_packing_takes_like_documents_first():
     assert [i for i, _, _ in packing.pack_shard(ids, 82)[0]] == [0, 2]
 
 
+def test_packing_scores_all_terms_of_the_seed():
+    # 30 terms that only the seed and document 2 hold (24 are no longer picked), 40 commoner ones that document 4 holds in full
+    rare, common = np.arange(100, 130), np.arange(500, 540)
+    docs = [np.concatenate([rare, common]), np.arange(900, 940), rare[:24], np.concatenate([common[:1], np.arange(600, 639)]), np.concatenate([rare[24:], common])]
+    order = list(packing.Index([np.append(d, 2).astype(np.uint32) for d in docs]).neighbours(0))
+    assert order.index(4) < order.index(2)
+
+
 # --- 9 ---
 
 
