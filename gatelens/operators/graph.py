@@ -132,7 +132,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> D
     rest_nodes, rest_edges, done = step(nodes.select("id")), step(edges.select("src", "dst").where("src <> dst").distinct()), None
     for _ in range(rounds):
         colour = rest_nodes.select("id", F.col("id").alias("colour"))
-        for _ in range(rounds):
+        while True:  # colours only grow, so this ends; a colour may need as many rounds as there are nodes
             came = rest_edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("m"))
             new = step(colour.join(came, "id", "left").select("id", F.greatest("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")))
             colour = new.select("id", "colour")

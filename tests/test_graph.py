@@ -73,6 +73,13 @@ def test_components_and_pagerank(spark):
     assert all(abs(got[x] - rank[x]) < 1e-12 for x in ids)
 
 
+def test_strong_components_of_a_long_cycle(spark):
+    # the bound on rounds is on settled layers, not on the length of a cycle
+    n = spark.range(1, 13).select(F.col("id").cast("int").alias("id"))
+    e = n.select(F.col("id").alias("src"), (F.col("id") % 12 + 1).alias("dst"))
+    assert {r["component"] for r in graph.strong_components(n, e, rounds=5).collect()} == {12}
+
+
 def test_worlds_converge(spark):
     e = lambda rows: spark.createDataFrame(rows, "src string, dst string, relation string, probability double")
     s, t = spark.createDataFrame([("s",)], "id string"), spark.createDataFrame([("t",)], "id string")
