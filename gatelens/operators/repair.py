@@ -16,6 +16,8 @@ from gatelens.operators.uncertain import attack_risk
 from gatelens.plans.steps import step
 
 SCOPE_COST, REMOVE_COST = 1.0, 5.0
+#: Options evaluated in one reachability pass, about.
+OPTION_BLOCK = 1000
 
 
 class Edit(ABC):
@@ -84,37 +86,47 @@ def synchronize_edges(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     return edges.where("size(actions) = 0").unionByName(edges.drop("actions").join(kept, key).select(*edges.columns))
 
 
-def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options: DataFrame, samples: int, delta: float = 0.0, most: int = 10) -> DataFrame:
+def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options: DataFrame, samples: int, delta: float = 0.0, most: int = 20, used: DataFrame | None = None) -> DataFrame:
     """(step, option, cost, risk): the options taken in turn until the risk of every pair is at most delta.
 
-    options: (option, cost, src, dst, edges that it cuts). Each round evaluates every option that is left in one
-    reachability pass, with the option in the world's key, and takes the largest fall in risk per cost; ties go to
-    the option that sorts first.
+    options: (option, cost, src, dst, edges that it cuts), and maybe ``scoping``, which raises an option's score by a
+    tenth. used: (src, dst) edges that the workload's log needs; options that cut one of them are not admitted. Each
+    round evaluates every option that is left, ``OPTION_BLOCK`` or so in one reachability pass, with the option in the
+    world's key, and takes the largest fall in risk per cost; ties go to the option that sorts first.
     """
     spark, taken = observed.sparkSession, []
     key = ["src", "dst"]
-    opts = step(options.select("option", "cost", *key))
-    left = [r["option"] for r in opts.select("option").distinct().orderBy("option").limit(1000).collect()]
-    costs = {r["option"]: r["cost"] for r in opts.select("option", "cost").distinct().collect()}
+    if used is not None:
+        broken = options.join(used.select(*key).distinct(), key, "left_semi").select("option").distinct()
+        options = options.join(broken, "option", "left_anti")
+    weight = F.when(F.col("scoping"), 1.1).otherwise(1.0) if "scoping" in options.columns else F.lit(1.0)
+    opts = step(options.select("option", F.col("cost").cast("double").alias("cost"), weight.alias("weight"), *key))
+    names = opts.groupBy("option").agg(F.max("cost").alias("cost"), F.max("weight").alias("weight"))
+    blocks = -(-names.count() // OPTION_BLOCK)
+    left = step(names.withColumn("block", F.pmod(F.xxhash64("option"), F.lit(max(1, blocks)))))
     o, w = observed.select(*key), worlds.select("sample_id", *key)
-    risk = _mean_risk(o, w, pair, samples)
-    while left and risk > delta and len(taken) < most:
-        names = spark.createDataFrame([(n,) for n in left], "option string")
-        cut = opts.join(F.broadcast(names), "option").select("option", *key)
-        every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
-        base = o.crossJoin(F.broadcast(every)).select("sample_id", *key).unionByName(w).distinct()
-        spec = base.crossJoin(F.broadcast(names)).join(cut, ["option", *key], "left_anti")
-        keyed = spec.withColumn("world", F.concat_ws("|", "option", F.col("sample_id").cast("string")))
-        hits = has_path(keyed.select("world", *key), pair, ["world"]).groupBy(F.split("world", r"\|")[0].alias("option")).agg(F.count("*").alias("h")).collect()
-        found = {r["option"]: r["h"] / samples / pair.count() for r in hits}
-        best = max(left, key=lambda n: ((risk - found.get(n, 0.0)) / costs[n], -left.index(n)))
-        if risk - found.get(best, 0.0) <= 1e-6:
+    every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
+    risk, asked = _mean_risk(o, w, pair, samples), pair.count()
+    while risk > delta and len(taken) < most:
+        base = step(o.crossJoin(F.broadcast(every)).select("sample_id", *key).unionByName(w).distinct())
+        best = None
+        for b in range(blocks):
+            some = left.where(F.col("block") == b)
+            spec = base.crossJoin(some.select("option")).join(opts.select("option", *key), ["option", *key], "left_anti")
+            hits = has_path(spec.select("option", "sample_id", *key), pair, ["option", "sample_id"]).groupBy("option").agg(F.count("*").alias("h"))
+            left_risk = F.coalesce(F.col("h"), F.lit(0)) / samples / asked
+            found = some.join(hits, "option", "left").withColumn("risk", left_risk).where(F.lit(risk) - F.col("risk") > 1e-6)
+            scored = found.select("option", "cost", "risk", ((F.lit(risk) - F.col("risk")) / F.col("cost") * F.col("weight")).alias("score"))
+            first = scored.orderBy(F.desc("score"), "option").limit(1).collect()
+            if first and (best is None or (-first[0]["score"], first[0]["option"]) < (-best["score"], best["option"])):
+                best = first[0]
+        if best is None:
             break
-        risk = found.get(best, 0.0)
-        taken.append((len(taken) + 1, best, float(costs[best]), float(risk)))
-        gone = opts.where(F.col("option") == best).select(*key)
+        risk = best["risk"]
+        taken.append((len(taken) + 1, best["option"], float(best["cost"]), float(risk)))
+        gone = opts.where(F.col("option") == best["option"]).select(*key)
         o, w = step(o.join(gone, key, "left_anti")), step(w.join(gone, key, "left_anti"))
-        left.remove(best)
+        left = step(left.where(F.col("option") != best["option"]))
     return spark.createDataFrame(taken, "step int, option string, cost double, risk double")
 
 

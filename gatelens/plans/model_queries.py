@@ -244,7 +244,8 @@ def greedy_repair(spark, d):
     asked = step(c.select(F.col("src").alias("source")).distinct().crossJoin(F.broadcast(goal)).where("source <> target"))
     cut = c.select(F.concat(F.lit("into-"), "dst").alias("option"), "src", "dst").withColumn("cost", F.lit(1.0)).join(w.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
     into = step(c.join(asked.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi").select(F.concat_ws("|", "src", "dst").alias("option"), "src", "dst", F.lit(1.0).alias("cost")))
-    return repair.greedy_cuts(o, w, asked, into if not into.isEmpty() else cut, SAMPLES, 0.0, 3)
+    used = star.edges(spark, d).where("relation in ('AssumesRole', 'PassesTo')").where(uniform("dst", "src") < 0.75)
+    return repair.greedy_cuts(o, w, asked, into if not into.isEmpty() else cut, SAMPLES, used=used)
 
 
 @query("SELECT 'a:1' AS action, 'scope' AS choice, 1.0 AS cost, 6.0 AS total UNION ALL SELECT 'a:2', 'keep', 0.0, 6.0 UNION ALL SELECT 'a:3', 'remove', 5.0, 6.0")

@@ -145,6 +145,18 @@ def test_repair_and_verify(spark, chain):
         repair.exact_cuts(spark.createDataFrame([(1, "a")], "path_id int, action string"), spark.createDataFrame([(str(i), True, True, False) for i in range(11)], "action string, scopable boolean, breaks_if_scoped boolean, needed boolean"))
 
 
+def test_greedy_cuts_evaluates_every_option(spark):
+    e = spark.createDataFrame([("s", "a"), ("a", "t"), ("a", "b"), ("b", "t"), ("x", "y")], "src string, dst string")
+    worlds = spark.createDataFrame([], "sample_id int, src string, dst string")
+    pair = spark.createDataFrame([("s", "t")], "source string, target string")
+    idle = [(f"n{i:04}|x", 1.0, "x", "y") for i in range(1000)]
+    options = spark.createDataFrame([*idle, ("n0|half", 1.0, "a", "t"), ("z|best", 1.0, "s", "a")], "option string, cost double, src string, dst string")
+    # the best of 1002 options sorts last, and names may hold any sign
+    assert [tuple(r) for r in repair.greedy_cuts(e, worlds, pair, options, 2).collect()] == [(1, "z|best", 1.0, 0.0)]
+    used = spark.createDataFrame([("s", "a")], "src string, dst string")
+    assert repair.greedy_cuts(e, worlds, pair, options, 2, used=used).collect() == []
+
+
 def test_pareto(spark):
     p = spark.createDataFrame([("none", 1.0, 0.0, 0.0), ("coarse", 0.0, 0.17, 10.0), ("log", 0.0, 0.0082, 4.0), ("ours", 0.0, 0.0, 1.0), ("twin", 0.0, 0.0, 1.0)], "method string, level3_risk double, t2_breakage double, transformation_cost double")
     f = {r["method"]: r for r in verify.frontier(p).collect()}
