@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from gatelens.llm.common import ALNUM, LOWER, hash_windows, hash_words, slices, table, tidy, utf8, words
+from gatelens.llm.common import ALNUM, LOWER, hash_windows, hash_words, keep, slices, table, tidy, utf8, words
 
 #: Windows in one broadcast block: about 150 bytes each, 30 MB.
 BLOCK_WINDOWS = 200_000
@@ -147,11 +148,86 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_s
 
     A span runs from the first byte of its first word to the last byte of its last word; a line break takes its
     place. Texts are scanned again until nothing is found, as the parts on both sides may meet. n_chars follows.
+
+    One block, the usual case, is one pass. With more, every block marks its hits on the same text, which is cut once
+    by the union of the marks; rows that were cut are scanned again by all blocks. The result is that of one block.
     """
-    kept = docs
-    for grams in blocks(benchmark, window):
-        kept = kept.mapInArrow(tidy(_cutter(grams, drop_share)), docs.schema)
-    return kept
+    parts = list(blocks(benchmark, window))
+    if len(parts) == 1:
+        return docs.mapInArrow(tidy(_cutter(parts[0], drop_share)), docs.schema)
+    # _hits: marks of a text's words as bits; _words, _gone: words of the text as it came, and those cut so far
+    schema = StructType([*docs.schema.fields, StructField("_hits", BinaryType()), StructField("_words", LongType()), StructField("_gone", LongType())])
+    work, settled = docs.select("*", F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_gone")), []
+    while True:
+        for grams in parts:
+            work = work.mapInArrow(tidy(_marker(grams)), schema)
+        marked = keep(work, "decontam")
+        settled.append(marked.where("_hits is null").select(*docs.columns))
+        work = marked.where("_hits is not null").mapInArrow(tidy(_mark_cutter(drop_share)), schema)
+        work = keep(work, "decontam")
+        if work.isEmpty():
+            break
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> bytes:
+    """raw with a line break for each run of flagged words."""
+    out, at = [], 0
+    f = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    for a, b in zip(np.flatnonzero(f == 1), np.flatnonzero(f == -1), strict=True):
+        out.append(raw[at : starts[a]])
+        at = ends[b - 1]
+    return b"\n".join([*out, raw[at:]])
+
+
+def _replaced(batch: pa.RecordBatch, new: dict[str, list]) -> pa.RecordBatch:
+    """batch with other values in some columns."""
+    cols = [pa.array(new[name], pa.string()).cast(c.type) if name == "text" and name in new else pa.array(new[name], c.type) if name in new else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+
+def _marker(grams: Grams):
+    """Adds the block's hits to ``_hits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, _, before, flags, found = grams.hits(batch)
+            if not found:
+                yield batch
+                continue
+            marks = batch.column("_hits").to_pylist()
+            for r in {r for r, _, _ in found}:
+                bits = np.packbits(flags[before[r] : before[r + 1]])
+                marks[r] = (bits if marks[r] is None else bits | np.frombuffer(marks[r], np.uint8)).tobytes()
+            yield _replaced(batch, {"_hits": marks})
+
+    return run
+
+
+def _mark_cutter(drop_share: float):
+    """Cuts what is marked; documents of which enough is gone go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, off = utf8(batch.column("text"))
+            starts, ends, before = words(data, off, ALNUM)
+            texts, marks = [], batch.column("_hits").to_pylist()
+            totals, gone = batch.column("_words").to_pylist(), batch.column("_gone").to_pylist()
+            for r, mark in enumerate(marks):
+                a, z = before[r], before[r + 1]
+                flags = np.unpackbits(np.frombuffer(mark, np.uint8), count=int(z - a)).astype(bool)
+                totals[r] = int(z - a) if totals[r] is None else totals[r]
+                gone[r] += int(flags.sum())
+                texts.append(_cut(data[off[r] : off[r + 1]].tobytes(), starts[a:z] - off[r], ends[a:z] - off[r], flags).decode())
+            new = {"text": texts, "_hits": [None] * len(texts), "_words": totals, "_gone": gone}
+            if "n_chars" in batch.schema.names:
+                new["n_chars"] = [len(t) for t in texts]
+            yield _replaced(batch, new).filter(pa.array([g < drop_share * t for g, t in zip(gone, totals, strict=True)]))
+
+    return run
 
 
 def _cutter(grams: Grams, drop_share: float):
@@ -172,24 +248,14 @@ def _cutter(grams: Grams, drop_share: float):
                     if not more:
                         break
                     gone += int(flags.sum())
-                    raw, out, at = text.encode(), [], 0
-                    f = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-                    for a, b in zip(np.flatnonzero(f == 1), np.flatnonzero(f == -1), strict=True):
-                        out.append(raw[at : starts[a]])
-                        at = ends[b - 1]
-                    text = b"\n".join([*out, raw[at:]]).decode()
+                    text = _cut(text.encode(), starts, ends, flags).decode()
                 texts[r], stay[r] = text, gone < drop_share * total
-            cols = []
-            for name, column in zip(batch.schema.names, batch.columns, strict=True):
-                if name == "text":
-                    column = pa.array(texts, pa.string()).cast(column.type)
-                elif name == "n_chars":
-                    old = column.to_pylist()
-                    for r in hit:
-                        old[r] = len(texts[r])
-                    column = pa.array(old, column.type)
-                cols.append(column)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stay))
+            new = {"text": texts}
+            if "n_chars" in batch.schema.names:
+                new["n_chars"] = batch.column("n_chars").to_pylist()
+                for r in hit:
+                    new["n_chars"][r] = len(texts[r])
+            yield _replaced(batch, new).filter(pa.array(stay))
 
     return run
 

@@ -160,6 +160,24 @@ def test_decontamination_removes_spans(documents, spark):
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[1]["host"] == "h"
 
 
+def test_decontamination_removes_spans_of_all_blocks_at_once(documents, spark, monkeypatch):
+    w = [f"w{i}" for i in range(200)]
+    # blocks of one item each: 1 and 2 overlap in the text; cutting 3 joins the sides of a window of 1
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[20:30])), (4, " ".join(w[40:52])), (5, " ".join(w[60:66]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    rows = [(1, " ".join([*w[100:120], *w[:15], *w[120:140]])), (2, " ".join([*w[100:120], *w[:4], *w[20:30], *w[4:10], *w[120:140]]))]
+    rows += [(3, " ".join([*w[40:52], *w[60:66], *w[150:152]])), (4, " ".join([*w[100:110], "É,", *w[60:66]])), (5, " ".join(w[:15])), (6, None), (None, "É x")]
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    one = key(decontam.remove_spans(documents(rows), bench))
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 20)
+    assert len(list(decontam.blocks(bench, 10))) > 1
+    got = decontam.remove_spans(documents(rows), bench)
+    assert key(got) == one and got.schema == documents(rows).schema
+    kept = {r["doc_id"]: r for r in got.collect()}
+    assert set(kept) == {1, 2, 4, 6, None} and not any(set(kept[i]["text"].split()) & set(w[:30]) for i in (1, 2))
+    assert kept[1]["n_chars"] == len(kept[1]["text"])
+
+
 def test_decontamination_empty(documents, spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] if "n_hit" in r else len(r["hit_ranges"]) for r in decontam.scan(documents(ODD), empty).collect()] == [0] * len(ODD)
