@@ -1,12 +1,13 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Every slot of the filter holds a mask with one bit for each language. The masks in an n-gram's slots, ANDed, are
+Every slot of the filter holds a mask with one bit for each language, in as many 64-bit words as they need. The masks in an n-gram's slots, ANDed, are
 the languages whose profile (probably) holds the n-gram. A text's hits per language are popcounts over its
 n-grams, corrected for the language's false-positive rate; the language with most corrected hits is predicted.
 
 Rows: null, empty and letterless texts give ``und`` with score 0. Rows that repeat a doc_id are judged one by one;
 a tie goes to the language that sorts first. With nothing to learn from every text is ``und``. Other columns are
-ignored by the query and passed on by ``keep_languages``.
+ignored by the query and passed on by ``keep_languages``. Texts of any length are judged whole. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ ROWS_PER_LANGUAGE = 2000
 #: An n-gram enters a language's profile if it is in at least this share of the language's sampled texts.
 LEAST_SHARE = 0.02
 SIZES = (3, 4)
-SLOTS = 1 << 19
+#: Least slots, and slots for each entry of the largest profile, so that a language's bits fill a third of them at most.
+SLOTS, SLOTS_EACH = 1 << 19, 8
 PROBES = 3
 
 
 @dataclass(frozen=True)
 class Filters:
-    """languages in sorted order; masks: a uint64 for each slot, bit i for languages[i]; rates: false positives."""
+    """languages in sorted order; masks: uint64 words of each slot, bit i % 64 of word i // 64 for languages[i]; rates: false positives."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
@@ -74,9 +76,13 @@ def clean(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def positions(h: np.ndarray) -> list[np.ndarray]:
+def positions(h: np.ndarray, slots: int) -> list[np.ndarray]:
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(k) * b) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(PROBES)]
+    return [((a + np.uint64(k) * b) & np.uint64(slots - 1)).astype(np.int64) for k in range(PROBES)]
+
+
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    return (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
 
 
 def learn(rows: DataFrame, seed: str = "langid") -> Filters:
@@ -88,20 +94,18 @@ def learn(rows: DataFrame, seed: str = "langid") -> Filters:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(counts))
     if not languages:
-        return Filters((), np.zeros(SLOTS, np.uint64), np.zeros(0))
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, ROWS_PER_LANGUAGE / n))).otherwise(share)
+        return Filters((), np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, ROWS_PER_LANGUAGE / n))])[F.col("lang")]
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(unit < share).select("text", "lang")
 
+    number = {x: i for i, x in enumerate(languages)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lang = batch.column("lang").to_pylist()
             row, h, _ = grams(clean(batch.column("text")))
-            code = np.array([languages.index(x) for x in lang])
+            code = np.array([number[x] for x in lang])
             # keys of one number: (text, n-gram) once each, then texts for each (language, n-gram)
             _, once = np.unique(mix(h ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
             h, lang = h[once], code[row[once]]
@@ -109,17 +113,16 @@ def learn(rows: DataFrame, seed: str = "langid") -> Filters:
             yield pa.RecordBatch.from_arrays([pa.array(lang[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
     taken = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    least = F.lit(1 << 60)
-    for i, lang in enumerate(languages):
-        least = F.when(F.col("lang") == i, F.lit(max(2, int(LEAST_SHARE * taken.get(lang, 0))))).otherwise(least)
+    least = F.element_at(F.array(*[F.lit(max(2, int(LEAST_SHARE * taken.get(lang, 0)))) for lang in languages]), F.col("lang") + 1)
     found = sample.mapInArrow(tidy(count), "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # every sampled text brings its distinct n-grams, a profile entry takes LEAST_SHARE of them: at most 1 / LEAST_SHARE texts' worth
     profile = found.select("lang", "h").toArrow()
-    masks = np.zeros(SLOTS, np.uint64)
     lang, h = profile.column("lang").to_numpy(), profile.column("h").to_numpy().view(np.uint64)
-    for p in positions(h):
-        np.bitwise_or.at(masks, p, np.uint64(1) << lang.astype(np.uint64))
-    fill = np.array([np.mean((masks >> np.uint64(i)) & np.uint64(1)) for i in range(len(languages))])
+    slots = max(SLOTS, 1 << (SLOTS_EACH * int(np.bincount(lang, minlength=1).max())).bit_length())
+    masks = np.zeros((slots, -(-len(languages) // 64)), np.uint64)
+    for p in positions(h, slots):
+        np.bitwise_or.at(masks, (p, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
+    fill = np.array([np.mean(_bit(masks, i)) for i in range(len(languages))])
     return Filters(languages, masks, fill**PROBES)
 
 
@@ -133,10 +136,10 @@ def judge(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray, np
     total = np.bincount(row, minlength=n).astype(float)
     if not langs:
         return ["und"] * n, np.zeros(n), np.zeros(n)
-    mask = np.full(len(h), ~np.uint64(0))
-    for p in positions(h):
+    mask = np.full((len(h), filters.masks.shape[1]), ~np.uint64(0))
+    for p in positions(h, len(filters.masks)):
         mask &= filters.masks[p]
-    hits = np.stack([np.bincount(row, weights=(mask >> np.uint64(i)) & np.uint64(1), minlength=n) for i in range(langs)], axis=1)
+    hits = np.stack([np.bincount(row, weights=_bit(mask, i), minlength=n) for i in range(langs)], axis=1)
     true = np.clip((hits - total[:, None] * filters.rates) / (1 - filters.rates), 0, None)
     best = np.argmax(true, axis=1)
     top = true[np.arange(n), best]

@@ -1,29 +1,34 @@
 """Line deduplication over range-partitioned line hashes, giving a compressed keep bitmap for each document.
 
-Each document's distinct line keys are hashed and dealt out by ranges of (hash, document), so that a key which a
-third of the documents hold is spread over many tasks. Within a range rows are sorted by hash and document, largest
-document first, and their first occurrences are streamed into a count of documents and the keeping document of each
-key. What came out for a key in several ranges meets as a few partial rows. Keys in enough documents go back to their
-holders, and each document gets a bitmap of its kept lines as run lengths: kept, dropped, kept and so on. Texts are
-cut to the bitmap only where they are asked for. Everything is DataFrame operations.
+Every line that is long enough is sent as (hash, document, position), never as text. The rows are dealt out by ranges
+of (hash, document), so that a key which a third of the documents hold is spread over many tasks, and sorted by hash,
+document and position; a pass over this order marks the first occurrence in each document. The first occurrences give
+each key's number of documents and its keeper. Keys in enough documents then meet their occurrences again: the few that
+hold most rows (at most ``HOT_KEYS``) are broadcast, so that no task gets all rows of one, and the rest are joined. What
+comes back for a document is its lost positions, from which its bitmap is made: run lengths of kept and dropped lines.
+Texts meet bitmaps once, by document, and are cut without hashing. Each step is linear in a document's lines, and
+everything is DataFrame operations.
 
 Rows: a null or empty text is one empty line, which is kept. A key's count is of distinct doc_ids; rows that repeat a
 doc_id are one document for counts, and each loses the same keys. A null doc_id sorts below all others. Lines that a
-document repeats are one occurrence; in the keeping document they all stay. Other columns are passed on by
-``dedup_lines``. Hashes have 128 bits.
+document repeats are one occurrence; in the keeping document they all stay. Texts of any length are split whole. An
+empty table gives no rows. Other columns, whatever their names, are passed on by ``dedup_lines``. Hashes have 128 bits;
+a document is known by its id and a 64-bit hash of its text, which parts rows that repeat an id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import table
+from gatelens.llm.common import keep, table
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
+#: Most keys that are broadcast. Each of them has at least one part in so many of all repeated lines, so there can't be more.
+HOT_KEYS = 1000
 
 
 def lines_of(text: Column) -> Column:
@@ -38,71 +43,98 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.reverse(key)).alias("h2"))
 
 
-def hashed_lines(text: Column, least_chars: int) -> Column:
-    """For each line its key's hash, null where the key is too short to count."""
-    return F.transform(F.transform(lines_of(text), line_key), lambda k: F.when(F.length(k) >= least_chars, key_hash(k)))
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once; a lambda would compute it again at each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def dropped_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(did, drops): for each document that loses lines, the hashes of the keys it loses."""
-    did = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did")
-    held = docs.select(did, F.explode(F.array_distinct(F.array_compact(hashed_lines(F.col("text"), least_chars)))).alias("k")).select("did", "k.h1", "k.h2")
-    ranged = held.repartitionByRange(F.col("h1"), F.col("h2"), F.col("did")).sortWithinPartitions("h1", "h2", F.desc("did"))
-    firsts = ranged.groupBy("h1", "h2", "did").agg(F.count("*").alias("rows"))
-    common = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("keeper")).where(F.col("n") >= least_docs).select("h1", "h2", "keeper")
-    lost = firsts.select("h1", "h2", "did").join(common, ["h1", "h2"]).where("did <> keeper")
-    return lost.groupBy("did").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+def row_key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("th")]
 
 
-def run_lengths(flags: Column) -> Column:
-    """Run lengths of an array of booleans as text, beginning with the kept ones: 3,1,2 keeps three, drops one, keeps two."""
-    bits = F.array_join(F.transform(flags, lambda f: F.when(f, "1").otherwise("0")), "")
-    runs = F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("0+|1+"), F.lit(0)), lambda r: F.length(r).cast("string")), ",")
-    return F.concat(F.when(F.startswith(bits, F.lit("0")), F.lit("0,")).otherwise(F.lit("")), runs)
+def occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(did, th, pos, h1, h2) of every line whose key is long enough to count."""
+    keys = F.transform(lines_of(F.col("text")), line_key)
+    hashed = F.transform(keys, lambda k, i: F.when(F.length(k) >= least_chars, F.struct(i.alias("pos"), key_hash(k).alias("h"))))
+    return docs.select(*row_key(), F.explode(F.array_compact(hashed)).alias("x")).select("did", "th", "x.pos", "x.h.h1", "x.h.h2")
 
 
-def _flagged(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
-    """docs with _drops; lines are hashed again only for documents that lose some."""
-    drops = dropped_keys(docs, least_chars, least_docs)
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(drops.select(F.col("did").alias("_did"), F.col("drops").alias("_drops")), "_did", "left").drop("_did")
+def first_occurrences(held: DataFrame) -> DataFrame:
+    """One row for each key and document: the first in the order of hash, document and position.
 
+    The window's key is what the rows are range-partitioned by, so it needs a sort within the ranges and no more shuffle.
+    """
+    ranged = held.select("h1", "h2", "did", "pos").repartitionByRange("h1", "h2", "did")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "did").orderBy("pos"))
+    return ranged.withColumn("place", place).where("place = 1").select("h1", "h2", "did")
 
-def _flags(least_chars: int) -> Column:
-    keys = hashed_lines(F.col("text"), least_chars)
-    return F.when(F.col("_drops").isNull(), F.transform(lines_of(F.col("text")), lambda _: F.lit(True))).otherwise(F.transform(keys, lambda k: ~F.coalesce(F.array_contains("_drops", k), F.lit(False))))
 
+def lost_positions(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(did, th, lost): for each document that loses lines, their positions in order."""
+    held = keep(occurrences(docs, least_chars), "lines")
+    counted = first_occurrences(held).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("keeper"))
+    common = keep(counted.where(F.col("n") >= least_docs), "common-lines")
+    hot = F.col("n") * HOT_KEYS > (common.agg(F.sum("n")).collect()[0][0] or 0)
+    keys, gone = ["h1", "h2"], lambda x: x.where("did <> keeper").select("did", "th", "pos")
+    few = F.broadcast(common.where(hot).select(*keys, "keeper"))
+    lost = gone(held.join(few, keys)).unionByName(gone(held.join(few, keys, "left_anti").join(common.where(~hot).select(*keys, "keeper"), keys)))
+    return lost.groupBy("did", "th").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
-def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, keep): keep holds run lengths of kept and dropped lines."""
-    flags = _flagged(docs.select("doc_id", "text"), least_chars, least_docs).select("doc_id", _flags(least_chars).alias("f"))
-    return flags.select("doc_id", F.size("f").cast("long").alias("n_lines"), F.size(F.filter("f", lambda x: ~x)).cast("long").alias("n_dropped"), run_lengths(F.col("f")).alias("keep"))
+
+def _gaps(lost: Column, n: Column) -> Column:
+    """array<struct<a, b>>: what is kept before, between and after the lost positions, [a, b), empty ones too."""
+    return F.zip_with(F.concat(F.array(F.lit(0)), F.transform(lost, lambda p: p + 1)), F.concat(lost, F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def run_lengths(lost: Column, n: Column) -> Column:
+    """The bitmap: run lengths as text, beginning with the kept ones; 3,1,2 keeps three, drops one, keeps two."""
+    bits = F.array_join(F.transform(_gaps(lost, n), lambda g: F.repeat(F.lit("1"), g["b"] - g["a"])), "0")
+    runs = lambda b: F.concat(
+        F.when(F.startswith(b, F.lit("0")), F.lit("0,")).otherwise(F.lit("")),
+        F.array_join(F.transform(F.regexp_extract_all(b, F.lit("0+|1+"), F.lit(0)), lambda r: F.length(r).cast("string")), ","),
+    )
+    return F.when(lost.isNull(), n.cast("string")).otherwise(let(bits, runs))
+
+
+def kept_text(text: Column, lost: Column) -> Column:
+    """text without the lost lines, put together from the runs that stay."""
+    runs = lambda lines: F.transform(F.filter(_gaps(lost, F.size(lines)), lambda g: g["b"] > g["a"]), lambda g: F.array_join(F.slice(lines, g["a"] + 1, g["b"] - g["a"]), "\n"))
+    return F.when(lost.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(let(lines_of(text), runs), "\n"))
 
 
-def kept_text(text: Column, flags: Column) -> Column:
-    pairs = F.filter(F.arrays_zip(lines_of(text).alias("line"), flags.alias("keep")), lambda p: p["keep"])
-    return F.array_join(F.transform(pairs, lambda p: p["line"]), "\n")
+def _marked(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """(row, lost): every row of docs as a struct, so that its columns' names can't clash, and its lost positions or null."""
+    lost = lost_positions(docs, least_chars, least_docs)
+    return docs.select(F.struct("*").alias("row"), *row_key()).join(lost, ["did", "th"], "left").select("row", "lost")
+
+
+def _n_lines() -> Column:
+    return F.size(lines_of(F.col("row.text")))
+
+
+def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, keep, kept): keep is the bitmap, kept the text that it leaves, made where it is asked for."""
+    return _marked(docs.select("doc_id", "text"), least_chars, least_docs).select(
+        "row.doc_id",
+        _n_lines().cast("long").alias("n_lines"),
+        F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
+        run_lengths(F.col("lost"), _n_lines()).alias("keep"),
+        kept_text(F.col("row.text"), F.col("lost")).alias("kept"),
+    )
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """docs without the lost lines; n_chars follows where there is such a column."""
-    cols = docs.columns
-    marked = _flagged(docs, least_chars, least_docs)
-    out = marked.withColumn("text", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), _flags(least_chars)))).drop("_drops")
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    """docs without the lost lines; n_chars follows where there is such a column. A null text stays null."""
+    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(kept_text(F.col("row.text"), F.col("lost")))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("lost").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return _marked(docs, least_chars, least_docs).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _flagged(table(spark, sf_dir, "documents").select("doc_id", "text"), LEAST_CHARS, LEAST_DOCS)
-    f = marked.select("doc_id", "text", "_drops", F.when(F.col("_drops").isNotNull(), _flags(LEAST_CHARS)).alias("f"))
-    return f.select(
-        "doc_id",
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(F.col("f").isNull(), F.lit(0)).otherwise(F.size(F.filter("f", lambda x: ~x))).cast("long").alias("n_dropped"),
-        F.sha2(F.when(F.col("f").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept_text(F.col("text"), F.col("f"))).cast("binary"), 256).alias("kept_sha256"),
-        F.when(F.col("f").isNull(), F.size(lines_of(F.col("text"))).cast("string")).otherwise(run_lengths(F.col("f"))).alias("keep"),
-    )
+    found = keep_bitmaps(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "keep")
 
 
 OP3_SQL = r"""

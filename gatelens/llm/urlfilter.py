@@ -5,13 +5,14 @@ A host's labels are reversed, so that a rule's subdomains are one interval of ke
 swept in order. Rule intervals nest or are apart, so the stack of rules active at a url is the chain of the rule that
 started last, less those that have ended. The longest rule of the stack whose path begins the url's path decides.
 
-Ranges are bounded by quantiles of a sample of keys that end in the url's path and id, so a host with a third of all
-urls is spread over as many ranges as it needs. A rule that spans several ranges enters each of them. Everything is
-DataFrame operations.
+Ranges are bounded by quantiles of a sample of keys that end in a hash of the url's path and id, so a host with a third
+of all urls is spread over as many ranges as it needs, however alike its paths are. A rule that spans several ranges
+enters each of them. Everything is DataFrame operations.
 
 Rows: a null url, or one without ``://``, has an empty host and path, no rule, and the default verdict. Rows that
 repeat an id are judged one by one. Of equally long rules the one with the longer host wins, then a block, then the
-one that sorts first; rules with a null host or path are left out. Other columns of the pages are not read.
+one that sorts first; rules with a null host or path are left out. Other columns of the pages are not read. Urls of any
+length are read whole. An empty table gives no rows, and without rules every verdict is the default.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from gatelens.llm.common import table
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Ranges for each shuffle partition, keys sampled for each range, code points of a key that bound a range.
-RANGES_EACH, SAMPLED_EACH, BOUND_CHARS, MOST_RANGES = 8, 24, 160, 4096
+#: Ranges for each shuffle partition, and keys sampled for each range.
+RANGES_EACH, SAMPLED_EACH = 8, 24
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,12 +56,11 @@ def rule_chains(rules: DataFrame) -> DataFrame:
 
 
 def ranges(keyed: DataFrame) -> list[str]:
-    """Ascending bounds of the key ranges, from a sample whose size doesn't depend on the table's."""
-    spark = keyed.sparkSession
-    want = min(MOST_RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Ascending bounds of the key ranges, from a sample whose size follows the number of ranges, not the table's."""
+    want = RANGES_EACH * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, want * SAMPLED_EACH / max(1, keyed.count()))
     part = F.pmod(F.xxhash64(F.lit("ranges"), "key"), F.lit(1 << 30)) < int(share * (1 << 30))
-    found = sorted((r["k"] for r in keyed.where(part).select(F.substring("key", 1, BOUND_CHARS).alias("k")).collect()), key=lambda k: k.encode())
+    found = sorted((r["k"] for r in keyed.where(part).select(F.col("key").alias("k")).collect()), key=lambda k: k.encode())
     return list(dict.fromkeys(found[i * len(found) // want] for i in range(1, want))) if found else []
 
 
@@ -79,7 +79,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """pages: (page_id, url); rules: (host, path, action). Returns (page_id, host, path, rule, verdict)."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("\0"), "path", F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    # rules are intervals of hosts, so urls of a host may come in any order
+    keyed = urls.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("\0"), F.hex(F.xxhash64("path", "page_id"))))
     bounds = ranges(keyed)
     chains = rule_chains(rules)
     started = chains.select(F.explode(F.sequence(range_of(F.col("lo"), bounds), range_of(F.col("hi"), bounds))).alias("part"), F.col("lo").alias("key"), "chain")

@@ -6,7 +6,9 @@ with equal payloads of at least ``least_bytes`` the one with the largest page_id
 it. The reader plans byte ranges from file sizes alone. A task looks for gzip magic in its range, takes a candidate
 for a member only if it decodes to the head of a WARC record, and owns the records that start inside its range,
 reading the last one past the range's end. From an owned record it goes straight on to the next member, so bytes
-inside records are never taken for members.
+inside records are never taken for members. Ranges are dealt out to as many tasks as their bytes call for. Digest and
+length of a response are computed from the payload that was read, and must be the ones its header names; a revisit
+holds no payload, so its header's are returned.
 
 Rows: a null url or html counts as empty. A null page_id sorts below all others and comes back null. Rows that repeat
 a page_id and a payload with the largest id are all responses. An empty table leaves no archive and no records.
@@ -30,6 +32,8 @@ from gatelens.llm.common import scratch_dir, table, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
+#: Most tasks that ranges are dealt out to; beyond it a task takes several ranges, one after another.
+MOST_TASKS = 50_000
 READ_BYTES = 1 << 20
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 CRLF = b"\r\n"
@@ -75,8 +79,12 @@ def parse(raw: bytes) -> tuple:
     said = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     body = rest[: int(said["Content-Length"])]
     revisit = said["WARC-Type"] == "revisit"
-    payload = None if revisit else body.partition(CRLF + CRLF)[2]
-    return _page(said["WARC-Record-ID"]), said["WARC-Target-URI"], said["WARC-Type"], _page(said.get("WARC-Refers-To")), int(said["X-Payload-Length"]), said["WARC-Payload-Digest"].removeprefix("sha1:"), payload
+    size, digest, payload = int(said["X-Payload-Length"]), said["WARC-Payload-Digest"].removeprefix("sha1:"), None
+    if not revisit:
+        payload = body.partition(CRLF + CRLF)[2]
+        if (len(payload), digest32(payload)) != (size, digest):
+            raise ValueError(f"{said['WARC-Record-ID']}: the payload isn't the one its header names")
+    return _page(said["WARC-Record-ID"]), said["WARC-Target-URI"], said["WARC-Type"], _page(said.get("WARC-Refers-To")), size, digest, payload
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
@@ -192,7 +200,9 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(tidy(run), RECORD)
+    # the rows of ranges are tiny, so their number must say how far they are spread
+    tasks = manifest.agg(F.sum(F.ceil(F.col("size") / range_bytes))).collect()[0][0] or 1
+    return ranges.repartition(int(min(tasks, MOST_TASKS))).mapInArrow(tidy(run), RECORD)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
