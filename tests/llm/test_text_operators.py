@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -59,6 +60,27 @@ def test_secret_battery_finds_random_tokens_only(documents):
     assert got[50] == got[51] == ""
 
 
+def test_secret_battery_knows_one_class_alphabets(documents):
+    r = random.Random(3)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(i, f"see {draw(secrets.LETTERS, 40)} and {draw(secrets.DIGITS, 22)} here") for i in range(300)]
+    text = [(1000 + i, "".join(r.choice("inter nation al ization counter revolution of the get User From Data base".split()) for _ in range(9))) for i in range(300)]
+    text += [(2000, "AbAbAbAbAbAbAbAbAbAbAbAbAb abcdefghijklmnopqrstuvwxyzabcdefgh 12345678901234567890 " + "0" * 23)]
+    got = {x["doc_id"]: x["spans"] for x in _op1(documents(rows)).collect()}
+    assert not any(x["spans"] for x in _op1(documents(text)).collect())
+    assert sum("random:4:44" in got[i] for i in range(300)) >= 100 and sum("random:49:71" in got[i] for i in range(300)) >= 200
+
+
+def test_secret_scan_of_a_text_with_many_matches(documents):
+    r = random.Random(4)
+    text = " ".join(f"token=abcdef{k} " + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(30)) for k in range(16000))
+    began = time.time()
+    got = _op1(documents([(1, text), (2, "b" * 1_000_000)])).collect()
+    assert time.time() - began < 60
+    by = {x["doc_id"]: x for x in got}
+    assert by[1]["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest() and by[1]["spans"].count("random") > 15000
+
+
 def test_secret_empty_table(documents):
     assert _op1(documents([])).collect() == []
 
@@ -78,6 +100,18 @@ def test_languages(documents, saved, spark):
     assert [by[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and by[903]["lang_pred"] == "fr"
 
 
+def test_more_languages_than_a_word_has_bits(documents):
+    letters = [chr(0x4E00 + k) for k in range(700)]
+    own = lambda i: " ".join("".join(rng.choice(letters[i * 10 : i * 10 + 10]) for _ in range(6)) for _ in range(30))
+    filters = langid.learn(documents([(i * 10 + k, own(i), f"l{i:02}", "s") for i in range(70) for k in range(10)]))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(documents([(i, own(i)) for i in range(70)]), filters).collect()}
+    assert filters.masks.shape[1] == 2 and sum(got[i] == f"l{i:02}" for i in range(70)) >= 68
+
+
+def test_languages_of_empty_table(documents, saved, spark):
+    assert queries.queries()["op2_languages"](spark, saved(documents=documents([]))).collect() == []
+
+
 def test_languages_without_teaching(documents):
     filters = langid.learn(documents([(1, "text", None, "s")]))
     assert [r["lang_pred"] for r in langid.predict(documents(ODD), filters).collect()] == ["und"] * len(ODD)
@@ -114,6 +148,26 @@ def test_line_dedup_odd_rows(documents):
     assert linededup.dedup_lines(documents([])).collect() == []
 
 
+def test_line_dedup_sorts_ranges_and_is_linear(documents, spark):
+    held = linededup.occurrences(documents([(i, "\n".join("line %d that is long enough to be counted at all" % k for k in range(5))) for i in range(9)]), 40)
+    plan = linededup.first_occurrences(held)._jdf.queryExecution().optimizedPlan().toString() + linededup.first_occurrences(held)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [h1" in plan and "rangepartitioning(h1" in plan and "hashpartitioning" not in plan
+    took = {}
+    for n in (500, 4000, 8000):
+        rows = [(i, "\n".join("line %d that is long enough to be counted at all" % k for k in range(n))) for i in range(6)]
+        began = time.time()
+        assert sum(len(r["text"]) for r in linededup.dedup_lines(documents(rows)).collect()) == len(rows[0][1])
+        took[n] = time.time() - began
+    assert took[8000] < 2 * took[4000] + 2
+
+
+def test_line_dedup_keeps_clashing_columns(documents):
+    line = "a line of forty characters and some more of it"
+    docs = documents([(i, line) for i in range(6)]).selectExpr("*", "1 AS did", "2 AS th", "3 AS lost", "4 AS row", "5 AS pos", "'k' AS keeper", "6 AS h1")
+    got = linededup.dedup_lines(docs).collect()
+    assert sorted(r["text"] for r in got) == [""] * 5 + [line] and {(r["did"], r["lost"], r["row"], r["h1"]) for r in got} == {(1, 3, 4, 6)}
+
+
 # --- 5 ---
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
