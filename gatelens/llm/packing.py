@@ -1,13 +1,20 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours of a seed document.
 
-A task takes its documents in shards of bounded size. For each shard it builds an inverted index with BM25 weights
-over token ids; a seed document opens a window, its best unused neighbours follow, and where a document does not fit
-the rest of it opens the next window. So every window but a shard's last is full. The last one is cut into
-sequences whose lengths are powers of two, which need no padding, until less than ``LEAST_TAIL`` ids are left.
-
-Statistics of the index are those of all documents of the shard. Ids come from whole texts; a null text is empty
-and gives only the end id. Rows that repeat a doc_id are packed one by one, each starting at 0. Nothing is shuffled.
-A sequence's id is made of the task's partition and a counter, the same whenever the task is run again.
+Texts are tokenized once and their ids kept as a table. Document counts of all terms and the mean length are taken over
+all documents; they are as many as the vocabulary has ids. A document's most telling terms, those with its largest
+BM25 weights among terms that another document has too, are its content key, and documents are dealt out by ranges of
+these keys and sorted by them. So documents that share their most telling terms stand together, wherever they were
+read, and the shards of bounded size that a task cuts its range into hold like documents.
+
+Each shard has an inverted index with BM25 weights by the corpus' statistics. A seed document opens a window, its best
+unused neighbours follow over all terms of the seed, and where a document does not fit the rest of it opens the next
+window. Documents without a common term are no neighbours: when none is left the next unused document is a seed in the
+same window. So every window but a shard's last is full. The last one is cut into sequences whose lengths are powers of
+two, which need no padding, until less than ``LEAST_TAIL`` ids are left.
+
+Ids come from whole texts of any length; a null text is empty and gives only the end id. Rows that repeat a doc_id are
+packed one by one, each starting at 0; ties in scores go by place. An empty table gives no rows. Other columns are not
+read. A sequence's id is made of the task's partition and a counter, the same whenever the task is run again.
 """
 
 from __future__ import annotations
@@ -22,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatelens.llm.common import slices, table, tidy
+from gatelens.llm.common import keep, slices, table, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -32,6 +40,9 @@ SHARD_IDS = 4_000_000
 LEAST_TAIL = 64
 #: Chunks kept with their ids, about 200 bytes each.
 CACHE_WORDS = 700_000
+#: Terms in a content key. BM25's parameters.
+KEY_TERMS = 3
+K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -111,23 +122,52 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Statistics:
+    """Of all documents: their number, mean length, and the number that holds each term."""
+
+    def __init__(self, docs: int, mean: float, df: np.ndarray):
+        self.mean, self.df = max(mean, 1.0), df
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    @staticmethod
+    def of(docs: list[np.ndarray]) -> Statistics:
+        terms = np.concatenate([np.unique(d[:-1]) for d in docs])
+        return Statistics(len(docs), float(np.mean([len(d) for d in docs])), np.bincount(terms.astype(np.int64), minlength=1))
+
+    def weights(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of every term of every document, in this order; the end id is no term."""
+        size = np.array([len(d) for d in docs])
+        own = np.repeat(np.arange(len(docs), dtype=np.uint64), size - 1)
+        pairs, tf = np.unique(own << np.uint64(32) | np.concatenate([d[:-1] for d in docs]).astype(np.uint64), return_counts=True)
+        doc, term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        norm = (K1 * (1 - B + B * size / self.mean)).astype(np.float32)
+        return doc, term, (tf * np.float32(K1 + 1) / (tf + norm[doc]) * self.idf[term]).astype(np.float32)
+
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """A row of KEY_TERMS terms for each document, the heaviest first; -1 where it has no more that others share."""
+        doc, term, weight = self.weights(docs)
+        shared = self.df[term] > 1
+        doc, term, weight = doc[shared], term[shared], weight[shared]
+        order = np.lexsort((term, -weight, doc))
+        doc, term = doc[order], term[order]
+        first, out = np.searchsorted(doc, np.arange(len(docs) + 1)), np.full((len(docs), KEY_TERMS), -1, np.int32)
+        for k in range(KEY_TERMS):
+            has = first[:-1] + k < first[1:]
+            out[has, k] = term[first[:-1][has] + k]
+        return out
+
+
 class Index:
     """Inverted BM25 index of a shard; used documents are passed over."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        terms, counts = zip(*(np.unique(d[:-1], return_counts=True) for d in docs), strict=True)
-        self.terms, size = terms, np.array([len(d) for d in docs], float)
-        term = np.concatenate(terms)
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-        tf = np.concatenate(counts).astype(np.float32)
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
+        doc, term, weight = (statistics or Statistics.of(docs)).weights(docs)
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
+        self.doc, self.weight = doc[order], weight[order]
         top = int(term.max()) + 1 if len(term) else 1
         self.first = np.searchsorted(term[order], np.arange(top + 1))
         self.df = np.diff(self.first)
-        self.idf = np.log1p((len(docs) - self.df + 0.5) / (self.df + 0.5))
-        norm = k1 * (1 - b + b * size / size.mean())
-        self.weight = (tf * (k1 + 1) / (tf + norm[doc]))[order] * self.idf[term[order]]
         self.free = np.ones(len(docs), bool)
 
     def take(self, i: int) -> int:
@@ -135,22 +175,22 @@ class Index:
         return i
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents by falling score over all terms of the seed, then by place; those without a common term last."""
+        """Unused documents with a common term by falling score over all terms of the seed, then by place."""
         t = self.terms[seed]
         t = t[self.df[t] > 1]  # the others are in the seed alone
         first, n = self.first[t], self.df[t]
         at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         score = np.bincount(self.doc[at], self.weight[at], len(self.free))
-        score[~self.free] = -1
-        while score.max(initial=-1) >= 0:
+        score[~self.free] = 0
+        while score.max(initial=0) > 0:
             best = int(np.argmax(score))
-            score[best] = -1
+            score[best] = 0
             yield best
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(ids: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length)."""
-    index, out, now, room = Index(ids), [], [], window
+    index, out, now, room = Index(ids, statistics), [], [], window
     place = 0
 
     def fill(i: int, at: int) -> int:
@@ -199,8 +239,11 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[i
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """A row for each piece of a document; see SCHEMA. The tokenizer's file must be on every executor."""
+def tokenized(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, n, ids) of every row, and for each task a row whose doc_id is null, n -1 and ids its counts of documents by term.
+
+    Ids are bytes, two of an id where all fit. The tokenizer's file must be on every executor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path
@@ -208,13 +251,69 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encode, sequence = encoder(path), TaskContext.get().partitionId() << 36
+        encode = encoder(path)
+        kind, df = np.uint16 if len(encode.last) <= 1 << 16 else np.uint32, np.zeros(len(encode.last), np.int64)
+        rows = lambda names, ids, n: pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+        for batch in slices(batches):
+            ids = encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            for one in ids:
+                df[np.unique(one[:-1])] += 1
+            yield rows(batch.column("doc_id"), [one.astype(kind).tobytes() for one in ids], [len(one) for one in ids])
+        yield rows([None], [df.tobytes()], [-1])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, ids binary")
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.uint32) for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+
+
+def statistics(tokens: DataFrame) -> Statistics:
+    """Over all rows of tokenized(); what comes to the driver is bounded by the vocabulary."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("ids").to_pylist():
+                df = np.frombuffer(raw, np.int64)
+                some = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
+
+    counted = tokens.where("n < 0").select("ids").mapInArrow(unpack, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, some = counted.column("term").to_numpy(), counted.column("df").to_numpy()
+    df = np.zeros(int(term.max(initial=0)) + 1, np.int64)
+    df[term] = some
+    total = tokens.where("n >= 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).collect()[0]
+    return Statistics(total["docs"], total["mean"] or 1.0, df)
+
+
+def by_content(tokens: DataFrame, stats: Statistics) -> DataFrame:
+    """The rows of tokens dealt out by ranges of their content keys and sorted by them."""
+    names = [f"k{i}" for i in range(KEY_TERMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids"):
+            keys = stats.keys(_ids(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(keys[:, i]) for i in range(KEY_TERMS))], names=[*batch.schema.names, *names])
+
+    keyed = tokens.mapInArrow(tidy(run), "doc_id long, n long, ids binary, " + ", ".join(f"{k} int" for k in names))
+    # the hash parts copies, of which a range may hold very many
+    order = [*names, F.xxhash64("ids", "doc_id")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
+    """A row for each piece of a document; see SCHEMA."""
+    tokens = keep(tokenized(docs, tokenizer_path), "ids")
+    stats = statistics(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 36
         names, ids, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
             rows = []
-            for pieces in pack_shard(ids, window):
+            for pieces in pack_shard(ids, window, stats):
                 offset = 0
                 for i, at, n in pieces:
                     rows.append((names[i], at, n, zlib.crc32(ids[i][at : at + n].astype("<u4").tobytes()), len(ids[i]), sequence, offset))
@@ -222,8 +321,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in slices(batches):
-            for name, one in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]), strict=True):
+        for batch in slices(batches, "ids"):
+            for name, one in zip(batch.column("doc_id").to_pylist(), _ids(batch), strict=True):
                 names.append(name)
                 ids.append(one)
                 size += len(one)
@@ -233,7 +332,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
+    return by_content(tokens.where("n >= 0"), stats).mapInArrow(tidy(run), SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

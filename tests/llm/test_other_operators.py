@@ -11,6 +11,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gatelens.llm import jaccard, packing, queries, rptree, urlfilter, warc
 from gatelens.llm.common import components
@@ -233,6 +234,23 @@ def test_packing_scores_all_terms_of_the_seed():
     assert order.index(4) < order.index(2)
 
 
+def test_packing_brings_like_documents_together(documents):
+    # families of documents that share rare words, far apart in the input
+    rows = [(k * 40 + f, " ".join([f"zyx{f}qj"] * 3 + [prose(60)])) for k in range(5) for f in range(40)]
+    tokens = packing.tokenized(documents(rows).repartition(7))
+    order = [r["doc_id"] % 40 for r in packing.by_content(tokens.where("n >= 0"), packing.statistics(tokens)).collect()]
+    assert sum(a == b for a, b in zip(order, order[1:])) >= 120
+    stats = packing.statistics(tokens)
+    assert stats.df.sum() > 0 and stats.df.max() <= 200
+
+
+def test_packing_seeds_anew_where_nothing_matches():
+    a, b, c = np.arange(100, 140), np.arange(500, 520), np.arange(600, 640)
+    ids = [np.append(x, 2).astype(np.uint32) for x in (a, b, c)]
+    assert list(packing.Index(ids).neighbours(0)) == []
+    assert [[i for i, _, _ in s] for s in packing.pack_shard(ids, 64)][:2] == [[0, 1, 2], [2]]
+
+
 # --- 9 ---
 
 
@@ -261,6 +279,23 @@ def test_warc_ranges_own_each_record_once():
     assert list(warc.records_in(warc.Bytes(io.BytesIO(b""), 0), 0, 0)) == []
 
 
+def test_warc_reads_in_many_tasks_and_checks_payloads(spark, tmp_path):
+    r = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(33 + r.randrange(90)) for _ in range(3000))) for i in range(200)], "page_id long, url string, html string").repartition(3)
+    made = warc.write_archives(pages, str(tmp_path / "w")).collect()
+    got = warc.read_archives(spark.createDataFrame(made, "path string, size long"), str(tmp_path / "w"), 64 << 10)
+    owners = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(owners) >= 5 and sum(x["count"] for x in owners) == 200
+    raw = zlib.decompress(warc.record(1, "u", b"abc", None, False), 31)
+    assert warc.parse(raw)[6] == b"abc"
+    with pytest.raises(ValueError, match="payload"):
+        warc.parse(raw.replace(b"abc", b"abd"))
+
+
+def test_warc_empty_table(saved, spark):
+    assert queries.queries()["op9_warc"](spark, saved(pages=spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
+
+
 def test_warc_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "one"), (2, "b", "one"), (3, "c", "two")], "page_id long, url string, html string")
     made = warc.write_archives(pages, str(tmp_path / "w"), least_bytes=4).collect()
