@@ -1,13 +1,16 @@
-"""Benchmark decontamination: hash sets of benchmark n-grams, scanned over document word windows.
+"""Benchmark decontamination: broadcast hash sets of benchmark n-grams, scanned over document word windows.
 
 Words are maximal runs of ASCII letters, ASCII digits and non-ASCII characters, A-Z lower-cased. An item's windows
-are its runs of ``window`` words, or the whole item where it is shorter. The benchmark is a query set: it is
-broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, each scanned against all rows, so the broadcast is bounded
-whatever the benchmark's size. Hash hits are verified on the words themselves.
-
-Null texts have no words, and items without words match nothing. Rows that repeat a doc_id are scanned one by one.
-Item ids that repeat count once; a null item_id counts as the empty string. Other columns are passed on by
-``remove_spans`` and ignored by ``scan``.
+are its runs of ``window`` words, or the whole item where it is shorter. The benchmark is a query set: the driver reads
+it row by row and broadcasts blocks of at most ``BLOCK_WINDOWS`` windows, an item that is longer in several; it holds
+one block at a time. A task takes a group of texts, hashes its words once, and looks its windows up in one block after
+another, so it holds one block and one group, and texts are never shuffled, whatever the benchmark's size. Hash hits are
+verified on the words themselves.
+
+Null texts have no words, and items without words match nothing. Texts and items of any length are taken whole. Rows
+that repeat a doc_id are scanned one by one. Item ids that repeat count once; a null item_id counts as the empty string.
+With an empty benchmark nothing is hit; an empty table gives no rows. Other columns, whatever their names, are passed on
+by ``remove_spans`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -16,161 +19,212 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from gatelens.llm.common import ALNUM, LOWER, hash_windows, hash_words, keep, slices, table, tidy, utf8, words
+from gatelens.llm.common import ALNUM, LOWER, SLICE_BYTES, hash_windows, hash_words, slices, table, tidy, utf8, words
 
 #: Windows in one broadcast block: about 150 bytes each, 30 MB.
 BLOCK_WINDOWS = 200_000
+#: Bytes of text that a task holds while it goes through several blocks.
+GROUP_BYTES = 8 << 20
 BITS = 22
 
 
+def said(text: str) -> list[bytes]:
+    data, off = utf8(pa.array([text]))
+    data = LOWER[data]
+    starts, ends, _ = words(data, off, ALNUM)
+    return [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+
+
 class Grams:
-    """Benchmark windows of one block, by length, with their texts and items."""
+    """Benchmark windows of one block, by length, with their items."""
 
-    def __init__(self, rows: list[tuple[str, str]], window: int):
+    def __init__(self):
         self.items: dict[bytes, list[str]] = {}
-        sizes: dict[bytes, int] = {}
-        for item, text in rows:
-            data, off = utf8(pa.array([text]))
-            data = LOWER[data]
-            starts, ends, _ = words(data, off, ALNUM)
-            said = [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-            for k in range(max(1, len(said) - window + 1) if said else 0):
-                key = b" ".join(said[k : k + window])
-                sizes[key] = min(window, len(said))
-                owners = self.items.setdefault(key, [])
-                if item not in owners:
-                    owners.append(item)
-        self.sizes = sorted(set(sizes.values()))
+        self.size_of: dict[bytes, int] = {}
+        self.count = 0
+
+    def add(self, item: str, window: list[bytes]) -> None:
+        key = b" ".join(window)
+        self.size_of[key] = len(window)
+        owners = self.items.setdefault(key, [])
+        if item not in owners:
+            owners.append(item)
+        self.count += 1
+
+    def seal(self) -> Grams:
         self.known: dict[int, np.ndarray] = {}
         self.bits: dict[int, np.ndarray] = {}
-        for n in self.sizes:
-            joined = b"\n".join(k for k, m in sizes.items() if m == n)
-            data = np.frombuffer(joined.replace(b"\n", b" "), np.uint8)
+        for n in sorted(set(self.size_of.values())):
+            joined = b" ".join(k for k, m in self.size_of.items() if m == n)
+            data = np.frombuffer(joined, np.uint8)
             starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
             hashed = hash_words(data, starts, ends).reshape(-1, n)
             self.known[n] = np.unique(np.concatenate([hash_windows(row, n) for row in hashed]))
             self.bits[n] = np.zeros(1 << BITS, bool)
             self.bits[n][(self.known[n] >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.size_of = {}
+        return self
+
+
+class Texts:
+    """The words of a batch's texts, their hashes, and what is found in them."""
+
+    def __init__(self, column: pa.Array):
+        data, off = utf8(column)
+        self.data, self.off = LOWER[data], off
+        self.starts, self.ends, self.before = words(self.data, off, ALNUM)
+        self.hashed = hash_words(self.data, self.starts, self.ends)
+        self.flags = np.zeros(len(self.starts), bool)
+        self.owners: dict[int, set[str]] = {}
 
-    def hits(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, list[str]]]]:
-        """Word starts, ends, words before each row, hit flags of the words, and (row, first word, items) of each occurrence."""
-        data, off = utf8(batch.column("text"))
-        data = LOWER[data]
-        starts, ends, before = words(data, off, ALNUM)
-        hashed = hash_words(data, starts, ends)
-        flags, found = np.zeros(len(starts), bool), []
-        for n in self.sizes:
-            h = hash_windows(hashed, n)
-            at = np.flatnonzero(self.bits[n][(h >> np.uint64(64 - BITS)).astype(np.int64)])
+    def look_up(self, grams: Grams) -> None:
+        for n, near in grams.known.items():
+            h = hash_windows(self.hashed, n)
+            at = np.flatnonzero(grams.bits[n][(h >> np.uint64(64 - BITS)).astype(np.int64)])
             if not len(at):
                 continue
-            near = self.known[n]
             at = at[near[np.minimum(np.searchsorted(near, h[at]), len(near) - 1)] == h[at]]
-            row = np.searchsorted(before, at, side="right") - 1
-            inside = at + n <= before[row + 1]
+            row = np.searchsorted(self.before, at, side="right") - 1
+            inside = at + n <= self.before[row + 1]
             for i, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
-                key = b" ".join(data[s:e].tobytes() for s, e in zip(starts[i : i + n], ends[i : i + n], strict=True))
-                owners = self.items.get(key)
+                key = b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[i : i + n], self.ends[i : i + n], strict=True))
+                owners = grams.items.get(key)
                 if owners:
-                    flags[i : i + n] = True
-                    found.append((r, i, owners))
-        return starts, ends, before, flags, found
+                    self.flags[i : i + n] = True
+                    self.owners.setdefault(r, set()).update(owners)
+
+    def flags_of(self, r: int) -> np.ndarray:
+        return self.flags[self.before[r] : self.before[r + 1]]
 
 
 def blocks(benchmark: DataFrame, window: int) -> Iterator[Grams]:
-    """The benchmark in blocks of bounded size, read row by row; at least one block."""
-    rows, size, some = [], 0, False
+    """The benchmark in blocks of bounded size, read row by row; none without words."""
+    now = Grams()
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null").toLocalIterator():
-        grown = len(r["text"].split()) + 1
-        if rows and size + grown > BLOCK_WINDOWS:
-            yield Grams(rows, window)
-            rows, size, some = [], 0, True
-        rows.append((r["item"], r["text"]))
-        size += grown
-    if rows or not some:
-        yield Grams(rows, window)
+        w = said(r["text"])
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            if now.count >= BLOCK_WINDOWS:
+                yield now.seal()
+                now = Grams()
+            now.add(r["item"], w[k : k + window])
+    if now.count:
+        yield now.seal()
+
+
+def broadcast_blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """The blocks as broadcast variables, which live in files; the driver's own objects are let go one by one."""
+    context, out = benchmark.sparkSession.sparkContext, []
+    for grams in blocks(benchmark, window):
+        sent = context.broadcast(grams)
+        if hasattr(sent, "_value"):
+            del sent._value
+        out.append(sent)
+    return out
+
+
+class Scanner:
+    """Goes through the blocks for groups of texts; holds one block at a time."""
+
+    def __init__(self, sent: list[Broadcast]):
+        self.sent, self.held = sent, None
+
+    def block(self, i: int) -> Grams:
+        if self.held is not None and self.held != i:
+            vars(self.sent[self.held]).pop("_value", None)
+        self.held = i
+        return self.sent[i].value
+
+    def mark(self, texts: list[Texts]) -> None:
+        order = range(len(self.sent))
+        # the block that is held comes first
+        for i in sorted(order, key=lambda i: i != self.held):
+            grams = self.block(i)
+            for t in texts:
+                t.look_up(grams)
+
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, Texts]]]:
+        """Marked batches, in groups of about GROUP_BYTES where there are several blocks to go through."""
+        limit, group, size = GROUP_BYTES if len(self.sent) > 1 else SLICE_BYTES, [], 0
+        for batch in slices(batches):
+            group.append((batch, Texts(batch.column("text"))))
+            size += len(group[-1][1].data)
+            if size >= limit:
+                self.mark([t for _, t in group])
+                yield group
+                group, size = [], 0
+        if group:
+            self.mark([t for _, t in group])
+            yield group
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, n_words, hit_ranges, items) of every row: hit words as [first, end) ranges, items sorted as strings.
+    """(doc_id, n_words, hit_ranges, items) of every row: hit words as [first, end) ranges, items sorted as strings."""
+    sent = broadcast_blocks(benchmark, window)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
 
-    One block, the usual case, is one pass without a shuffle. More blocks are merged by row.
-    """
-    schema = "row long, doc_id long, n_words long, hit_ranges array<struct<first: long, end: long>>, items array<string>"
-    parts = list(blocks(benchmark, window))
-    source = docs.select("doc_id", "text")
-    if len(parts) > 1:
-        source = source.withColumn("row", F.xxhash64("doc_id", "text"))
-
-    def scanner(grams: Grams):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                _, _, before, flags, found = grams.hits(batch)
-                owners: list[set[str]] = [set() for _ in range(batch.num_rows)]
-                for r, _, items in found:
-                    owners[r].update(items)
-                ranges = [[] for _ in owners]
-                for r in {r for r, _, _ in found}:
-                    f = np.diff(np.concatenate(([0], flags[before[r] : before[r + 1]].astype(np.int8), [0])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in Scanner(sent).groups(batches):
+            for batch, t in group:
+                ranges = [[] for _ in range(batch.num_rows)]
+                for r in t.owners:
+                    f = np.diff(np.concatenate(([0], t.flags_of(r).astype(np.int8), [0])))
                     ranges[r] = [{"first": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(f == 1), np.flatnonzero(f == -1), strict=True)]
-                row = batch.column("row") if "row" in batch.schema.names else pa.nulls(batch.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [row, batch.column("doc_id"), pa.array(np.diff(before)), pa.array(ranges, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(o) for o in owners], pa.list_(pa.string()))],
-                    names=["row", "doc_id", "n_words", "hit_ranges", "items"],
-                )
-
-        return run
-
-    found = [source.mapInArrow(tidy(scanner(g)), schema) for g in parts]
-    if len(found) == 1:
-        return found[0].drop("row")
-    merged = found[0]
-    for other in found[1:]:
-        merged = merged.unionByName(other)
-    # rows that repeat an id and a text give as many results as there are blocks, times the repeats
-    times = F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int"))).alias("_")
-    ranges = F.aggregate(
-        F.array_sort(F.flatten(F.collect_set("hit_ranges"))),
-        F.expr("cast(array() as array<struct<first: bigint, end: bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["first"]),
-                              F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    grouped = merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), ranges.alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("n"))
-    return grouped.select("doc_id", "n_words", "hit_ranges", "items", times).drop("_")
+                cols = [batch.column("doc_id"), np.diff(t.before), ranges, [sorted(t.owners.get(r, ())) for r in range(batch.num_rows)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "hit_ranges", "items"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_words long, hit_ranges array<struct<first: long, end: long>>, items array<string>")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_share: float = 0.8) -> DataFrame:
     """docs with hit spans cut out; a document of which ``drop_share`` of the words are hit goes.
 
     A span runs from the first byte of its first word to the last byte of its last word; a line break takes its
-    place. Texts are scanned again until nothing is found, as the parts on both sides may meet. n_chars follows.
-
-    One block, the usual case, is one pass. With more, every block marks its hits on the same text, which is cut once
-    by the union of the marks; rows that were cut are scanned again by all blocks. The result is that of one block.
+    place. A text is cut once by the union of all blocks' hits, and the texts that were cut are scanned again by all
+    blocks until nothing is found, as the parts on both sides may meet. n_chars follows.
     """
-    parts = list(blocks(benchmark, window))
-    if len(parts) == 1:
-        return docs.mapInArrow(tidy(_cutter(parts[0], drop_share)), docs.schema)
-    # _hits: marks of a text's words as bits; _words, _gone: words of the text as it came, and those cut so far
-    schema = StructType([*docs.schema.fields, StructField("_hits", BinaryType()), StructField("_words", LongType()), StructField("_gone", LongType())])
-    work, settled = docs.select("*", F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_gone")), []
-    while True:
-        for grams in parts:
-            work = work.mapInArrow(tidy(_marker(grams)), schema)
-        marked = keep(work, "decontam")
-        settled.append(marked.where("_hits is null").select(*docs.columns))
-        work = marked.where("_hits is not null").mapInArrow(tidy(_mark_cutter(drop_share)), schema)
-        work = keep(work, "decontam")
-        if work.isEmpty():
-            break
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out
+    sent = broadcast_blocks(benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(sent)
+        for group in scanner.groups(batches):
+            new = [{} for _ in group]  # row: text, words as it came, words gone
+            work = [(g, r, t, r) for g, (_, t) in enumerate(group) for r in t.owners]
+            raw = [utf8(batch.column("text")) for batch, _ in group]
+            while work:
+                texts = []
+                for g, r, t, k in work:
+                    text, total, gone = new[g].get(r, (None, int(t.before[k + 1] - t.before[k]), 0))
+                    text = raw[g][0][raw[g][1][r] : raw[g][1][r + 1]].tobytes() if text is None else text
+                    own = slice(t.before[k], t.before[k + 1])
+                    flags = t.flags[own]
+                    new[g][r] = (_cut(text, t.starts[own] - t.off[k], t.ends[own] - t.off[k], flags), total, gone + int(flags.sum()))
+                    texts.append(new[g][r][0].decode())
+                again = Texts(pa.array(texts, pa.string()))
+                scanner.mark([again])
+                work = [(g, r, again, k) for k, (g, r, *_) in enumerate(work) if k in again.owners]
+            for (batch, _), changed in zip(group, new, strict=True):
+                yield _with(batch, changed, drop_share) if changed else batch
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
+def _with(batch: pa.RecordBatch, changed: dict[int, tuple[bytes, int, int]], drop_share: float) -> pa.RecordBatch:
+    """batch with the changed texts; rows of which enough is gone go."""
+    cols, stay = dict(zip(batch.schema.names, batch.columns, strict=True)), np.ones(batch.num_rows, bool)
+    texts = cols["text"].to_pylist()
+    sizes = cols["n_chars"].to_pylist() if "n_chars" in cols else None
+    for r, (text, total, gone) in changed.items():
+        texts[r], stay[r] = text.decode(), gone < drop_share * total
+        if sizes:
+            sizes[r] = len(texts[r])
+    cols["text"] = pa.array(texts, pa.string()).cast(cols["text"].type)
+    if sizes:
+        cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema).filter(pa.array(stay))
 
 
 def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> bytes:
@@ -183,86 +237,7 @@ def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) ->
     return b"\n".join([*out, raw[at:]])
 
 
-def _replaced(batch: pa.RecordBatch, new: dict[str, list]) -> pa.RecordBatch:
-    """batch with other values in some columns."""
-    cols = [pa.array(new[name], pa.string()).cast(c.type) if name == "text" and name in new else pa.array(new[name], c.type) if name in new else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
-    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-
-def _marker(grams: Grams):
-    """Adds the block's hits to ``_hits``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            _, _, before, flags, found = grams.hits(batch)
-            if not found:
-                yield batch
-                continue
-            marks = batch.column("_hits").to_pylist()
-            for r in {r for r, _, _ in found}:
-                bits = np.packbits(flags[before[r] : before[r + 1]])
-                marks[r] = (bits if marks[r] is None else bits | np.frombuffer(marks[r], np.uint8)).tobytes()
-            yield _replaced(batch, {"_hits": marks})
-
-    return run
-
-
-def _mark_cutter(drop_share: float):
-    """Cuts what is marked; documents of which enough is gone go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, off = utf8(batch.column("text"))
-            starts, ends, before = words(data, off, ALNUM)
-            texts, marks = [], batch.column("_hits").to_pylist()
-            totals, gone = batch.column("_words").to_pylist(), batch.column("_gone").to_pylist()
-            for r, mark in enumerate(marks):
-                a, z = before[r], before[r + 1]
-                flags = np.unpackbits(np.frombuffer(mark, np.uint8), count=int(z - a)).astype(bool)
-                totals[r] = int(z - a) if totals[r] is None else totals[r]
-                gone[r] += int(flags.sum())
-                texts.append(_cut(data[off[r] : off[r + 1]].tobytes(), starts[a:z] - off[r], ends[a:z] - off[r], flags).decode())
-            new = {"text": texts, "_hits": [None] * len(texts), "_words": totals, "_gone": gone}
-            if "n_chars" in batch.schema.names:
-                new["n_chars"] = [len(t) for t in texts]
-            yield _replaced(batch, new).filter(pa.array([g < drop_share * t for g, t in zip(gone, totals, strict=True)]))
-
-    return run
-
-
-def _cutter(grams: Grams, drop_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            *_, found = grams.hits(batch)
-            hit = sorted({r for r, _, _ in found})
-            if not hit:
-                yield batch
-                continue
-            texts, stay = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
-            for r in hit:
-                text, total, gone = texts[r], None, 0
-                while True:
-                    one = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"])
-                    starts, ends, _, flags, more = grams.hits(one)
-                    total = len(starts) if total is None else total
-                    if not more:
-                        break
-                    gone += int(flags.sum())
-                    text = _cut(text.encode(), starts, ends, flags).decode()
-                texts[r], stay[r] = text, gone < drop_share * total
-            new = {"text": texts}
-            if "n_chars" in batch.schema.names:
-                new["n_chars"] = batch.column("n_chars").to_pylist()
-                for r in hit:
-                    new["n_chars"][r] = len(texts[r])
-            yield _replaced(batch, new).filter(pa.array(stay))
-
-    return run
-
-
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-

@@ -195,9 +195,10 @@ def brute_decontamination(rows, items):
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, str(r)))
 
 
-@pytest.mark.parametrize("block", [200_000, 20])
+@pytest.mark.parametrize("block", [200_000, 20, 3])
 def test_decontamination(documents, saved, spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 500)
     items = [(1, prose(EN, 14)), (2, "Été, déjà vu!"), (3, prose(EN, 25)), (3, prose(FR, 11)), (None, prose(FR, 10)), (4, None), (5, " .,")]
     rows = [*ODD, *[(i, " ".join([prose(EN, 5), rng.choice(items)[1] or "", prose(FR, 5), "ÉTÉ; déjà" if i % 3 else "x"])) for i in range(20, 60)], (70, items[0][1].upper()), (71, items[2][1][:-3]), (72, "vu"), (72, "vu")]
     d = saved(documents=documents(rows), benchmark=spark.createDataFrame(items, "item_id long, text string"))
@@ -223,8 +224,8 @@ def test_decontamination_removes_spans_of_all_blocks_at_once(documents, spark, m
     rows += [(3, " ".join([*w[40:52], *w[60:66], *w[150:152]])), (4, " ".join([*w[100:110], "É,", *w[60:66]])), (5, " ".join(w[:15])), (6, None), (None, "É x")]
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     one = key(decontam.remove_spans(documents(rows), bench))
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 20)
-    assert len(list(decontam.blocks(bench, 10))) > 1
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 1)
+    assert len(list(decontam.blocks(bench, 10))) == 7
     got = decontam.remove_spans(documents(rows), bench)
     assert key(got) == one and got.schema == documents(rows).schema
     kept = {r["doc_id"]: r for r in got.collect()}
