@@ -10,15 +10,22 @@ The classes left have their shingles in one global order, rare ones first, and s
 one of the first ``n - ceil(0.8 n) + 1`` of each. Classes joined by such shingles form candidate groups, and each
 class's set is sent to its group once. In a task a group's sets are stored as a trie in a common order, sets with a
 common beginning next to each other. A probe walks it and carries the overlap of every common beginning over to all
-sets below; a subtree goes when overlap plus what can still follow is too little. Pairs that are connected already
-are passed over, so many copies of one text cost one link each. Groups over ``BLOCK`` classes are first joined in
-random blocks, twice; then only classes outside the group's largest component are compared with all of its classes, in
-pairs of blocks. No pair is left out, no group comes into one task, and nothing is collected.
+sets below; where overlap plus what can still follow is too little, the walk jumps over the whole subtree. Pairs that
+are connected already are passed over, so many copies of one text cost one link each. Groups over ``BLOCK`` classes are
+first joined in random blocks, twice. What that leaves is compared by the shingles themselves: each shingle of a prefix
+names the smallest class that holds it, and the classes that name the same one are a list. Lists whose classes aren't
+all connected compare those outside the list's largest component with all of its classes, in pairs of blocks. No
+candidate pair is left out, no group or list comes into one task, and nothing is collected.
+
+What comes out is connectivity: pairs whose ends are connected already are not compared, so the links found are a
+spanning forest of all links, and its components are those of all links.
 
 Rows: texts without words, null ones included, have an empty set and link with nothing. Rows that repeat a doc_id
-are separate rows that share it. Ids of components are the smallest doc_id, nulls last. Other columns are passed on by
-``keep_one``. Sets are compared by 64-bit hashes of shingles; repeats are counted by at least 48 bits of them, where a
-false match only lets a class pass to the exact steps.
+are separate rows that share it. Ids of components are the smallest doc_id, nulls last. Texts of any length are taken
+whole; an empty table gives no rows. Other columns, whatever their names, are passed on by ``keep_one``. Sets are
+compared by 64-bit hashes of shingles; classes are known by a 64-bit hash of the set, so that n different sets give
+n * n / 2 ** 65 false classes in expectation (2.7 at 10 ** 10). Repeats are counted by at least 48 bits of the shingles,
+where a false match only lets a class pass to the exact steps.
 """
 
 from __future__ import annotations
@@ -69,17 +76,20 @@ def packed(sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     own = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(h)
     h, own = h[order], own[order]
-    bounds = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+    part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(h)])) if len(h) else np.zeros(1, np.int64)
     low = np.ascontiguousarray(((h << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-    for r, (a, z) in enumerate(zip([0, *bounds.tolist()], [*bounds.tolist(), len(h)], strict=True)):
-        if z > a:
-            yield r, low[a:z].tobytes() + own[a:z].tobytes()
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(part[a]), low[a:z].tobytes() + own[a:z].tobytes()
 
 
 def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
-    """(id, cid, n, rep) of every row: how many of a set's n shingles are in another set too. sets_of: batch -> ids, sets."""
+    """(id, th, cid, n, rep) of every row: how many of a set's n shingles are in another set too.
+
+    sets_of: batch -> ids, hashes of texts, sets.
+    """
     ranges = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_SHINGLES)
-    bits = min(16, (ranges - 1).bit_length())
+    bits = min(40, (ranges - 1).bit_length())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -92,14 +102,14 @@ def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "blob"])
 
         for batch in slices(batches, column):
-            ids, found = sets_of(batch)
-            for i, s in zip(ids.to_pylist(), found, strict=True):
+            ids, texts, found = sets_of(batch)
+            for i, t, s in zip(ids.to_pylist(), texts.to_pylist(), found, strict=True):
                 cid = set_id(s)
                 if len(s) and cid not in number:
                     number[cid] = len(sets)
                     sets.append(s)
                     n += len(s)
-                meta.append((i, cid, len(s), number.get(cid, -1)))
+                meta.append((i, t, cid, len(s), number.get(cid, -1)))
             if n > PACK_SHINGLES or len(sets) > PACK_DOCS - 10_000 or len(meta) > 4 * PACK_DOCS:
                 yield flush()
                 block += 1
@@ -135,11 +145,11 @@ def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
             else:
                 c = np.frombuffer(blob, np.uint32)
                 rep[: len(c)] += c
-        i, cid, n, number = zip(*meta, strict=True)
-        return pa.table({"id": pa.array(i, pa.int64()), "cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "rep": pa.array([int(rep[k]) if k >= 0 else 0 for k in number], pa.int64())})
+        i, t, cid, n, number = zip(*meta, strict=True)
+        return pa.table({"id": pa.array(i, pa.int64()), "th": pa.array(t, pa.int64()), "cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "rep": pa.array([int(rep[k]) if k >= 0 else 0 for k in number], pa.int64())})
 
     counted = source.mapInArrow(tidy(pack), "part long, block long, blob binary").groupBy("part").applyInArrow(tidy(count), "block long, meta boolean, blob binary")
-    return keep(counted.groupBy("block").applyInArrow(total_up, "id long, cid long, n long, rep long"), "repeats")
+    return keep(counted.groupBy("block").applyInArrow(total_up, "id long, th long, cid long, n long, rep long"), "repeats")
 
 
 def trie_join(sets: list[np.ndarray], probes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -162,6 +172,12 @@ def trie_join(sets: list[np.ndarray], probes: np.ndarray, labels: np.ndarray, pe
         m = min(len(a), len(b))
         diff = np.flatnonzero(a[:m] != b[:m])
         lcp[k] = int(diff[0]) if len(diff) else m
+    # the next place with a shorter common beginning: from there to there is a subtree
+    after, open_at = [len(lcp)] * len(lcp), []
+    for k in range(len(lcp)):
+        while open_at and lcp[open_at[-1]] > lcp[k]:
+            after[open_at.pop()] = k
+        open_at.append(k)
     parent = list(range(len(sets)))
     first: dict[int, int] = {}
     for i, x in enumerate(labels.tolist()):
@@ -179,17 +195,21 @@ def trie_join(sets: list[np.ndarray], probes: np.ndarray, labels: np.ndarray, pe
         own = paths[i]
         mark[own] = 1
         ahead = np.zeros(most + 1, np.int64)  # ahead[d]: overlap of the first d shingles of the path walked last
-        shared, dead = len(own), most + 2  # the path shares its first `shared` shingles with ahead; below depth `dead` nothing can link
+        shared = len(own)  # the path shares its first `shared` shingles with ahead
         ahead[: len(own) + 1] = np.arange(len(own) + 1)
         n_i = int(size[i])
         floor = -(-percent * (n_i + max(least, -(-percent * n_i // 100))) // (100 + percent))
         home = root(i)
-        for m in range(k + 1, len(by_path)):
+        m, dead = k, most + 2  # nothing can link among paths that begin like the last one down to depth `dead`
+        while True:
+            m += 1
+            while m < len(by_path) and lcp[m] >= dead:
+                m = after[m]
+            if m >= len(by_path):
+                break
+            dead = most + 2
             if lcp[m] < shared:
                 shared = lcp[m]
-            if dead <= shared:
-                continue
-            dead = most + 2
             j = by_path[m]
             n_j = int(size[j])
             if (not (probes[i] or probes[j])) or 100 * min(n_i, n_j) < percent * max(n_i, n_j) or root(j) == home:
@@ -249,8 +269,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["cid", "tok"])
 
 
-def candidate_groups(sets: DataFrame, passed: DataFrame, percent: int) -> DataFrame | None:
-    """(u1, c, cid): classes that share a shingle of their prefixes, directly or over others, and how many they are."""
+def candidate_groups(sets: DataFrame, passed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """Groups (u1, c, cid): classes that share a shingle of their prefixes, directly or over others, and how many they are.
+    Lists (pivot, cid): classes with a shingle of their prefixes whose smallest holder is the pivot, which is in it too.
+    """
     tokens = sets.join(passed.select("cid"), "cid", "left_semi").mapInArrow(tidy(_tokens), "cid long, tok long")
     held = keep(tokens, "tokens")
     often = held.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
@@ -264,7 +286,8 @@ def candidate_groups(sets: DataFrame, passed: DataFrame, percent: int) -> DataFr
     if edges.isEmpty():
         return None
     groups = keep(components(edges).select(F.col("node").alias("cid"), F.col("root").alias("u1")))
-    return keep(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1"))
+    lists = edges.select(F.col("a").alias("pivot"), F.col("b").alias("cid")).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("cid")).distinct())
+    return keep(groups.join(groups.groupBy("u1").agg(F.count("*").alias("c")), "u1")), lists
 
 
 def class_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -274,24 +297,26 @@ def class_components(docs: DataFrame, rows: DataFrame, size: int, percent: int)
     if first.isEmpty():
         return None
     sets = class_sets(docs, first.select("id", "cid"), size)
-    loaded = lambda batch: (batch.column("cid"), [np.frombuffer(b, np.uint64) for b in batch.column("s").to_pylist()])
+    loaded = lambda batch: (batch.column("cid"), pa.nulls(batch.num_rows, pa.int64()), [np.frombuffer(b, np.uint64) for b in batch.column("s").to_pylist()])
     n = first.dropDuplicates(["cid"]).agg(F.sum("n")).collect()[0][0]
     passed = enough(repeats(sets, loaded, n, "s"))
-    groups = candidate_groups(sets, passed, percent)
-    if groups is None:
+    found = candidate_groups(sets, passed, percent)
+    if found is None:
         return None
+    groups, lists = found
     blocks = lambda n: F.ceil(n / (BLOCK / 2)).cast("int")
     part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), n).cast("int")
     whole = groups.select("u1", F.lit(-1).alias("u2"), F.lit(-1).alias("u3"), "cid", "c").where(f"c <= {BLOCK}")
     dealt = [groups.where(f"c > {BLOCK}").select("u1", F.lit(salt).alias("u2"), part(salt, blocks(F.col("c"))).alias("u3"), "cid", "c") for salt in (0, 1)]
     units = whole.unionByName(dealt[0]).unionByName(dealt[1]).select("u1", "u2", "u3", "cid", F.lit(True).alias("probe"), F.col("cid").alias("label"))
     links = join_units(units, sets, percent)
-    large = keep(groups.where(f"c > {BLOCK}"))
+    large = groups.where(f"c > {BLOCK}").select("cid")
     if not large.isEmpty():
         labels = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = keep(large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"))
+        held = lists.join(large, "cid", "left_semi").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+        now = keep(held.select(F.col("pivot").alias("u1"), "cid", F.coalesce("root", "cid").alias("label")))
         counts = now.groupBy("u1", "label").agg(F.count("*").alias("m"))
-        major = counts.groupBy("u1").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).select("u1", F.col("top.label").alias("major"), (F.col("all") - F.col("top.m")).alias("others")).where("others > 0")
+        major = counts.groupBy("u1").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("c")).select("u1", "c", F.col("top.label").alias("major"), (F.col("c") - F.col("top.m")).alias("others")).where("others > 0")
         left = keep(now.join(major, "u1"))
         rest = left.where("label <> major")
         fan = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
@@ -303,27 +328,59 @@ def class_components(docs: DataFrame, rows: DataFrame, size: int, percent: int)
     return components(links).withColumnRenamed("node", "cid")
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, th, n_shingles, lead) of every row: lead is the (doc_id, th) of its component's first row, nulls last."""
     about = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    counted = repeats(docs.select("doc_id", "text"), lambda batch: (batch.column("doc_id"), shingle_sets(batch, size)), about // 6, "text")
-    rows = counted.select(F.col("id").alias("doc_id"), "cid", F.col("n").alias("n_shingles"))
+    source = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    counted = repeats(source, lambda batch: (batch.column("doc_id"), batch.column("th"), shingle_sets(batch, size)), about // 6, "text")
+    rows = counted.select(F.col("id").alias("doc_id"), "th", "cid", F.col("n").alias("n_shingles"))
     roots = class_components(docs, counted, size, percent)
-    firsts = rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("lead"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    firsts = rows.where("n_shingles > 0").groupBy("cid").agg(F.min(own).alias("lead"))
     if roots is not None:
         rooted = firsts.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         least = rooted.groupBy("root").agg(F.min("lead").alias("component"))
         firsts = rooted.join(least, "root").select("cid", F.col("component").alias("lead"))
     # classes with one row keep their own id, so only the others' rows meet, and a large class is split by the join
     named = rows.join(keep(firsts), "cid", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("lead", own)).otherwise(own).alias("lead"))
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return _named(docs, size, percent).select("doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows that repeat that id all stay."""
-    away = near_duplicates(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, F.col("doc_id") == F.col("_away"), "left_anti")
+    """docs with one document of each component, the one with the smallest id, nulls last.
+
+    A row goes by its id and its text, so another text under the same id stays. Rows that repeat the kept id and its text
+    are one document and all stay.
+    """
+    named = _named(docs, size, percent)
+    same = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.th") == F.col("th"))
+    away = named.where(~same).select(F.col("doc_id").alias("away_id"), F.col("th").alias("away_th")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"))
+    return rows.join(away, F.col("row.doc_id").eqNullSafe(F.col("away_id")) & (F.col("th") == F.col("away_th")), "left_anti").select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM split
+), items AS (SELECT r, unnest(s) AS x FROM sets
+), sizes AS (SELECT r, doc_id, len(s) AS n FROM sets
+), shared AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS m FROM items a JOIN items b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2
+), links AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes p ON p.r = s.a JOIN sizes q ON q.r = s.b WHERE 100 * m >= 80 * (p.n + q.n - m)
+), RECURSIVE_EDGES AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT r, r FROM sizes
+)
+SELECT * FROM sizes
+"""

@@ -121,6 +121,13 @@ def test_jaccard_keep_one_and_empty(documents):
     out = jaccard.keep_one(documents(rows))
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 9, 10, 11] and "host" in out.columns
     assert jaccard.near_duplicates(documents([])).collect() == []
+    # by row: another text under the same id stays; without an id one of two stays
+    other = prose(70)
+    rows = [(0, text), (1, text), (1, other), (None, other + " x"), (None, prose(30)), (None, text + " y")]
+    docs = documents(rows).selectExpr("*", "1 AS th", "2 AS away_id", "3 AS cid", "4 AS row", "5 AS lead")
+    out = jaccard.keep_one(docs).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(0, text), (1, other), (None, rows[4][1])], key=str)
+    assert {(r["th"], r["away_id"], r["row"]) for r in out} == {(1, 2, 4)}
 
 
 def test_trie_join_is_exact():
