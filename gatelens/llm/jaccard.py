@@ -369,18 +369,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH split AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
 ), sets AS (
   SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM split
-), items AS (SELECT r, unnest(s) AS x FROM sets
-), sizes AS (SELECT r, doc_id, len(s) AS n FROM sets
-), shared AS (
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s
+  FROM split
+), items AS (SELECT r, unnest(s) AS x FROM sets), sizes AS (SELECT r, doc_id, len(s) AS n FROM sets), shared AS (
   SELECT a.r AS a, b.r AS b, count(*) AS m FROM items a JOIN items b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2
 ), links AS (
   SELECT s.a, s.b FROM shared s JOIN sizes p ON p.r = s.a JOIN sizes q ON q.r = s.b WHERE 100 * m >= 80 * (p.n + q.n - m)
-), RECURSIVE_EDGES AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT r, r FROM sizes
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (
+  SELECT r, r AS x FROM sizes UNION SELECT reach.r, edges.b FROM reach JOIN edges ON reach.x = edges.a
 )
-SELECT * FROM sizes
+SELECT s.doc_id, s.n AS n_shingles, (SELECT min(o.doc_id) FROM reach JOIN sizes o ON o.r = reach.x WHERE reach.r = s.r) AS component_id FROM sizes s
 """

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from gatelens.llm.decontam import op5_decontamination
-from gatelens.llm.jaccard import op6_jaccard_join
+from gatelens.llm.decontam import OP5_SQL, op5_decontamination
+from gatelens.llm.jaccard import OP6_SQL, op6_jaccard_join
 from gatelens.llm.langid import op2_languages
 from gatelens.llm.linededup import OP3_SQL, op3_line_dedup
 from gatelens.llm.nbsvm import op10_quality
 from gatelens.llm.packing import op8_packing
-from gatelens.llm.rptree import op7_vector_dedup
+from gatelens.llm.rptree import OP7_SQL, op7_vector_dedup
 from gatelens.llm.secrets import op1_secret_scan
 from gatelens.llm.urlfilter import OP4_SQL, op4_url_filter
-from gatelens.llm.warc import op9_warc
+from gatelens.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
@@ -20,4 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are held against brute force in the tests."""
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL}
+    return {
+        "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL,
+        "op6_jaccard_join": OP6_SQL, "op7_vector_dedup": OP7_SQL, "op9_warc": OP9_SQL,
+    }

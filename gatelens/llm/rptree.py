@@ -226,3 +226,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES)
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), sound AS (
+  SELECT r, e, len(e) AS n FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.n = b.n AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT r, r AS x FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.x = links.a
+), least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.x GROUP BY reach.r)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (r)
+"""

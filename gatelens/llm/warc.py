@@ -210,3 +210,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = write_archives(table(spark, sf_dir, "pages"), folder).collect()  # a row for each archive
     manifest = spark.createDataFrame(made, "path string, size long")
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (
+  SELECT page_id, html, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(sha1(html), i, 1)) - 1), 4, '0')), '') AS bits, max(page_id) OVER (PARTITION BY html) AS top
+  FROM p
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, i * 5 + j, 1) = '1' THEN power(2, 5 - j) ELSE 0 END)) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM h
+"""
