@@ -5,6 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -58,10 +61,12 @@ def tidy(f):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; a local one only where none is set and there is one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "/tmp/checkpoints/gatelens"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints/gatelens")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -1,15 +1,18 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Each tree splits a bounded sample of the vectors by random directions at the median, down to a depth that follows the
-number of all vectors. Every vector is dealt to leaves; near a split it goes both ways (spill), in proportion to the
-distance that two linked vectors can have. Within a leaf all cosines are computed in double precision. A pair that
+Each tree splits a bounded sample of the vectors by random directions, one for each level, at the median, down to a depth
+that follows the number of all vectors. Where few sampled vectors are left a split goes through the middle of those, so
+leaves go on shrinking when the table outgrows the sample; nodes are four numbers each, so a forest of the greatest
+depth is ``TREES * 2 ** DEPTH_MOST`` times 32 bytes. Every vector is dealt to leaves; near a split it goes both ways
+(spill), in proportion to the distance that two linked vectors can have. Within a leaf all cosines are computed in double precision. A pair that
 meets in several leaves is counted in the one with the smallest number, so no pair need be shuffled: a leaf returns
 counts, and a spanning forest of its links for the union. Leaves with many members are compared in pairs of blocks.
 Equal vectors are one class with a multiplicity, so copies meet nobody.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay. Vectors of
 different lengths don't link; each length has its own forest. Rows that repeat a vec_id are separate vectors that
-share it. A component's id is its smallest vec_id, nulls last. Other columns are ignored.
+share it. A component's id is its smallest vec_id, nulls last. An empty table gives no rows. Other columns are ignored.
+Classes are known by a 64-bit hash of the vector: n different ones give n * n / 2 ** 65 false classes in expectation.
 """
 
 from __future__ import annotations
@@ -27,17 +30,17 @@ from gatelens.llm.common import components, keep, table, tidy
 COSINE = 0.95
 TREES = 4
 LEAF = 512
-#: The stated bound on the vectors that the trees are fitted to, and the least of them at a split.
-SAMPLE, LEAST_SPLIT = 20_000, 16
+#: The stated bound on the vectors that the trees are fitted to, and on a tree's depth.
+SAMPLE, DEPTH_MOST = 20_000, 18
 SPILL = 1.0
 LEAF_MOST = 2048
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Nodes in rows: direction, bounds of the spill, children; a child c < 0 is leaf -1 - c."""
+    """Nodes in rows: bounds of the spill, children; a child c < 0 is leaf -1 - c. directions: a row for each level."""
 
-    direction: np.ndarray
+    directions: np.ndarray
     low: np.ndarray
     high: np.ndarray
     left: np.ndarray
@@ -48,19 +51,16 @@ class Tree:
         """(row, leaf) of each place that a row goes to."""
         if not len(self.low):
             return np.arange(len(x)), np.zeros(len(x), np.int64)
-        work, rows, leaves = [(0, np.arange(len(x)))], [], []
-        while work:
-            node, own = work.pop()
-            p = x[own] @ self.direction[node]
-            for child, part in ((self.left[node], own[p <= self.high[node]]), (self.right[node], own[p >= self.low[node]])):
-                if not len(part):
-                    continue
-                if child < 0:
-                    rows.append(part)
-                    leaves.append(np.full(len(part), -1 - child, np.int64))
-                else:
-                    work.append((int(child), part))
-        return np.concatenate(rows), np.concatenate(leaves)
+        rows, node, done_rows, done = np.arange(len(x)), np.zeros(len(x), np.int64), [], []
+        for way in (x @ self.directions.T).T:
+            p = way[rows]
+            left, right = p <= self.high[node], p >= self.low[node]
+            rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([self.left[node[left]], self.right[node[right]]])
+            end = node < 0
+            done_rows.append(rows[end])
+            done.append(-1 - node[end])
+            rows, node = rows[~end], node[~end]
+        return np.concatenate(done_rows), np.concatenate(done)
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -70,33 +70,29 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def grow(sample: np.ndarray, depth: int, cosine: float, seed: int) -> Tree:
-    draw, nodes, leaves = np.random.default_rng(seed), [], 0
     d = sample.shape[1]
+    ways = np.random.default_rng(seed).standard_normal((depth if len(sample) else 0, d))
+    ways /= np.linalg.norm(ways, axis=1, keepdims=True)
     # half the distance of linked vectors along a random direction, in standard deviations
     reach = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(d) / 2
-
-    def split(own: np.ndarray, level: int) -> int:
-        nonlocal leaves
-        if level == depth or len(own) < LEAST_SPLIT:
-            leaves += 1
-            return -leaves
-        way = draw.standard_normal(d)
-        way /= np.linalg.norm(way)
-        p = sample[own] @ way
-        middle = float(np.median(p))
-        at = len(nodes)
-        nodes.append([way, middle - reach, middle + reach, 0, 0])
-        nodes[at][3] = split(own[p <= middle + reach], level + 1)
-        nodes[at][4] = split(own[p >= middle - reach], level + 1)
-        return at
-
-    if depth and len(sample) >= LEAST_SPLIT:
-        split(np.arange(len(sample)), 0)
-    else:
-        leaves = 1
+    places, nodes, now = sample @ ways.T, [], [np.arange(len(sample))]
+    # level by level: a level's nodes follow each other, and so do their children
+    for level in range(len(ways)):
+        below, first = [], sum(map(len, nodes)) + len(now)
+        found = np.empty((len(now), 4))
+        for k, own in enumerate(now):
+            p = places[own, level]
+            middle = float(np.median(p))
+            found[k] = middle - reach, middle + reach, first + 2 * k, first + 2 * k + 1
+            below += [own[p <= middle + reach], own[p >= middle - reach]]
+        if level == len(ways) - 1:
+            found[:, 2:] = -1 - np.arange(2 * len(now)).reshape(-1, 2)
+        nodes.append(found)
+        now = below
     if not nodes:
-        return Tree(np.zeros((0, d)), *(np.zeros(0) for _ in range(4)), 1)
-    return Tree(np.stack([n[0] for n in nodes]), *(np.array([n[i] for n in nodes]) for i in range(1, 5)), leaves)
+        return Tree(ways, *(np.zeros(0) for _ in range(4)), 1)
+    table = np.concatenate(nodes)
+    return Tree(ways, table[:, 0], table[:, 1], table[:, 2].astype(np.int64), table[:, 3].astype(np.int64), len(now))
 
 
 def deal_all(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +132,7 @@ def class_links(classes: DataFrame, cosine: float, trees: int) -> tuple[DataFram
     part = F.pmod(F.xxhash64(F.lit("forest"), "cid"), F.lit(1 << 30)) < int(share * (1 << 30))
     taken = classes.where(part).select("cid", "v").toArrow().sort_by("cid").column("v").to_pylist()
     sample = unit(np.array([np.frombuffer(b, np.float64) for b in taken])) if taken else np.zeros((0, 1))
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+    depth = min(DEPTH_MOST, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
     forest = [grow(sample, depth, cosine, seed) for seed in range(trees)]
 
     def dealt(split: dict[int, int]):
@@ -220,7 +216,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES)
         named = rooted.join(least, "root").join(counts, "cid", "left").select("cid", "mult", F.col("component").alias("lead"), "n")
     else:
         named = named.withColumn("n", F.lit(0).cast("long"))
-    out = light.join(keep(named), "cid", "left").select("vec_id", F.coalesce(F.col("mult") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("lead", "vec_id").alias("component_id"))
+    # vectors that link with nothing have keys of their own, so that they don't meet in one task
+    keyed = light.withColumn("sound", F.col("cid").isNotNull()).withColumn("cid", F.coalesce("cid", F.xxhash64("vec_id")))
+    out = keyed.join(keep(named.withColumn("sound", F.lit(True))), ["cid", "sound"], "left").select("vec_id", F.coalesce(F.col("mult") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("lead", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
