@@ -137,23 +137,30 @@ class Statistics:
     def weights(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weight) of every term of every document, in this order; the end id is no term."""
         size = np.array([len(d) for d in docs])
-        own = np.repeat(np.arange(len(docs), dtype=np.uint64), size - 1)
-        pairs, tf = np.unique(own << np.uint64(32) | np.concatenate([d[:-1] for d in docs]).astype(np.uint64), return_counts=True)
-        doc, term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        every = np.concatenate([d[:-1] for d in docs])
+        bits = int(every.max(initial=1)).bit_length()
+        kind = np.uint32 if bits + len(docs).bit_length() <= 32 else np.uint64
+        pairs = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), size - 1) | every.astype(kind, copy=False)
+        pairs.sort()
+        at = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)) if len(pairs) else np.zeros(0, np.int64)
+        tf, pairs = np.diff(at, append=len(every)).astype(np.float32), pairs[at]
+        doc, term = (pairs >> kind(bits)).astype(np.int32), (pairs & kind((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.int64)
         norm = (K1 * (1 - B + B * size / self.mean)).astype(np.float32)
-        return doc, term, (tf * np.float32(K1 + 1) / (tf + norm[doc]) * self.idf[term]).astype(np.float32)
+        return doc, term, tf * np.float32(K1 + 1) / (tf + norm[doc]) * self.idf[term]
 
     def keys(self, docs: list[np.ndarray]) -> np.ndarray:
         """A row of KEY_TERMS terms for each document, the heaviest first; -1 where it has no more that others share."""
         doc, term, weight = self.weights(docs)
-        shared = self.df[term] > 1
-        doc, term, weight = doc[shared], term[shared], weight[shared]
-        order = np.lexsort((term, -weight, doc))
-        doc, term = doc[order], term[order]
-        first, out = np.searchsorted(doc, np.arange(len(docs) + 1)), np.full((len(docs), KEY_TERMS), -1, np.int32)
-        for k in range(KEY_TERMS):
-            has = first[:-1] + k < first[1:]
-            out[has, k] = term[first[:-1][has] + k]
+        weight = np.where(self.df[term] > 1, weight, np.float32(0))
+        first, out = np.searchsorted(doc, np.arange(len(docs))), np.full((len(docs), KEY_TERMS), -1, np.int32)
+        some = np.flatnonzero(np.diff(first, append=len(doc)))
+        for k in range(KEY_TERMS if len(some) else 0):
+            top = np.zeros(len(docs), np.float32)
+            top[some] = np.maximum.reduceat(weight, first[some])
+            at = np.flatnonzero((weight == top[doc]) & (weight > 0))
+            which, one = np.unique(doc[at], return_index=True)
+            out[which, k] = term[at[one]]
+            weight[at[one]] = 0
         return out
 
 
@@ -165,10 +172,17 @@ class Index:
         self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        top = int(term.max()) + 1 if len(term) else 1
-        self.first = np.searchsorted(term[order], np.arange(top + 1))
-        self.df = np.diff(self.first)
+        self.df = np.bincount(term, minlength=1)
+        self.first = np.concatenate(([0], np.cumsum(self.df)))
         self.free = np.ones(len(docs), bool)
+        # terms of many documents are rows of a matrix, which add up faster than lists
+        many = np.flatnonzero(self.df * 24 > len(docs))
+        self.row = np.full(len(self.df), -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), len(docs)), np.float32)
+        for k, t in enumerate(many.tolist()):
+            own = slice(self.first[t], self.first[t + 1])
+            self.rows[k, self.doc[own]] = self.weight[own]
 
     def take(self, i: int) -> int:
         self.free[i] = False
@@ -178,9 +192,11 @@ class Index:
         """Unused documents with a common term by falling score over all terms of the seed, then by place."""
         t = self.terms[seed]
         t = t[self.df[t] > 1]  # the others are in the seed alone
+        row = self.row[t]
+        t, row = t[row < 0], row[row >= 0]
         first, n = self.first[t], self.df[t]
         at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        score = np.bincount(self.doc[at], self.weight[at], len(self.free))
+        score = np.bincount(self.doc[at], self.weight[at], len(self.free)) + self.rows[row].sum(axis=0)
         score[~self.free] = 0
         while score.max(initial=0) > 0:
             best = int(np.argmax(score))
@@ -256,8 +272,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         rows = lambda names, ids, n: pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
         for batch in slices(batches):
             ids = encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
-            for one in ids:
-                df[np.unique(one[:-1])] += 1
+            for a in range(0, len(ids), 64):
+                held = np.zeros((min(64, len(ids) - a), len(df)), bool)
+                for seen, one in zip(held, ids[a:], strict=False):
+                    seen[one[:-1]] = True
+                df += held.sum(axis=0)
             yield rows(batch.column("doc_id"), [one.astype(kind).tobytes() for one in ids], [len(one) for one in ids])
         yield rows([None], [df.tobytes()], [-1])
 
@@ -265,7 +284,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.uint32) for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+    return [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
 
 
 def statistics(tokens: DataFrame) -> Statistics:
