@@ -18,7 +18,8 @@ STATEMENT = (
     "sid string, effect string, principal map<string, array<string>>, not_principal map<string, array<string>>, action array<string>, not_action array<string>, "
     "resource array<string>, not_resource array<string>, condition map<string, map<string, array<string>>>"
 )
-#: Statements up to this many rows are broadcast, which is checked; more go through the join on the service.
+#: Statements up to this many rows are broadcast, which is checked. Of more, those whose actions all name a service are
+#: joined by it, and the others are broadcast in blocks of about half this size, one after another.
 BROADCAST_STATEMENTS = 10_000
 
 
@@ -46,20 +47,39 @@ def statement_applies(s: str, r: str) -> Column:
     )
 
 
-def decide(requests: DataFrame, statements: DataFrame, on: Column | None = None) -> DataFrame:
-    """(req_id, decision, allows, denies): a matching deny wins, else an allow, else implicit deny; sorted statement ids.
+def _service(action: Column) -> Column:
+    return F.split_part(normal_action(action), F.lit(":"), F.lit(1))
 
-    ``on`` may bind statements to requests, e.g. by the policies that govern a principal.
-    """
+
+def matches(requests: DataFrame, statements: DataFrame, on: Column | None = None) -> DataFrame:
+    """(r, s): every request struct with every statement struct that applies to it."""
     r = requests.select(F.struct("*").alias("r"))
     s = statements.select(F.struct("*").alias("s"))
-    few = statements.limit(BROADCAST_STATEMENTS + 1).count() <= BROADCAST_STATEMENTS
     fits = statement_applies("s", "r") if on is None else on & statement_applies("s", "r")
-    joined = r.join(F.broadcast(s) if few else s, fits, "left")
-    sids = lambda effect: F.array_sort(F.collect_list(F.when(F.col("s.effect") == effect, F.col("s.sid"))))
-    found = joined.groupBy(F.col("r.req_id").alias("req_id")).agg(
-        F.max(F.coalesce(F.col("s.effect") == "Deny", F.lit(False))).alias("denied"), F.max(F.coalesce(F.col("s.effect") == "Allow", F.lit(False))).alias("allowed"), sids("Allow").alias("allows"), sids("Deny").alias("denies")
-    )
+    if statements.limit(BROADCAST_STATEMENTS + 1).count() <= BROADCAST_STATEMENTS:
+        return r.join(F.broadcast(s), fits)
+    named = F.transform("s.action", _service)
+    literal = F.coalesce((F.size("s.action") > 0) & ~F.exists(named, lambda x: F.rlike(x, F.lit(r"[*?\[]"))), F.lit(False))
+    by_service = s.where(literal).select("s", F.explode(F.array_distinct(named)).alias("service"))
+    out = r.withColumn("service", _service(F.col("r.action"))).join(by_service, "service").where(fits).select("r", "s")
+    loose = s.where(~literal)
+    blocks = -(-2 * loose.count() // BROADCAST_STATEMENTS)
+    for b in range(blocks):
+        out = out.unionByName(r.join(F.broadcast(loose.where(F.pmod(F.xxhash64("s.sid", "s.effect", "s.action", "s.resource"), F.lit(blocks)) == b)), fits))
+    return out
+
+
+def decide(requests: DataFrame, statements: DataFrame, on: Column | None = None) -> DataFrame:
+    """(req_id, decision, allows, denies): a matching deny wins, else an allow, else implicit deny; sorted statement ids.
+
+    ``on`` may bind statements to requests, e.g. by the policies that govern a principal. Requests that repeat a req_id
+    are one request: whatever any of them matches counts.
+    """
+    # a row of its own for each request, so that one that matches nothing is there too
+    hits = matches(requests, statements, on).select("r.req_id", "s.effect", "s.sid").unionByName(requests.select("req_id", F.lit(None).cast("string").alias("effect"), F.lit(None).cast("string").alias("sid")))
+    sids = lambda effect: F.array_sort(F.collect_list(F.when(F.col("effect") == effect, F.col("sid"))))
+    some = lambda effect: F.coalesce(F.bool_or(F.col("effect") == effect), F.lit(False))
+    found = hits.groupBy("req_id").agg(some("Deny").alias("denied"), some("Allow").alias("allowed"), sids("Allow").alias("allows"), sids("Deny").alias("denies"))
     return found.select("req_id", F.when(F.col("denied"), "ExplicitDeny").when(F.col("allowed"), "Allow").otherwise("ImplicitDeny").alias("decision"), "allows", "denies")
 
 
@@ -101,6 +121,12 @@ def evaluate_on_graph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, s
     )
 
 
+def grants_all(statements: DataFrame) -> DataFrame:
+    """(policy_id): policies with an Allow of every action, ``*`` or ``*:*``, on every resource, ``*``."""
+    every = lambda c, names: F.coalesce(F.exists(c, lambda x: F.trim(x).isin(*names)), F.lit(False))
+    return statements.where((F.col("effect") == "Allow") & every("action", ["*", "*:*"]) & every("resource", ["*"])).select("policy_id").distinct()
+
+
 def conformance(decisions: DataFrame) -> DataFrame:
     """One row: (n, denied, conforming, denied_ids)."""
     bad = F.col("decision") != "Allow"

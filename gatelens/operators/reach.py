@@ -1,7 +1,8 @@
 """Bounded reachability over edge tables: hops, witness paths, escalations, severance.
 
 Every loop advances all sources, and all worlds of a sample, at once; a round is one join and one aggregate on the
-frontier alone. Worlds are extra key columns of the edges and sources.
+frontier alone, and what it finds is written once. Where only the worlds in which a node is reached matter, they are
+bits of a number (``world_hits``); where paths do, they are extra key columns.
 """
 
 from __future__ import annotations
@@ -11,49 +12,104 @@ from pyspark.sql import functions as F
 
 from gatelens.plans.steps import step
 
+#: Rounds after which what was found so far is put into one table, so that plans stay small however long the paths.
+COMPACT = 16
+WORLD_BITS = 64
 
-def useful(edges: DataFrame, targets: DataFrame, depth: int, world: list[str] = ()) -> DataFrame:
+
+def _grown(seen: DataFrame, front: DataFrame, hop: int) -> DataFrame:
+    seen = seen.unionByName(front)
+    return step(seen) if hop % COMPACT == 0 else seen
+
+
+def _hops(depth: int | None):
+    """1, 2 and so on up to depth, or without end."""
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
+        yield hop
+
+
+def useful(edges: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
     """Nodes from which a target can be reached within depth, targets included: what a search need look at."""
-    seen = step(targets.select(F.col("id").alias("node")).distinct()) if not world else None
-    if world:
-        seen = step(edges.select(*world).distinct().crossJoin(F.broadcast(targets.select(F.col("id").alias("node")).distinct())))
-    front = seen
-    for _ in range(depth):
-        back = edges.join(front.withColumnRenamed("node", "dst"), [*world, "dst"]).select(*world, F.col("src").alias("node")).distinct()
-        front = step(back.join(seen, [*world, "node"], "left_anti"))
+    edges = step(edges.select("src", "dst").distinct())
+    seen = front = step(targets.select(F.col("id").alias("node")).distinct())
+    for hop in _hops(depth):
+        back = edges.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
+        front = step(back.join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
-        seen = step(seen.unionByName(front))
-    return seen
+        seen = _grown(seen, front, hop)
+    return step(seen)
 
 
-def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 8, paths: bool = False, world: list[str] = ()) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int | None = 8, paths: bool = False, world: list[str] = (), shared: DataFrame | None = None, worlds: DataFrame | None = None) -> DataFrame:
     """(world..., source, target, hops[, path]) with the fewest hops from each source, itself left out, to each target.
 
-    edges: (world..., src, dst); sources: (world..., id) or (id); targets: (id). Of the shortest paths the one whose
-    nodes, joined by ``>``, sort first is the witness. Branches that can't reach a target are never walked.
+    edges: (world..., src, dst); sources: (world..., id) or (id); targets: (id); depth None: however long. Of the
+    shortest paths the one whose nodes, joined by ``>``, sort first is the witness. Branches that can't reach a target
+    in any world are never walked. shared: (src, dst) edges that every world has, held once; worlds: all worlds' keys,
+    where edges don't name each.
     """
-    alive = useful(edges, targets, depth, world)
-    pruned = step(edges.select(*world, "src", "dst").distinct().join(alive.withColumnRenamed("node", "dst"), [*world, "dst"], "left_semi"))
+    own = edges.select(*world, "src", "dst").distinct()
+    flat = own.select("src", "dst") if shared is None else own.select("src", "dst").unionByName(shared.select("src", "dst"))
+    alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
+    own = step(own.join(alive, "dst", "left_semi").select(*world, F.col("src").alias("node"), "dst"))
+    common = None if shared is None else step(shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst"))
+    begin = own.select("node") if common is None else own.select("node").unionByName(common.select("node"))
     start = sources.select(*[c for c in world if c in sources.columns], F.col("id").alias("source")).distinct()
     if world and world[0] not in sources.columns:
-        start = edges.select(*world).distinct().crossJoin(F.broadcast(start))
+        start = start.crossJoin(F.broadcast((edges if worlds is None else worlds).select(*world).distinct()))  # a bounded number of worlds
     key = [*world, "source", "node"]
-    front = step(start.select(*world, "source", F.col("source").alias("node"), F.lit(0).alias("hops"), *([F.col("source").alias("path")] if paths else [])).join(pruned.select(*world, F.col("src").alias("node")).distinct(), [*world, "node"], "left_semi"))
-    seen = front
-    for hop in range(1, depth + 1):
-        out = front.join(pruned.withColumnRenamed("src", "node"), [*world, "node"])
+    seen = front = step(start.select(*world, "source", F.col("source").alias("node"), F.lit(0).alias("hops"), *([F.col("source").alias("path")] if paths else [])).join(begin.distinct(), "node", "left_semi"))
+    for hop in _hops(depth):
+        out = front.join(own, [*world, "node"])
+        if common is not None:
+            out = out.unionByName(front.join(common, "node").select(*out.columns))
         least = [F.min(F.concat("path", F.lit(">"), "dst")).alias("path")] if paths else []
         grouped = out.groupBy(*world, "source", F.col("dst").alias("node"))
         new = (grouped.agg(*least) if paths else out.select(*world, "source", F.col("dst").alias("node")).distinct()).withColumn("hops", F.lit(hop))
         front = step(new.join(seen.select(*key), key, "left_anti"))
         if front.isEmpty():
             break
-        seen = step(seen.unionByName(front))
+        seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     return hit.select(*world, "source", F.col("node").alias("target"), "hops", *(["path"] if paths else []))
 
 
+def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
+    """(source, target, hits): in how many of the worlds 0 to samples - 1 a target is in reach, where it is in any.
+
+    shared: (src, dst) edges of every world; worlds: (sample_id, src, dst) edges of single ones. A row of the frontier
+    stands for all worlds of a chunk of ``WORLD_BITS``, one bit each, so neither edges nor rows multiply by the samples.
+    """
+    flat = shared.select("src", "dst").unionByName(worlds.select("src", "dst"))
+    alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
+    common = step(shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst"))
+    bit = F.expr(f"shiftleft(1L, cast(sample_id % {WORLD_BITS} as int))")
+    masks = worlds.groupBy((F.floor(F.col("sample_id") / WORLD_BITS)).cast("int").alias("chunk"), F.col("src").alias("node"), "dst").agg(F.bit_or(bit).alias("own"))
+    own = step(masks.join(alive, "dst", "left_semi").select("chunk", "node", "dst", "own"))
+    full = [(k, -1 if samples - k * WORLD_BITS >= WORLD_BITS else (1 << (samples - k * WORLD_BITS)) - 1) for k in range(-(-samples // WORLD_BITS))]
+    chunks = shared.sparkSession.createDataFrame(full, "chunk int, mask long")
+    begin = own.select("node").unionByName(common.select("node")).distinct()
+    start = sources.select(F.col("id").alias("source")).distinct().crossJoin(F.broadcast(chunks))
+    key = ["chunk", "source", "node"]
+    seen = front = step(start.select("chunk", "source", F.col("source").alias("node"), "mask").join(begin, "node", "left_semi").select(*key, "mask"))
+    for hop in _hops(depth):
+        anew = front.join(common, "node").select("chunk", "source", F.col("dst").alias("node"), "mask")
+        some = front.join(own, ["chunk", "node"]).select("chunk", "source", F.col("dst").alias("node"), F.col("mask").bitwiseAND(F.col("own")).alias("mask"))
+        came = anew.unionByName(some.where("mask <> 0")).select(*key, "mask", F.lit(0).cast("long").alias("was"))
+        was = seen.select(*key, F.lit(0).cast("long").alias("mask"), F.col("mask").alias("was"))
+        merged = came.unionByName(was).groupBy(*key).agg(F.bit_or("mask").alias("mask"), F.bit_or("was").alias("was"))
+        front = step(merged.select(*key, F.expr("mask & ~was").alias("mask")).where("mask <> 0"))
+        if front.isEmpty():
+            break
+        seen = _grown(seen, front, hop)
+    hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    # a world's bit is new only once for a node, so bits add up over the rounds
+    return hit.groupBy("source", F.col("node").alias("target")).agg(F.sum(F.bit_count("mask")).alias("hits"))
+
+
 def path_edges(witnesses: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, pos, src, dst, relation, is_bridge): of parallel edges a bridge first, then the relation that sorts first."""
     n = F.split("path", ">")
@@ -78,9 +134,9 @@ def label_escalations(witnesses: DataFrame, edges: DataFrame, nodes: DataFrame,
     return all_.withColumn("is_escalation", (F.col("is_bridge") | up) if bridges_count else up)
 
 
-def has_path(edges: DataFrame, pairs: DataFrame, world: list[str] = (), limit: int = 1000) -> DataFrame:
+def has_path(edges: DataFrame, pairs: DataFrame, world: list[str] = ()) -> DataFrame:
     """pairs (world..., source, target) that are connected, however long the path."""
-    found = reach(edges, pairs.select(F.col("source").alias("id")), pairs.select(F.col("target").alias("id")), limit, False, world)
+    found = reach(edges, pairs.select(F.col("source").alias("id")), pairs.select(F.col("target").alias("id")), None, False, world)
     return found.join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi").select(*world, "source", "target")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import uniform
-from gatelens.operators.reach import has_path, path_edges, reach
+from gatelens.operators.reach import path_edges, reach, world_hits
 
 
 def sample_worlds(candidates: DataFrame, samples: int = 100, seed: str = "0") -> DataFrame:
@@ -17,18 +17,16 @@ def sample_worlds(candidates: DataFrame, samples: int = 100, seed: str = "0") ->
     return drawn.where(u < F.col("probability")).select("sample_id", "src", "dst", "relation")
 
 
-def world_edges(observed: DataFrame, worlds: DataFrame, samples: int) -> DataFrame:
-    """(sample_id, src, dst): the observed edges in every world, and each world's own."""
-    every = observed.sparkSession.range(samples).select(F.col("id").cast("int").alias("sample_id"))
-    return observed.select("src", "dst").crossJoin(F.broadcast(every)).select("sample_id", "src", "dst").unionByName(worlds.select("sample_id", "src", "dst")).distinct()
-
-
 def world_reach(observed: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int = 8) -> DataFrame:
     """(source, target, hits, frequency, se): in how many worlds a target is in reach."""
-    got = reach(world_edges(observed, worlds, samples), sources, targets, depth, False, ["sample_id"])
-    n = got.groupBy("source", "target").agg(F.count("*").alias("hits"))
     f = F.col("hits") / samples
-    return n.select("source", "target", "hits", f.alias("frequency"), F.sqrt(F.greatest(f * (1 - f), F.lit(1e-9)) / samples).alias("se"))
+    return world_hits(observed, worlds, sources, targets, samples, depth).select("source", "target", "hits", f.alias("frequency"), F.sqrt(F.greatest(f * (1 - f), F.lit(1e-9)) / samples).alias("se"))
+
+
+def world_witnesses(observed: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int = 8) -> DataFrame:
+    """(sample_id, source, target, hops, path): the witness of each pair in each world."""
+    every = observed.sparkSession.range(samples).select(F.col("id").cast("int").alias("sample_id"))
+    return reach(worlds, sources, targets, depth, True, ["sample_id"], observed, every)
 
 
 def with_zeros(frequencies: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -50,7 +48,8 @@ def product_comparison(frequencies: DataFrame, candidates: DataFrame, samples: i
 
 def attack_risk(observed: DataFrame, worlds: DataFrame, pair: DataFrame, samples: int) -> DataFrame:
     """One row per (source, target): share of worlds with a path of any length."""
-    hit = has_path(world_edges(observed, worlds, samples), pair, ["sample_id"]).groupBy("source", "target").agg(F.count("*").alias("hits"))
+    ends = [pair.select(F.col(c).alias("id")) for c in ("source", "target")]
+    hit = world_hits(observed, worlds, *ends, samples, None)
     return pair.join(hit, ["source", "target"], "left").select("source", "target", (F.coalesce("hits", F.lit(0)) / samples).alias("risk"))
 
 
@@ -78,6 +77,12 @@ def prune(scored: DataFrame, most: int = 50) -> DataFrame:
     return scored.crossJoin(F.broadcast(top)).withColumn("score", F.round(score, 9)).drop("top").orderBy(F.desc("score"), F.desc("sample_share"), F.desc("path_count"), "src", "relation", "dst").limit(most)
 
 
+def optimality_gap(found: float, best: float) -> tuple[float, float]:
+    """Absolute gap of a cost to the best one, not below 0, and relative to it; 0 of 0 is 0, anything of 0 is infinite."""
+    gap = max(0.0, found - best)
+    return gap, gap / best if best > 0 else 0.0 if gap == 0 else float("inf")
+
+
 def candidate_recall(pruned: DataFrame, optimal: DataFrame) -> DataFrame:
     key = ["src", "dst", "relation"]
     hit = optimal.select(*key).distinct().join(pruned.select(*key, F.lit(1).alias("h")).distinct(), key, "left")

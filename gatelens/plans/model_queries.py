@@ -398,7 +398,7 @@ def stream_breakage(spark, d):
 def participation(spark, d):
     n, o, _, w = _worlds(spark, d)
     s, t = _ends(n)
-    got = reach.reach(uncertain.world_edges(o, w, SAMPLES), s, t, 8, True, ["sample_id"])
+    got = uncertain.world_witnesses(o, w, s, t, SAMPLES)
     return uncertain.participation(got, star.edges(spark, d), SAMPLES)
 
 
