@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import reversed_relation
-from gatelens.plans.steps import step
+from gatelens.plans.steps import counted_step, step
 
 NODE_TYPES = ("User", "Role", "Policy", "Group", "Resource")
 RELATIONS = ("MemberOf", "AssumesRole", "AttachedWith", "ActsOn", "PassesTo")
@@ -126,52 +126,92 @@ def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Dat
     raise RuntimeError("components did not settle")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) by colouring: the largest id that reaches a node colours it; what the colour's root reaches back
-    inside the colour is its component. Settled nodes leave, and the rest is coloured anew."""
-    rest_nodes, rest_edges, done = step(nodes.select("id")), step(edges.select("src", "dst").where("src <> dst").distinct()), None
-    for _ in range(rounds):
-        colour = rest_nodes.select("id", F.col("id").alias("colour"))
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the largest id of those that reach each other, by colouring.
+
+    Nodes without an edge in, or without one out, among those left are components of their own and are trimmed first.
+    Then the largest id that reaches a node colours it; what the colour's root reaches back inside the colour is its
+    component. Settled nodes leave, and the rest is trimmed and coloured anew, until none is left.
+    """
+    left, links, done, turn = step(nodes.select("id").distinct()), step(edges.select("src", "dst").where("src <> dst").distinct()), [], 0
+    while True:
+        while True:
+            inner = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
+            alone, n = counted_step(left.join(inner, "id", "left_anti"))
+            if not n:
+                break
+            done.append(alone.select("id", F.col("id").alias("component")))
+            left, links = _without(left, links, alone)
+            turn += 1
+            done = [step(_union(done))] if turn % 16 == 0 else done
+        if left.isEmpty():
+            return _union(done) if done else left.select("id", F.col("id").alias("component"))
+        colour = left.select("id", F.col("id").alias("colour"))
         while True:  # colours only grow, so this ends; a colour may need as many rounds as there are nodes
-            came = rest_edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("m"))
+            came = links.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("m"))
             new = step(colour.join(came, "id", "left").select("id", F.greatest("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")))
             colour = new.select("id", "colour")
             if new.where("colour <> was").isEmpty():
                 break
-        inner = step(rest_edges.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
-        found = step(colour.where("id = colour"))
-        front = found
-        while not front.isEmpty():
+        inner = step(links.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
+        found = front = step(colour.where("id = colour"))
+        n = 1
+        while n:
             back = inner.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "colour").distinct()
-            front = step(back.join(found.select("id"), "id", "left_anti"))
-            found = step(found.unionByName(front))
-        settled = found.select("id", F.col("colour").alias("component"))
-        done = settled if done is None else done.unionByName(settled)
-        rest_nodes = step(rest_nodes.join(settled.select("id"), "id", "left_anti"))
-        if rest_nodes.isEmpty():
-            return done
-        alive = rest_nodes.select("id")
-        rest_edges = step(rest_edges.join(alive, F.col("src") == F.col("id"), "left_semi").join(alive, F.col("dst") == F.col("id"), "left_semi"))
-    raise RuntimeError("components did not settle")
+            front, n = counted_step(back.join(found.select("id"), "id", "left_anti"))
+            turn += 1
+            found = found.unionByName(front)
+            found = step(found) if turn % 16 == 0 else found
+        settled = step(found.select("id", F.col("colour").alias("component")))
+        done.append(settled)
+        left, links = _without(left, links, settled)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _without(nodes: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of nodes and links once some nodes are gone."""
+    away = gone.select("id")
+    stay = links.join(away, F.col("src") == F.col("id"), "left_anti").join(away, F.col("dst") == F.col("id"), "left_anti")
+    return step(nodes.join(away, "id", "left_anti")), step(stay)
+
 
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
+    """(id, rank) once the ranks change by less than ``tolerance`` a node in sum, or after ``rounds``.
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; parallel edges weigh more, and rank at dead ends is spread over all."""
+    Parallel edges weigh more, and rank at dead ends is spread over all.
+    """
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("w"))
     links = step(edges.groupBy("src", "dst").agg(F.count("*").alias("c")).join(out, "src").select("src", "dst", (F.col("c") / F.col("w")).alias("share")))
-    ranks = step(nodes.select("id", F.lit(1.0 / n).alias("rank")))
+    ranks = step(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).join(links.select(F.col("src").alias("id"), F.lit(True).alias("leads")).distinct(), "id", "left"))
+    dead = F.sum(F.when(F.col("leads").isNull(), F.col("rank")))
+    lost = ranks.agg(F.coalesce(dead, F.lit(0.0)).alias("lost")).collect()[0]["lost"]
     for _ in range(rounds):
-        lost = ranks.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).collect()[0]["lost"]
-        came = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
-        ranks = step(ranks.select("id").join(came, "id", "left").select("id", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("came", F.lit(0.0))).alias("rank")))
-    return ranks
+        came = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
+        base = F.lit((1 - alpha) / n + alpha * lost / n)
+        new = step(ranks.withColumnRenamed("rank", "was").join(came, "id", "left").select("id", "leads", "was", (base + alpha * F.coalesce("came", F.lit(0.0))).alias("rank")))
+        end = new.agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved"), F.coalesce(dead, F.lit(0.0)).alias("lost")).collect()[0]
+        ranks, lost = new.select("id", "leads", "rank"), end["lost"]
+        if end["moved"] is None or end["moved"] < n * tolerance:
+            break
+    return ranks.select("id", "rank")
 
 
 def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: density, reciprocity, transitivity and average clustering of the simple graph without directions."""
     simple = edges.select("src", "dst").where("src <> dst").distinct()
     pairs = step(simple.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    # edges point to the end of more neighbours, so a hub opens few wedges
+    size = step(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k")))
+    sized = pairs.join(size.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    up = F.struct("ka", "a") < F.struct("kb", "b")
+    pairs = step(sized.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b")))
     ab, bc, ac = (pairs.select(F.col("a").alias(x), F.col("b").alias(y)) for x, y in (("x", "y"), ("y", "z"), ("x", "z")))
     triangles = ab.join(bc, "y").join(ac, ["x", "z"])
     at = triangles.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))

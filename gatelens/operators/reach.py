@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelens.plans.steps import step
+from gatelens.plans.steps import counted_step, step
 
 #: Rounds after which what was found so far is put into one table, so that plans stay small however long the paths.
 COMPACT = 16
@@ -36,11 +36,11 @@ def useful(edges: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame
     seen = front = step(targets.select(F.col("id").alias("node")).distinct())
     for hop in _hops(depth):
         back = edges.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
-        front = step(back.join(seen, "node", "left_anti"))
-        if front.isEmpty():
+        front, n = counted_step(back.join(seen, "node", "left_anti"))
+        if not n:
             break
         seen = _grown(seen, front, hop)
-    return step(seen)
+    return seen
 
 
 def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int | None = 8, paths: bool = False, world: list[str] = (), shared: DataFrame | None = None, worlds: DataFrame | None = None) -> DataFrame:
@@ -69,8 +69,8 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int |
         least = [F.min(F.concat("path", F.lit(">"), "dst")).alias("path")] if paths else []
         grouped = out.groupBy(*world, "source", F.col("dst").alias("node"))
         new = (grouped.agg(*least) if paths else out.select(*world, "source", F.col("dst").alias("node")).distinct()).withColumn("hops", F.lit(hop))
-        front = step(new.join(seen.select(*key), key, "left_anti"))
-        if front.isEmpty():
+        front, n = counted_step(new.join(seen.select(*key), key, "left_anti"))
+        if not n:
             break
         seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
@@ -101,8 +101,8 @@ def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets
         came = anew.unionByName(some.where("mask <> 0")).select(*key, "mask", F.lit(0).cast("long").alias("was"))
         was = seen.select(*key, F.lit(0).cast("long").alias("mask"), F.col("mask").alias("was"))
         merged = came.unionByName(was).groupBy(*key).agg(F.bit_or("mask").alias("mask"), F.bit_or("was").alias("was"))
-        front = step(merged.select(*key, F.expr("mask & ~was").alias("mask")).where("mask <> 0"))
-        if front.isEmpty():
+        front, n = counted_step(merged.select(*key, F.expr("mask & ~was").alias("mask")).where("mask <> 0"))
+        if not n:
             break
         seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
@@ -153,8 +153,8 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 8, limit: int
     front, found = step(pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("p"))), None
     for _ in range(cutoff):
         out = front.join(pruned.withColumnRenamed("src", "node"), "node").where(~F.array_contains("p", F.col("dst")))
-        front = step(out.select("source", F.col("dst").alias("node"), F.array_append("p", F.col("dst")).alias("p")))
-        if front.isEmpty():
+        front, n = counted_step(out.select("source", F.col("dst").alias("node"), F.array_append("p", F.col("dst")).alias("p")))
+        if not n:
             break
         hit = front.join(pairs.select("source", F.col("target").alias("node")).distinct(), ["source", "node"], "left_semi")
         found = hit if found is None else found.unionByName(hit)

@@ -98,14 +98,23 @@ def graph_health(spark, d):
     return graph.health(*_graph(spark, d))
 
 
-@query()
+@query(f"""{G}, links AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), far AS (SELECT src AS a, dst AS b FROM links UNION SELECT far.a, links.dst FROM far JOIN links ON links.src = far.b)
+SELECT id, greatest(id, coalesce((SELECT max(f.b) FROM far f JOIN far r ON r.a = f.b AND r.b = f.a WHERE f.a = id), id)) AS component FROM nodes""")
 def strong_components(spark, d):
     return graph.strong_components(*_graph(spark, d))
 
 
-@query()
+_RANK_ROUNDS = 30
+
+
+@query(f"""{G}, nn AS (SELECT count(*) AS n FROM nodes), wt AS (SELECT src, count(*) AS w FROM edges GROUP BY src), links AS (SELECT e.src, e.dst, count(*) / any_value(w) AS share FROM edges e JOIN wt USING (src) GROUP BY e.src, e.dst),
+pr(i, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nodes, nn UNION ALL
+  SELECT i + 1, id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(came, 0) FROM (SELECT DISTINCT i FROM pr) CROSS JOIN nodes CROSS JOIN nn CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM pr WHERE id NOT IN (SELECT src FROM links))
+  LEFT JOIN (SELECT dst AS id, sum(share * rank) AS came FROM links JOIN pr ON pr.id = links.src GROUP BY dst) c USING (id) WHERE i < {_RANK_ROUNDS})
+SELECT id, round(rank, 7) AS rank FROM pr WHERE i = {_RANK_ROUNDS}""")
 def pagerank(spark, d):
-    return graph.pagerank(*_graph(spark, d))
+    # a fixed number of rounds, which both sides can run; the operator's default stops by tolerance
+    return graph.pagerank(*_graph(spark, d), rounds=_RANK_ROUNDS, tolerance=0.0).withColumn("rank", F.round("rank", 7))
 
 
 @query(f"{G}, {TARGETS}, {SOURCES}, {_walk('r', 'edges')} SELECT * FROM r")

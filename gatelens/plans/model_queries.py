@@ -11,7 +11,7 @@ from gatelens.functions.scalars import uniform
 from gatelens.operators import masking, models, pairs, policy, reach, repair, synthesis, uncertain, verify, workload
 from gatelens.plans.graph_queries import CANDIDATES, G, SAMPLES, TARGETS, WORLDS, _ends, _graph, _worlds
 from gatelens.plans.registry import query
-from gatelens.plans.steps import step
+from gatelens.plans.steps import shared_folder, step
 from gatelens.sources import graphs, star, terraform
 from gatelens.sources.star import table
 from gatelens.streaming import breakage
@@ -377,7 +377,7 @@ def graph_files(spark, d):
 
 
 def _root(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/gatelens").rstrip("/")
+    return shared_folder(spark)
 
 
 @query("""SELECT * FROM (VALUES ('user:ana', 'group:ops', 'MemberOf'), ('role:worker', 'policy:read', 'AttachedWith'), ('group:ops', 'policy:ReadOnlyAccess', 'AttachedWith'), ('policy:read', 'resource:arn:aws:s3:::lake/x', 'ActsOn'), ('user:ana', 'role:worker', 'AssumesRole')) t(src, dst, relation)""")
