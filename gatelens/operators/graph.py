@@ -69,8 +69,12 @@ def default_sources(nodes: DataFrame) -> DataFrame:
 
 
 def dense_ids(nodes: DataFrame, order: str = "id") -> DataFrame:
-    """Numbers from 0 within each node type."""
-    return nodes.withColumn("idx", F.row_number().over(Window.partitionBy("node_type").orderBy(order)) - 1)
+    """Numbers from 0 within each node type: places among all nodes less the place of the type's first."""
+    from gatelens.operators.vocabulary import numbered
+
+    placed = step(numbered(nodes, "node_type", order))
+    first = placed.groupBy("node_type").agg(F.min("idx").alias("_least"))
+    return placed.join(F.broadcast(first), "node_type").withColumn("idx", (F.col("idx") - F.col("_least")).cast("int")).select(*nodes.columns, "idx")
 
 
 def index_encoding(nodes: DataFrame, edges: DataFrame) -> DataFrame:

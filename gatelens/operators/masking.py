@@ -99,3 +99,15 @@ def negatives(edges: DataFrame, nodes: DataFrame, relation: str, src_type: str,
     first = F.col("r") <= F.rint(quota)
     ordered = ranked.crossJoin(F.broadcast(want)).withColumn("place", F.row_number().over(Window.orderBy(F.when(first, 0).otherwise(1), "u", "src", "dst")))
     return ordered.where("place <= k").select("src", "dst", "stratum")
+
+
+def uniform_negatives(edges: DataFrame, nodes: DataFrame, relation: str, dst_type: str, each: int = 1, seed: str = "0") -> DataFrame:
+    """(src, dst, draw): for each edge of a relation ``each`` targets of a type, drawn with equal chances; a draw may be a positive."""
+    from gatelens.operators.graph import dense_ids
+
+    to = dense_ids(nodes.where(F.col("node_type") == dst_type)).select(F.col("id").alias("drawn"), "idx")
+    m = to.agg(F.count("*").alias("m"))
+    pos = edges.where(F.col("relation") == relation).select("src", "dst").distinct().crossJoin(F.broadcast(m))
+    u = uniform(F.lit("uniform"), F.lit(seed), "src", "dst", F.col("draw").cast("string"))
+    drawn = pos.select("*", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("draw")).withColumn("idx", F.floor(u * F.col("m")).cast("int"))
+    return drawn.join(to, "idx").select("src", F.col("drawn").alias("dst"), "draw")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelens.plans import graph_queries, model_queries, policy_queries  # noqa: F401
+from gatelens.plans import graph_queries, model_queries, policy_queries, upkeep_queries  # noqa: F401
 from gatelens.plans.registry import QUERIES, SQL
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatelens.functions import metrics
-from gatelens.operators import graph, masking, pairs, reach, repair, synthesis, triage, uncertain, verify, workload
+from gatelens.operators import graph, masking, pairs, reach, repair, synthesis, triage, uncertain, verify, vocabulary, workload
 
 NODE = "id string, node_type string, department string, account_id string, is_admin boolean, is_high_value boolean"
 EDGE = "src string, dst string, relation string, is_bridge boolean"
@@ -74,10 +74,9 @@ def test_components_and_pagerank(spark):
 
 
 def test_strong_components_of_a_long_cycle(spark):
-    # the bound on rounds is on settled layers, not on the length of a cycle
     n = spark.range(1, 13).select(F.col("id").cast("int").alias("id"))
     e = n.select(F.col("id").alias("src"), (F.col("id") % 12 + 1).alias("dst"))
-    assert {r["component"] for r in graph.strong_components(n, e, rounds=5).collect()} == {12}
+    assert {r["component"] for r in graph.strong_components(n, e).collect()} == {12}
 
 
 def test_worlds_converge(spark):
@@ -205,3 +204,40 @@ def test_workload(spark):
     s = workload.synthesize(ops, 30, 10, 20)
     assert s.count() == 800 and s.where("is_drift and day_offset < 30").count() == 0 and 0 < s.where("is_drift").count() < 100
     assert s.where(F.col("drift_type") == "resource").where("not resource_arn like '%-new-%'").count() == 0
+
+
+def test_strong_components_of_a_long_chain_with_a_cycle(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(14)] + [("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("c014", "z1")]
+    nodes = spark.createDataFrame([(x,) for x in sorted({y for e in chain for y in e}) + ["alone"]], "id string")
+    got = dict(map(tuple, graph.strong_components(nodes, spark.createDataFrame(chain, "src string, dst string")).collect()))
+    assert {got[x] for x in ("z1", "z2", "z3")} == {"z3"} and all(got[x] == x for x in got if not x.startswith("z")) and len(got) == 19
+
+
+def test_world_hits_count_worlds_beyond_one_number(spark):
+    samples = 130
+    shared = spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string")
+    worlds = spark.createDataFrame([(i, "b", "c") for i in range(samples) if i % 3 == 0] + [(i, "b", "d") for i in range(samples) if i % 2 == 0], "sample_id int, src string, dst string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    hits = lambda depth: [tuple(r) for r in reach.world_hits(shared, worlds, ids("a"), ids("d"), samples, depth).collect()]
+    assert hits(2) == [("a", "d", sum(i % 2 == 0 for i in range(samples)))] and hits(None) == [("a", "d", sum(i % 2 == 0 or i % 3 == 0 for i in range(samples)))]
+
+
+def test_paths_longer_than_any_bound(spark):
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(18)], "src string, dst string")
+    pair = spark.createDataFrame([("n000", "n018"), ("n018", "n000")], "source string, target string")
+    assert [tuple(r) for r in reach.has_path(edges, pair).collect()] == [("n000", "n018")]
+
+
+def test_vocabulary_round_trip(spark, tmp_path):
+    v = vocabulary.build(spark.createDataFrame([("s3:Get",), (" S3:GET",), ("iam:Pass",), ("",), (None,)], "action string"))
+    assert [tuple(r) for r in v.orderBy("idx").collect()] == [(1, "iam:Pass"), (2, "S3:GET")]
+    vocabulary.write(v, str(tmp_path / "v.json"))
+    again = vocabulary.read(spark, str(tmp_path / "v.json"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, v.collect()))
+    sets = spark.createDataFrame([(1, ["s3:*", "x:y"]), (2, []), (3, None), (4, ["IAM:PASS ", None])], "id int, actions array<string>")
+    coded = vocabulary.encode(sets, v)
+    assert {r["id"]: r["indices"] for r in coded.collect()} == {1: [0, 2], 2: [], 3: [], 4: [1]}
+    back = vocabulary.decode(coded.select("id", vocabulary.multi_hot(coded.indices, 3).alias("vector")), v, with_oov=True)
+    assert {r["id"]: r["actions"] for r in back.collect()} == {1: ["<OOV>", "S3:GET"], 2: [], 3: [], 4: ["iam:Pass"]}
+    assert vocabulary.feature_sizes(38)["User"] == 58 and uncertain.optimality_gap(3.0, 2.0) == (1.0, 0.5)
+

@@ -120,3 +120,22 @@ def test_policy_text_round_trip(spark):
 @pytest.mark.parametrize("doc, error", [("{", "not JSON"), ("{}", "no statement"), ('{"Statement":{"Effect":"Allow","Action":"a","NotAction":"b"}}', "Action and NotAction"), ('{"Statement":{"Effect":"Allow"}}', "Action and NotAction"), ('{"Statement":{"Effect":"Allow","Action":"a","What":1}}', "unknown key"), ('{"Statement":{"Effect":"Allow","Action":"a","Resource":"b","NotResource":"c"}}', "Resource and NotResource")])
 def test_bad_policies(spark, doc, error):
     assert policies.parse(spark.createDataFrame([("p", doc)], "policy_id string, doc string")).collect()[0]["error"] == error
+
+
+def test_many_statements_join_by_service(spark, monkeypatch):
+    s = [statement(f"s{i}", "Deny" if i % 7 == 0 else "Allow", [[f" S{i % 5}:Get*", "s9:x"], ["*"], [], [f"s{i % 5}:put"]][i % 4], [f"arn:{i % 3}/*"], not_action=[f"s{i % 2}:*"] if i % 4 == 2 else []) for i in range(60)]
+    r = spark.createDataFrame([(str(i), "u", f"s{i % 7}:{['GetX', 'put', 'x'][i % 3]}", f"arn:{i % 4}/z", {}) for i in range(100)], f"req_id string, principal_arn string, action string, resource_arn string, context {CTX}")
+    st_ = spark.createDataFrame(s, SCHEMA)
+    key = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
+    want = key(policy.decide(r, st_))
+    monkeypatch.setattr(policy, "BROADCAST_STATEMENTS", 10)
+    got = policy.decide(r, st_)
+    assert key(got) == want and len({x[1] for x in want}) == 3
+    by_service = policy.matches(r, st_.where("size(action) > 0 and not exists(action, x -> x = '*')"))
+    assert "NestedLoop" not in by_service._jdf.queryExecution().executedPlan().toString()
+
+
+def test_policies_that_grant_all(spark):
+    s = [statement("a", "Allow", ["s3:*", " * "], ["*"], policy_id="p1"), statement("b", "Allow", ["*"], ["arn:*"], policy_id="p2"), statement("c", "Deny", ["*"], policy_id="p3"), statement("d", "Allow", [], ["*"], policy_id="p4")]
+    assert [x[0] for x in policy.grants_all(spark.createDataFrame(s, SCHEMA)).collect()] == ["p1"]
+
