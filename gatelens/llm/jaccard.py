@@ -46,6 +46,8 @@ PERCENT = 80
 #: Shingles and documents in a block that is packed at once; shingles aimed at for a range of the hash space.
 PACK_SHINGLES, PACK_DOCS, RANGE_SHINGLES = 1_000_000, 60_000, 1_000_000
 BLOCK = 192
+#: Tasks that ranges are dealt to at most; beyond it a task takes several ranges, one after another.
+RANGE_TASKS = 20_000
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = WORDS) -> list[np.ndarray]:
@@ -148,7 +150,7 @@ def repeats(source: DataFrame, sets_of, total: int, column: str) -> DataFrame:
         i, t, cid, n, number = zip(*meta, strict=True)
         return pa.table({"id": pa.array(i, pa.int64()), "th": pa.array(t, pa.int64()), "cid": pa.array(cid, pa.int64()), "n": pa.array(n, pa.int64()), "rep": pa.array([int(rep[k]) if k >= 0 else 0 for k in number], pa.int64())})
 
-    counted = source.mapInArrow(tidy(pack), "part long, block long, blob binary").groupBy("part").applyInArrow(tidy(count), "block long, meta boolean, blob binary")
+    counted = source.mapInArrow(tidy(pack), "part long, block long, blob binary").repartition(min(ranges, RANGE_TASKS), "part").groupBy("part").applyInArrow(tidy(count), "block long, meta boolean, blob binary")
     return keep(counted.groupBy("block").applyInArrow(total_up, "id long, th long, cid long, n long, rep long"), "repeats")
 
 
