@@ -7,10 +7,12 @@ from abc import ABC, abstractmethod
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.globs import any_action, any_resource, normal_action
+from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
+from gatelens.operators.capability import validate
+from gatelens.operators.policy import matches
 from gatelens.operators.reach import has_path
 from gatelens.operators.uncertain import attack_risk
 from gatelens.plans.steps import step
@@ -113,11 +115,7 @@ def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options
         for b in range(blocks):
             some = left.where(F.col("block") == b)
             spec = base.crossJoin(some.select("option")).join(opts.select("option", *key), ["option", *key], "left_anti")
-            hits = has_path(spec.select("option", "sample_id", *key), pair, ["option", "sample_id"]).groupBy("option").agg(F.count("*").alias("h"))
-            left_risk = F.coalesce(F.col("h"), F.lit(0)) / samples / asked
-            found = some.join(hits, "option", "left").withColumn("risk", left_risk).where(F.lit(risk) - F.col("risk") > 1e-6)
-            scored = found.select("option", "cost", "risk", ((F.lit(risk) - F.col("risk")) / F.col("cost") * F.col("weight")).alias("score"))
-            first = scored.orderBy(F.desc("score"), "option").limit(1).collect()
+            first = _first(spec, pair, some, risk, samples, asked)
             if first and (best is None or (-first[0]["score"], first[0]["option"]) < (-best["score"], best["option"])):
                 best = first[0]
         if best is None:
@@ -130,6 +128,121 @@ def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options
     return spark.createDataFrame(taken, "step int, option string, cost double, risk double")
 
 
+def _first(spec: DataFrame, pair: DataFrame, some: DataFrame, risk: float, samples: int, asked: int) -> list:
+    """The best of some options (option, cost, weight), or none that helps; spec: (option, sample_id, src, dst) with it taken."""
+    hits = has_path(spec.select("option", "sample_id", "src", "dst"), pair, ["option", "sample_id"]).groupBy("option").agg(F.count("*").alias("h"))
+    left_risk = F.coalesce(F.col("h"), F.lit(0)) / samples / asked
+    found = some.join(hits, "option", "left").withColumn("risk", left_risk).where(F.lit(risk) - F.col("risk") > 1e-6)
+    scored = found.select("option", "cost", "risk", ((F.lit(risk) - F.col("risk")) / F.col("cost") * F.col("weight")).alias("score"))
+    return scored.orderBy(F.desc("score"), "option").limit(1).collect()
+
+
+def policy_parts(statements: DataFrame) -> DataFrame:
+    """(part, policy_id, sid, pattern, resource): an allow statement's actions one by one, which is what edits change."""
+    each = statements.where("effect = 'Allow'").select("policy_id", "sid", F.explode(F.array_distinct(F.transform("action", normal_action))).alias("pattern"), F.coalesce("resource", F.array(F.lit("*"))).alias("resource"))
+    return each.select(F.to_json(F.struct("policy_id", "sid", "pattern")).alias("part"), "*")
+
+
+def edge_supports(cuts: DataFrame, parts: DataFrame, nodes: DataFrame, observed: DataFrame) -> DataFrame:
+    """(src, dst, relation, part, own, goal): the parts that allow an action of an edge, by a policy attached to its source
+    (the source's or the target's name fits) or by the source itself, a policy (the target's name fits)."""
+    attached = observed.where("relation = 'AttachedWith'").select("src", F.col("dst").alias("policy_id"))
+    arn = lambda end, name: nodes.select(F.col("id").alias(end), F.col("arn").alias(name))
+    edge = cuts.select("src", "dst", "relation", F.explode("actions").alias("act"))
+    ways = edge.join(attached, "src").join(arn("src", "own"), "src").unionByName(edge.withColumn("policy_id", F.col("src")).withColumn("own", F.lit(None).cast("string")))
+    full = ways.join(arn("dst", "goal"), "dst").join(parts, "policy_id").where(action_matches(F.col("act"), F.col("pattern")) & _names(F.col("resource")))
+    return full.select("src", "dst", "relation", "part", "own", "goal").distinct()
+
+
+def _names(resource: Column) -> Column:
+    return any_resource(F.col("goal"), resource) | F.coalesce(any_resource(F.col("own"), resource), F.lit(False))
+
+
+def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, statements: DataFrame, cuts: DataFrame, log: DataFrame, nodes: DataFrame, capability: DataFrame, samples: int, delta: float = 0.0, most: int = 20) -> DataFrame:
+    """(step, policy_id, sid, action, edit, resources, cost, risk): the edits of identity policies taken in turn until the mean
+    risk of the pairs is at most delta, each the largest fall in risk per cost, scoping ahead by a tenth.
+
+    cuts: the edges (src, dst, relation, actions) that edits may aim at, such as the pruned candidates; log: requests as
+    ``policy.decide`` takes them, with ``policy_ids``, the policies that govern the principal. A part of a statement, one
+    of its actions, is narrowed to the resources that the log or the statement itself names for it, the edge's target
+    apart, or taken out. Narrowing must be valid in the capability model. An edit that leaves any request of the log
+    without an allow isn't admitted; a log that isn't allowed to begin with raises. Edges without a supporting part, and
+    worlds' edges, stay. Requests that repeat a req_id are one; trust policies are not edited. The loop's state is
+    tables: requests count once per set of parts that allow them.
+    """
+    spark, taken, key = observed.sparkSession, [], ["src", "dst"]
+    hits = step(matches(log, statements, F.array_contains("r.policy_ids", F.col("s.policy_id"))).select("r.req_id", "r.action", "r.resource_arn", "s.effect", "s.policy_id", "s.sid", F.col("s.action").alias("patterns")))
+    state = log.select("req_id").distinct().join(hits.groupBy("req_id").agg(F.bool_or(F.col("effect") == "Deny").alias("no"), F.bool_or(F.col("effect") == "Allow").alias("yes")), "req_id", "left")
+    denied = state.where("coalesce(no, false) or not coalesce(yes, false)").count()
+    if denied:
+        raise ValueError(f"{denied} requests of the log are denied before any edit")
+    parts = step(policy_parts(statements))
+    fits = F.filter(F.transform("patterns", normal_action), lambda p: action_matches(F.col("action"), p))
+    named = F.transform(F.array_distinct(fits), lambda p: F.to_json(F.struct("policy_id", "sid", p.alias("pattern"))))
+    # a statement without actions allows by what it leaves out, and no edit takes that away
+    by = F.when(F.size("patterns") > 0, named).otherwise(F.array(F.lit("")))
+    allowed = hits.where("effect = 'Allow'").groupBy("req_id", "resource_arn").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(by)))).alias("ways"))
+    allowed = step(allowed.select("resource_arn", "ways").distinct())
+    supports = step(edge_supports(cuts.join(observed.select(*key, "relation"), [*key, "relation"], "left_semi"), parts, nodes, observed))
+    o = step(observed.select(*key, "relation").distinct())
+    w = worlds.select("sample_id", *key)
+    every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
+    risk, asked = _mean_risk(o.select(*key), w, pair, samples), pair.count()
+    while risk > delta and len(taken) < most:
+        seen = allowed.select("resource_arn", F.size("ways").alias("others"), F.explode("ways").alias("part")).withColumn("others", F.col("others") - 1)
+        aims = supports.select("part", "goal").distinct().join(parts, "part")
+        known = aims.select("part", "goal", F.explode("resource").alias("r")).unionByName(aims.select("part", "goal").join(seen.select("part", F.col("resource_arn").alias("r")), "part"))
+        real = known.where((F.col("r") != "*") & (F.lower("r") != F.lower("goal"))).groupBy("part", "goal").agg(F.array_sort(F.collect_set("r")).alias("to"))
+        scope = step(real.select("part", "to").distinct().join(parts.select("part", "pattern"), "part").select(F.to_json(F.struct("part", "to")).alias("option"), "part", "pattern", "to"))
+        bad = validate(scope.select("option", F.col("pattern").alias("action"), F.explode("to").alias("resource"), F.lit(None).cast("array<string>").alias("condition_keys")), capability).where("not is_valid").select("option").distinct()
+        none = F.lit(None).cast("array<string>")
+        options = scope.join(bad, "option", "left_anti").select("option", "part", "to", F.lit(SCOPE_COST).alias("cost"), F.lit(1.1).alias("weight")).unionByName(supports.select("part").distinct().select(F.to_json(F.struct("part")).alias("option"), "part", none.alias("to"), F.lit(REMOVE_COST).alias("cost"), F.lit(1.0).alias("weight")))
+        lost = F.col("to").isNull() | ~any_resource(F.col("resource_arn"), F.col("to"))
+        # no way is left beside the option's part, and the request is broken
+        broken = options.join(seen.where("others = 0"), "part").where(lost).select("option").distinct()
+        options = step(options.join(broken, "option", "left_anti"))
+        total = supports.groupBy(*key, "relation").agg(F.countDistinct("part").alias("all"))
+        fewer = options.join(supports, "part").where(F.col("to").isNull() | ~_names(F.col("to"))).groupBy("option", *key, "relation").agg(F.countDistinct("part").alias("less"))
+        gone = step(fewer.join(total, [*key, "relation"]).where(F.col("less") == F.col("all")).select("option", *key, "relation"))
+        names = gone.select("option").distinct().join(options.select("option", "cost", "weight"), "option")
+        blocks = -(-names.count() // OPTION_BLOCK)
+        best = None
+        for b in range(blocks):
+            some = step(names.where(F.pmod(F.xxhash64("option"), F.lit(blocks)) == b))
+            kept = o.crossJoin(some.select("option")).join(gone, ["option", *key, "relation"], "left_anti").select("option", *key).distinct()
+            spec = kept.crossJoin(F.broadcast(every)).select("option", "sample_id", *key).unionByName(w.crossJoin(some.select("option")).select("option", "sample_id", *key))
+            first = _first(spec, pair, some, risk, samples, asked)
+            if first and (best is None or (-first[0]["score"], first[0]["option"]) < (-best["score"], best["option"])):
+                best = first[0]
+        if best is None:
+            break
+        risk = best["risk"]
+        chosen = options.where(F.col("option") == best["option"]).join(parts.drop("resource"), "part").collect()[0]
+        part, to = chosen["part"], chosen["to"]
+        taken.append((len(taken) + 1, chosen["policy_id"], chosen["sid"], chosen["pattern"], "remove" if to is None else "scope", to, float(best["cost"]), float(risk)))
+        o = step(o.join(gone.where(F.col("option") == best["option"]).drop("option"), [*key, "relation"], "left_anti"))
+        here, new = F.col("part") == part, F.array(*[F.lit(x) for x in to or []])
+        parts = step(parts.where(~here) if to is None else parts.withColumn("resource", F.when(here, new).otherwise(F.col("resource"))))
+        supports = step(supports.where(~here | (F.lit(to is not None) & _names(new))) if to is not None else supports.where(~here))
+        stays = any_resource(F.col("resource_arn"), new) if to is not None else F.lit(False)
+        allowed = step(allowed.select("resource_arn", F.when(stays, F.col("ways")).otherwise(F.array_remove("ways", part)).alias("ways")).distinct())
+    return spark.createDataFrame(taken, "step int, policy_id string, sid string, action string, edit string, resources array<string>, cost double, risk double")
+
+
+def apply_patches(statements: DataFrame, patches: DataFrame) -> DataFrame:
+    """statements(policy_id, sid, effect, action, resource, ...) after edits as ``greedy_patches`` gives them, in order.
+
+    The patches are the few that a search took; statements that a narrowing splits off are edited by later ones too."""
+    for p in patches.orderBy("step").collect():
+        here = (F.col("policy_id") == p["policy_id"]) & (F.col("effect") == "Allow")
+        mine = statements.where(here)
+        for sid in (p["sid"] + "_Scoped", p["sid"]):
+            edit = RemoveAction(sid, p["action"]) if p["edit"] == "remove" else ScopeResource(sid, p["action"], p["resources"])
+            mine = edit.apply(mine)
+        statements = step(mine.unionByName(statements.where(~here)))
+    return statements
+
+
 def _mean_risk(observed: DataFrame, worlds: DataFrame, pair: DataFrame, samples: int) -> float:
     return attack_risk(observed, worlds, pair, samples).agg(F.avg("risk")).collect()[0][0] or 0.0
 

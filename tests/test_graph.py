@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatelens.functions import metrics
-from gatelens.operators import graph, masking, pairs, reach, repair, synthesis, triage, uncertain, verify, vocabulary, workload
+from gatelens.operators import capability, graph, masking, pairs, policy, reach, repair, synthesis, triage, uncertain, verify, vocabulary, workload
 
 NODE = "id string, node_type string, department string, account_id string, is_admin boolean, is_high_value boolean"
 EDGE = "src string, dst string, relation string, is_bridge boolean"
@@ -156,6 +156,47 @@ def test_greedy_cuts_evaluates_every_option(spark):
     assert repair.greedy_cuts(e, worlds, pair, options, 2, used=used).collect() == []
 
 
+ROLE = "arn:aws:iam::1:role/"
+
+
+def _patches(spark, used, statements, most=20):
+    """An intern whose policies let it take on two roles, and reach the vault over the admin one; used: roles in the log."""
+    nodes = spark.createDataFrame([("intern", "arn:aws:iam::1:user/intern"), ("admin", ROLE + "admin"), ("dev", ROLE + "dev"), ("vault", "arn:aws:s3:::vault"), ("p", "arn:aws:iam::1:policy/p"), ("q", "arn:aws:iam::1:policy/q")], "id string, arn string")
+    e = spark.createDataFrame([("intern", "admin", "AssumesRole", ["sts:AssumeRole"]), ("intern", "dev", "AssumesRole", ["sts:AssumeRole"]), ("admin", "vault", "ActsOn", ["s3:GetObject"]), ("intern", "p", "AttachedWith", []), ("intern", "q", "AttachedWith", [])], "src string, dst string, relation string, actions array<string>")
+    s = spark.createDataFrame([(pol, sid, effect, None, None, acts, None, res, None, None) for pol, sid, effect, acts, res in statements], f"policy_id string, {policy.STATEMENT}")
+    log = spark.createDataFrame([(f"r{i}", "arn:aws:iam::1:user/intern", a, r, {}, ["p", "q"]) for i, (a, r) in enumerate(used)], "req_id string, principal_arn string, action string, resource_arn string, context map<string, array<string>>, policy_ids array<string>")
+    worlds = spark.createDataFrame([(0, "dev", "vault")], "sample_id int, src string, dst string")
+    pair = spark.createDataFrame([("intern", "vault")], "source string, target string")
+    got = repair.greedy_patches(e, worlds, pair, s, e.where("relation = 'AssumesRole'"), log, nodes, capability.snapshot(spark), 4, most=most)
+    return s, got, [(r["sid"], r["action"], r["edit"], r["resources"], r["cost"], r["risk"]) for r in got.orderBy("step").collect()]
+
+
+def test_patches_scope_what_the_log_needs(spark):
+    s, got, taken = _patches(spark, [("sts:AssumeRole", ROLE + "dev"), ("s3:GetObject", "arn:aws:s3:::a/b")], [("p", "s1", "Allow", ["sts:AssumeRole", "s3:GetObject"], ["*"])])
+    # one world goes on over dev, which the log needs
+    assert taken == [("s1", "sts:assumerole", "scope", [ROLE + "dev"], 1.0, 0.25)]
+    after = {r["sid"]: (r["action"], r["resource"]) for r in repair.apply_patches(s, got).collect()}
+    assert after == {"s1": (["s3:GetObject"], ["*"]), "s1_Scoped": (["sts:assumerole"], [ROLE + "dev"])}
+
+
+def test_patches_remove_what_no_log_names_and_keep_what_it_uses(spark):
+    s, got, taken = _patches(spark, [], [("p", "s1", "Allow", ["sts:AssumeRole"], ["*"])])
+    assert taken == [("s1", "sts:assumerole", "remove", None, 5.0, 0.0)]
+    assert repair.apply_patches(s, got).count() == 0
+    assert _patches(spark, [("sts:AssumeRole", ROLE + "admin")], [("p", "s1", "Allow", ["sts:AssumeRole"], ["*"])])[2] == []
+    # wildcard actions are unknown to the capability model, so they can only be taken out, and here the log needs them
+    assert _patches(spark, [("sts:AssumeRole", ROLE + "dev")], [("p", "s1", "Allow", ["sts:*"], ["*"])])[2] == []
+
+
+def test_patches_see_every_way_a_request_is_allowed(spark):
+    twice = [("p", "s1", "Allow", ["sts:AssumeRole"], ["*"]), ("q", "s2", "Allow", ["sts:AssumeRole"], [ROLE + "dev"])]
+    _, _, taken = _patches(spark, [("sts:AssumeRole", ROLE + "dev")], twice)
+    # without s1 the request would still be allowed, but narrowing costs less; then either is enough for the edge to dev
+    assert taken == [("s1", "sts:assumerole", "scope", [ROLE + "dev"], 1.0, 0.25)]
+    with pytest.raises(ValueError, match="1 requests"):
+        _patches(spark, [("sts:AssumeRole", ROLE + "dev")], [*twice, ("q", "s3", "Deny", ["sts:*"], ["*"])])
+
+
 def test_pareto(spark):
     p = spark.createDataFrame([("none", 1.0, 0.0, 0.0), ("coarse", 0.0, 0.17, 10.0), ("log", 0.0, 0.0082, 4.0), ("ours", 0.0, 0.0, 1.0), ("twin", 0.0, 0.0, 1.0)], "method string, level3_risk double, t2_breakage double, transformation_cost double")
     f = {r["method"]: r for r in verify.frontier(p).collect()}
