@@ -248,6 +248,22 @@ def greedy_repair(spark, d):
     return repair.greedy_cuts(o, w, asked, into if not into.isEmpty() else cut, SAMPLES, used=used)
 
 
+@query(f"""{G}, st AS (SELECT 'policy:' || p_partkey AS policy_id, CASE WHEN p_partkey % 3 = 0 THEN 'act:1*' ELSE 'act:' || p_size END AS pattern, CASE WHEN p_partkey % 2 = 0 THEN ['role:*'] ELSE ['resource:Brand#1?', 'role:1*'] END AS res FROM part),
+cut AS (SELECT src, dst, relation, 'act:' || p_size AS act FROM edges JOIN part ON src = 'policy:' || p_partkey WHERE relation = 'ActsOn' UNION ALL SELECT src, dst, relation, 'act:12' FROM edges WHERE relation = 'PassesTo'),
+ways AS (SELECT c.src, c.dst, c.relation, c.act, a.dst AS policy_id, c.src AS own FROM cut c JOIN edges a ON a.src = c.src AND a.relation = 'AttachedWith' UNION ALL SELECT src, dst, relation, act, src, NULL FROM cut)
+SELECT DISTINCT w.src, w.dst, w.relation, w.policy_id, s.pattern, w.own, w.dst AS goal FROM ways w JOIN st s ON s.policy_id = w.policy_id WHERE w.act GLOB s.pattern AND len(list_filter(s.res, lambda r: w.dst GLOB r OR coalesce(w.own GLOB r, false))) > 0""")
+def edge_supports(spark, d):
+    p, e = table(spark, d, "part"), star.edges(spark, d)
+    act, policy_id = F.concat(F.lit("act:"), F.col("p_size").cast("string")), F.concat(F.lit("policy:"), F.col("p_partkey").cast("string"))
+    pattern = F.when(F.col("p_partkey") % 3 == 0, "act:1*").otherwise(act)
+    names = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("role:*"))).otherwise(F.array(F.lit("resource:Brand#1?"), F.lit("role:1*")))
+    parts = repair.policy_parts(p.select(policy_id.alias("policy_id"), F.lit("s").alias("sid"), F.lit("Allow").alias("effect"), F.array(pattern).alias("action"), names.alias("resource")))
+    own = e.where("relation = 'ActsOn'").join(p.select(policy_id.alias("src"), F.array(act).alias("actions")), "src").select("src", "dst", "relation", "actions")
+    cuts = own.unionByName(e.where("relation = 'PassesTo'").select("src", "dst", "relation", F.array(F.lit("act:12")).alias("actions")))
+    found = repair.edge_supports(cuts, parts, star.nodes(spark, d).withColumn("arn", F.col("id")), e)
+    return found.join(parts.select("part", "policy_id", "pattern"), "part").select("src", "dst", "relation", "policy_id", "pattern", "own", "goal")
+
+
 @query("SELECT 'a:1' AS action, 'scope' AS choice, 1.0 AS cost, 6.0 AS total UNION ALL SELECT 'a:2', 'keep', 0.0, 6.0 UNION ALL SELECT 'a:3', 'remove', 5.0, 6.0")
 def exact_repair(spark, d):
     paths = spark.createDataFrame([(1, "a:1"), (1, "a:2"), (2, "a:3")], "path_id int, action string")
