@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import one_hot, uniform
 from gatelens.operators.graph import NODE_TYPES, RELATIONS, relation_degrees
-from gatelens.plans.steps import step
+from gatelens.plans.steps import shared_folder, step
 
 
 def assembled(pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +27,12 @@ def assembled(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def random_forest(train: DataFrame, columns: list[str], trees: int = 100, depth: int = 15, seed: int = 7):
-    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(train, columns))
+    """The fitted forest, written to the shared folder and read back: a fresh one holds its training summary and with it
+    the session, which can't travel to executors once the session has observed a metric."""
+    fitted = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(train, columns))
+    path = f"{shared_folder(train.sparkSession)}/forest-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def boosted_trees(train: DataFrame, columns: list[str], rounds: int = 150, depth: int = 5, rate: float = 0.05, seed: int = 7):

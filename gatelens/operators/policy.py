@@ -32,9 +32,9 @@ def principal_matches(principal: Column, arn: Column) -> Column:
     return F.coalesce(F.exists(F.flatten(F.map_values(principal)), lambda p: (p == "*") | (p == arn)), F.lit(False))
 
 
-def statement_applies(s: str, r: str) -> Column:
-    """Boolean column over a row that holds statement struct ``s`` and request struct ``r``."""
-    c = lambda name: F.col(f"{s}.{name}")
+def statement_applies(s: str | Column, r: str) -> Column:
+    """Boolean column over a row that holds statement struct ``s``, by name or as an expression, and request struct ``r``."""
+    c = lambda name: F.col(f"{s}.{name}") if isinstance(s, str) else s[name]
     arn, action, resource = F.col(f"{r}.principal_arn"), F.col(f"{r}.action"), F.col(f"{r}.resource_arn")
     context = F.map_concat(F.map_filter(F.coalesce(F.col(f"{r}.context"), F.expr("cast(map() as map<string, array<string>>)")), lambda k, _: k != "aws:PrincipalArn"),
                            F.map_from_arrays(F.array(F.lit("aws:PrincipalArn")), F.array(F.coalesce(F.try_element_at(F.col(f"{r}.context"), F.lit("aws:PrincipalArn")), F.array(arn)))))

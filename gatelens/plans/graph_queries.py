@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import graph, masking, reach, triage, uncertain
+from gatelens.operators import capability, graph, masking, reach, triage, uncertain
 from gatelens.plans.registry import query
 from gatelens.plans.steps import step
 from gatelens.sources import star
@@ -14,7 +14,7 @@ G = f"WITH RECURSIVE {GRAPH_SQL}"
 TARGETS = "targets AS (SELECT id FROM nodes WHERE (is_high_value OR is_admin) AND node_type <> 'Policy')"
 SOURCES = "sources AS (SELECT id FROM nodes WHERE node_type IN ('User', 'Role'))"
 DEPTH = 8
-SAMPLES = 20
+SAMPLES = 100
 
 
 def _walk(name: str, edges: str, depth: int = DEPTH) -> str:
@@ -224,12 +224,33 @@ def mc_vs_product(spark, d):
     return p.select("source", "target", "frequency", F.round("abs_error", 9).alias("abs_error"), F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "consistent")
 
 
-@query(f"""{G}, {CANDIDATES}, {WORLDS}, use AS (SELECT src, dst, relation, count(DISTINCT sample_id) / {SAMPLES} AS sample_share, count(*) AS path_count FROM worlds GROUP BY ALL), t AS (SELECT max(path_count) AS top FROM use)
-SELECT src, dst, relation, sample_share, path_count, round(0.6 * sample_share + 0.2 * path_count / top + 0.2 * 0.5, 9) AS score FROM use, t ORDER BY score DESC, sample_share DESC, path_count DESC, src, relation, dst LIMIT 15""")
+#: The actions that an edge of a relation stands for, as the capability table names them.
+_ACTIONS = {"AssumesRole": ["sts:AssumeRole"], "ActsOn": ["sts:GetCallerIdentity"], "AttachedWith": ["sts:GetCallerIdentity", "s3:GetObject"]}
+
+USED = f"""walk(sample_id, s, t, hops, path) AS (
+  SELECT i, id, id, 0, id FROM sources, (SELECT CAST(unnest(range({SAMPLES})) AS INTEGER) AS i) UNION ALL
+  SELECT w.sample_id, w.s, e.dst, w.hops + 1, w.path || '>' || e.dst FROM walk w JOIN (SELECT DISTINCT sample_id, src, dst FROM wedges) e ON e.src = w.t AND e.sample_id = w.sample_id WHERE w.hops < {DEPTH} AND NOT list_contains(string_split(w.path, '>'), e.dst)
+), world_paths AS (SELECT sample_id, arg_min(path, struct_pack(h := hops, p := path)) AS path FROM walk WHERE s <> t AND t IN (SELECT id FROM targets) GROUP BY sample_id, s, t),
+world_legs AS (SELECT sample_id, unnest(list_transform(string_split(path, '>')[1:-2], lambda x, i: struct_pack(a := x, b := string_split(path, '>')[i + 1]))) AS l FROM world_paths),
+one_edge AS (SELECT src, dst, arg_min(relation, struct_pack(b := NOT is_bridge, r := relation)) AS relation, bool_or(is_bridge) AS is_bridge FROM edges GROUP BY src, dst),
+used AS (SELECT src, dst, relation, is_bridge, count(DISTINCT sample_id) / {SAMPLES} AS sample_share, count(*) AS path_count FROM world_legs JOIN one_edge ON l.a = src AND l.b = dst GROUP BY ALL)"""
+
+
+def _used(spark, d):
+    n, o, _, w = _worlds(spark, d)
+    return uncertain.participation(uncertain.world_witnesses(o, w, *_ends(n), SAMPLES), star.edges(spark, d), SAMPLES)
+
+
+# edges passed on may be there or not: latent 0.5; memberships name no action 0.8; GetCallerIdentity alone takes only * 0.4
+@query(f"""{G}, {TARGETS}, {SOURCES}, {CANDIDATES}, {WORLDS}, {USED}, able AS (SELECT *, CASE relation WHEN 'PassesTo' THEN 0.5 WHEN 'MemberOf' THEN 0.8 WHEN 'ActsOn' THEN 0.4 ELSE 1.0 END AS capability_score FROM used), top AS (SELECT max(path_count) AS top FROM used)
+SELECT src, dst, relation, sample_share, path_count, capability_score, round(0.6 * sample_share + 0.2 * path_count / top + 0.2 * capability_score, 9) AS score FROM able, top ORDER BY score DESC, sample_share DESC, path_count DESC, src, relation, dst LIMIT 15""")
 def candidate_prune_topk(spark, d):
-    w = _worlds(spark, d)[3]
-    use = w.groupBy("src", "dst", "relation").agg((F.count_distinct("sample_id") / SAMPLES).alias("sample_share"), F.count("*").alias("path_count"))
-    return uncertain.prune(use.withColumn("capability_score", F.lit(0.5)), 15).drop("capability_score")
+    acts = F.expr("cast(array() as array<string>)")
+    for relation, names in _ACTIONS.items():
+        acts = F.when(F.col("relation") == relation, F.array(*map(F.lit, names))).otherwise(acts)
+    used = step(_used(spark, d).withColumn("actions", acts).withColumn("is_latent", F.col("relation") == "PassesTo"))
+    scored = uncertain.capability_score(used, capability.snapshot(spark))
+    return uncertain.prune(scored, 15).select("src", "dst", "relation", "sample_share", "path_count", "capability_score", "score")
 
 
 # --- masks and negatives ---

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from gatelens.functions import metrics
 from gatelens.functions.scalars import uniform
 from gatelens.operators import masking, models, pairs, policy, reach, repair, synthesis, uncertain, verify, workload
-from gatelens.plans.graph_queries import CANDIDATES, G, SAMPLES, TARGETS, WORLDS, _ends, _graph, _worlds
+from gatelens.plans.graph_queries import CANDIDATES, G, SAMPLES, SOURCES, TARGETS, USED, WORLDS, _graph, _used, _worlds
 from gatelens.plans.registry import query
 from gatelens.plans.steps import shared_folder, step
 from gatelens.sources import graphs, star, terraform
-from gatelens.sources.star import table
+from gatelens.sources.star import REQUESTS_SQL, table
 from gatelens.streaming import breakage
 
 # --- metrics over scored rows: labels by language, scores by hash, rounded so that ties occur ---
@@ -95,10 +95,17 @@ def seed_ci(spark, d):
     return _rounded(metrics.confidence_interval(s, ["grp"], "v"), "grp", "n")
 
 
-@query()
+def _finer(name: str, near: str, step: str) -> str:
+    """Around the best log temperature of ``near``, the one of least loss among 201 places ``step`` apart."""
+    return f"""{name} AS (SELECT arg_min(g, struct_pack(v := loss, g := g)) AS g FROM (SELECT g, avg(-ln(least(greatest(1 / (1 + exp(-(2 * y - 1) * z / exp(g))), 1e-7), 1 - 1e-7))) AS loss FROM logits, (SELECT {near} + i * {step} AS g FROM range(-100, 101) t(i)) GROUP BY g))"""
+
+
+# nested grids find what the operator's search does
+@query(f"""{SCORED}, logits AS (SELECT y, 3 * ln(greatest(score, 0.01) / (1.01 - score)) AS z FROM scored), {_finer("g1", "0.0", "ln(100) / 100")}, {_finer("g2", "(SELECT g FROM g1)", "ln(100) / 9000")}, {_finer("g3", "(SELECT g FROM g2)", "ln(100) / 800000")}
+SELECT round(exp(g), 3) AS temperature FROM g3""")
 def temperature(spark, d):
     t = metrics.fit_temperature(_scored(spark, d).select("y", (3 * F.log(F.greatest("score", F.lit(0.01)) / (1.01 - F.col("score")))).alias("logit")))
-    return spark.createDataFrame([(t,)], "temperature double")
+    return spark.createDataFrame([(round(t, 3),)], "temperature double")
 
 
 # --- pair features and heuristic scores ---
@@ -312,12 +319,12 @@ def _tree_scores(spark, d, fit):
 
 @query()
 def rf_scores(spark, d):
-    return _tree_scores(spark, d, lambda t, c: models.random_forest(t, c, 30, 8))
+    return _tree_scores(spark, d, lambda t, c: models.random_forest(t, c))
 
 
 @query()
 def gbt_scores(spark, d):
-    return _tree_scores(spark, d, lambda t, c: models.boosted_trees(t, c, 10))
+    return _tree_scores(spark, d, lambda t, c: models.boosted_trees(t, c))
 
 
 @query()
@@ -374,9 +381,12 @@ def synthetic_workload(spark, d):
     return workload.split_days(events, 30, 10).groupBy("win", "is_drift", "drift_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{G}, idx AS (SELECT id, node_type, row_number() OVER (PARTITION BY node_type ORDER BY id) - 1 AS idx FROM nodes),
+f AS (SELECT a.node_type AS src_type, relation, b.node_type AS dst_type, a.idx AS s, b.idx AS d, is_bridge, row_number() OVER (PARTITION BY a.node_type, relation, b.node_type ORDER BY a.idx, b.idx, is_bridge) - 1 AS place FROM edges JOIN idx a ON src = a.id JOIN idx b ON dst = b.id)
+SELECT src_type, relation, dst_type, string_agg(s, ',' ORDER BY place) AS src_index, string_agg(d, ',' ORDER BY place) AS dst_index, coalesce(string_agg(place, ',' ORDER BY place) FILTER (is_bridge), '') AS bridges FROM f GROUP BY ALL""")
 def index_files(spark, d):
-    return graphs.index_encoded(*_graph(spark, d)).select("src_type", "relation", "dst_type", F.size("src_index").alias("n"), F.size("bridges").alias("n_bridges"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("src_index", "dst_index", "bridges")]
+    return graphs.index_encoded(*_graph(spark, d)).select("src_type", "relation", "dst_type", *lists)
 
 
 @query()
@@ -402,20 +412,21 @@ def hcl_ingest(spark, d):
     return terraform.to_graph(step(found))[1]
 
 
-@query()
+# the batch twin: days that end an hour or more before the last event, which is where the watermark stands
+@query(f"""WITH {REQUESTS_SQL}, days AS (SELECT date_trunc('day', ts) AS day, decision FROM decided)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS requests, count(*) FILTER (decision = 'Allow') AS allowed, count(*) FILTER (decision = 'ExplicitDeny') AS explicit_denies, count(*) FILTER (decision = 'ImplicitDeny') AS implicit_denies, round(1 - count(*) FILTER (decision = 'Allow') / count(*), 9) AS breakage
+FROM days WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY day""")
 def stream_breakage(spark, d):
     folder = f"{_root(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, d, "events").repartition(4).write.parquet(folder)
     codes = breakage.decided(breakage.as_requests(breakage.read_events(spark, folder)), star.statements(spark))
-    return breakage.run_once(breakage.breakage(codes), f"breakage_{uuid.uuid4().hex}", f"{folder}-state")
+    found = breakage.run_once(breakage.breakage(codes), f"breakage_{uuid.uuid4().hex}", f"{folder}-state")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "requests", "allowed", "explicit_denies", "implicit_denies", F.round("breakage", 9).alias("breakage"))
 
 
-@query()
+@query(f"{G}, {TARGETS}, {SOURCES}, {CANDIDATES}, {WORLDS}, {USED} SELECT src, dst, relation, is_bridge, sample_share, path_count FROM used")
 def participation(spark, d):
-    n, o, _, w = _worlds(spark, d)
-    s, t = _ends(n)
-    got = uncertain.world_witnesses(o, w, s, t, SAMPLES)
-    return uncertain.participation(got, star.edges(spark, d), SAMPLES)
+    return _used(spark, d)
 
 
 @query(f"{G}, p AS (SELECT src AS principal, dst AS policy FROM edges WHERE relation = 'AttachedWith' UNION ALL SELECT m.src, a.dst FROM edges m JOIN edges a ON m.dst = a.src WHERE m.relation = 'MemberOf' AND a.relation = 'AttachedWith') SELECT principal, count(*) AS n, min(policy) AS first FROM p GROUP BY principal")

@@ -22,20 +22,21 @@ def as_requests(events: DataFrame) -> DataFrame:
                          F.concat(F.lit("user/"), user).alias("resource_arn"), context.alias("context"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-def decided(requests: DataFrame, statements: list[dict] | DataFrame) -> DataFrame:
-    """(ts, decision) of each request, without state: the statements, a stated few, are one array beside every request."""
+def decided(requests: DataFrame, statements: DataFrame) -> DataFrame:
+    """(req_id, ts, decision) of each request, without state: the statements, a stated few, are one array beside every
+    request. A matching deny wins, else an allow, else implicit deny, as in the batch operator."""
     s = statements.agg(F.collect_list(F.struct("*")).alias("all"))
     r = requests.select(F.struct("*").alias("r")).crossJoin(F.broadcast(s))
-    each = r.select("r", F.transform("all", lambda x: x).alias("all")).select("r", F.explode_outer("all").alias("s"))
-    hit = each.withColumn("fits", statement_applies("s", "r"))
-    code = F.when(F.col("fits") & (F.col("s.effect") == "Deny"), 2).when(F.col("fits"), 1).otherwise(0)
-    return hit.select(F.col("r.req_id").alias("req_id"), F.col("r.ts").alias("ts"), code.alias("code"))
+    effects = r.select("r", F.transform(F.filter("all", lambda s: statement_applies(s, "r")), lambda s: s["effect"]).alias("effects"))
+    decision = F.when(F.array_contains("effects", "Deny"), "ExplicitDeny").when(F.array_contains("effects", "Allow"), "Allow").otherwise("ImplicitDeny")
+    return effects.select("r.req_id", "r.ts", decision.alias("decision"))
 
 
-def breakage(codes: DataFrame, window: str = "1 day", late: str = "1 hour", requests_per: str = "req_id") -> DataFrame:
-    """Windowed counts of matching statements by effect; windows close when the watermark passes them."""
-    w = codes.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"))
-    return w.agg(F.approx_count_distinct(requests_per, 0.01).alias("requests"), F.count_if(F.col("code") == 1).alias("allow_hits"), F.count_if(F.col("code") == 2).alias("deny_hits")).select(F.col("w.start").alias("start"), "requests", "allow_hits", "deny_hits")
+def breakage(decisions: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Windowed counts of requests by decision, and the share denied; windows close when the watermark passes them."""
+    w = decisions.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"))
+    counts = [F.count_if(F.col("decision") == x).alias(name) for x, name in (("Allow", "allowed"), ("ExplicitDeny", "explicit_denies"), ("ImplicitDeny", "implicit_denies"))]
+    return w.agg(F.count("*").alias("requests"), *counts).select(F.col("w.start").alias("start"), "requests", "allowed", "explicit_denies", "implicit_denies", (1 - F.col("allowed") / F.col("requests")).alias("breakage"))
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -74,6 +74,27 @@ def test_queries_run(spark, name):
     assert catalogue.queries()[name](spark, SMALL).count() > 0
 
 
+def test_forest_scores_after_an_observed_write(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    t = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "a double, y int")
+    m = models.random_forest(t.withColumn("a", F.col("a") % 2), ["a"], 3, 3)
+    assert seen.get["n"] == 3 and all((r["score"] > 0.5) == (r["a"] > 0) for r in models.predict(m, t.withColumn("a", F.col("a") % 2), ["a"]).collect())
+
+
+def test_stream_decisions_are_the_batch_decisions(spark):
+    from gatelens.operators import policy
+    from gatelens.sources import star
+    from gatelens.streaming import breakage
+
+    q, s = star.requests(spark, SMALL), star.statements(spark)
+    asked = q.select("req_id", "principal_arn", "action", "resource_arn", "context", "ts")
+    got = {r["req_id"]: r["decision"] for r in breakage.decided(asked, s).collect()}
+    assert got == {r["req_id"]: r["decision"] for r in policy.decide(q, s).collect()} and len(set(got.values())) == 3
+
+
 def test_sql_twins_have_queries():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.oracle_sql()) >= 60
 
