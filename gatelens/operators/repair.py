@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
 from gatelens.operators.capability import validate
 from gatelens.operators.policy import matches
-from gatelens.operators.reach import has_path
+from gatelens.operators.reach import has_path, useful
 from gatelens.operators.uncertain import attack_risk
 from gatelens.plans.steps import step
 
@@ -102,11 +102,16 @@ def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options
         broken = options.join(used.select(*key).distinct(), key, "left_semi").select("option").distinct()
         options = options.join(broken, "option", "left_anti")
     weight = F.when(F.col("scoping"), 1.1).otherwise(1.0) if "scoping" in options.columns else F.lit(1.0)
-    opts = step(options.select("option", F.col("cost").cast("double").alias("cost"), weight.alias("weight"), *key))
+    # only edges on some way from a pair's source to a pair's target can change a risk; the others would be copied in vain
+    flat = step(observed.select(*key).unionByName(worlds.select(*key)).distinct())
+    ahead = useful(flat, pair.select(F.col("target").alias("id")), None).withColumnRenamed("node", "dst")
+    behind = useful(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pair.select(F.col("source").alias("id")), None).withColumnRenamed("node", "src")
+    live = step(flat.join(ahead, "dst", "left_semi").join(behind, "src", "left_semi").select(*key))
+    opts = step(options.join(live, key, "left_semi").select("option", F.col("cost").cast("double").alias("cost"), weight.alias("weight"), *key))
     names = opts.groupBy("option").agg(F.max("cost").alias("cost"), F.max("weight").alias("weight"))
     blocks = -(-names.count() // OPTION_BLOCK)
     left = step(names.withColumn("block", F.pmod(F.xxhash64("option"), F.lit(max(1, blocks)))))
-    o, w = observed.select(*key), worlds.select("sample_id", *key)
+    o, w = step(observed.select(*key).distinct().join(live, key, "left_semi")), step(worlds.select("sample_id", *key).distinct().join(live, key, "left_semi"))
     every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
     risk, asked = _mean_risk(o, w, pair, samples), pair.count()
     while risk > delta and len(taken) < most:

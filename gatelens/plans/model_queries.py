@@ -247,12 +247,11 @@ def tradeoff_summary(spark, d):
 @query()
 def greedy_repair(spark, d):
     n, o, c, w = _worlds(spark, d)
-    goal = n.where("is_admin and id like 'role:%'").agg(F.min("id").alias("target"))
-    asked = step(c.select(F.col("src").alias("source")).distinct().crossJoin(F.broadcast(goal)).where("source <> target"))
-    cut = c.select(F.concat(F.lit("into-"), "dst").alias("option"), "src", "dst").withColumn("cost", F.lit(1.0)).join(w.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
-    into = step(c.join(asked.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi").select(F.concat_ws("|", "src", "dst").alias("option"), "src", "dst", F.lit(1.0).alias("cost")))
+    goals = n.where("is_admin and id like 'role:%'").select(F.col("id").alias("target"))
+    asked = step(c.select(F.col("src").alias("source")).distinct().crossJoin(F.broadcast(goals)).where("source <> target"))
+    cuts = step(c.select(F.concat_ws("|", "src", "dst").alias("option"), "src", "dst", F.lit(1.0).alias("cost")))
     used = star.edges(spark, d).where("relation in ('AssumesRole', 'PassesTo')").where(uniform("dst", "src") < 0.75)
-    return repair.greedy_cuts(o, w, asked, into if not into.isEmpty() else cut, SAMPLES, used=used)
+    return repair.greedy_cuts(o, w, asked, cuts, SAMPLES, used=used)
 
 
 @query(f"""{G}, st AS (SELECT 'policy:' || p_partkey AS policy_id, CASE WHEN p_partkey % 3 = 0 THEN 'act:1*' ELSE 'act:' || p_size END AS pattern, CASE WHEN p_partkey % 2 = 0 THEN ['role:*'] ELSE ['resource:Brand#1?', 'role:1*'] END AS res FROM part),

@@ -1,5 +1,7 @@
 """Graph, reachability, worlds, repair, verification on literal graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,40 @@ def test_repair_and_verify(spark, chain):
         repair.exact_cuts(spark.createDataFrame([(1, "a")], "path_id int, action string"), spark.createDataFrame([(str(i), True, True, False) for i in range(11)], "action string, scopable boolean, breaks_if_scoped boolean, needed boolean"))
 
 
+def test_greedy_cuts_are_those_of_brute_force(spark):
+    draw, samples = random.Random(5), 3
+    some = lambda n: {(f"n{draw.randrange(9)}", f"n{draw.randrange(9)}") for _ in range(n)}
+    fixed, per = some(9), [some(6) for _ in range(samples)]
+    pairs_ = [(a, b) for a in ("n0", "n1", "n2") for b in ("n7", "n8")]
+    options = sorted(fixed.union(*per))
+
+    def risk(cut):
+        hits = 0
+        for world in per:
+            edges, total = (fixed | world) - cut, 0
+            for a, b in pairs_:
+                seen, front = set(), [a]
+                while front:
+                    x = front.pop()
+                    front += [t for s, t in edges if s == x and t not in seen]
+                    seen |= {t for s, t in edges if s == x}
+                total += b in seen
+            hits += total
+        return hits / samples / len(pairs_)
+
+    want, cut, now = [], set(), risk(set())
+    while now > 0 and len(want) < 4:
+        best = min(((risk(cut | {e}), "|".join(e), e) for e in options if e not in cut))
+        if now - best[0] <= 1e-6:
+            break
+        want.append((len(want) + 1, best[1], round(best[0], 9)))
+        cut, now = cut | {best[2]}, best[0]
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    got = repair.greedy_cuts(frame(fixed, "src string, dst string"), frame({(i, *e) for i, w in enumerate(per) for e in w}, "sample_id int, src string, dst string"), frame(pairs_, "source string, target string"),
+                             frame({("|".join(e), 1.0, *e) for e in options}, "option string, cost double, src string, dst string"), samples, most=4)
+    assert want and [(r["step"], r["option"], round(r["risk"], 9)) for r in got.orderBy("step").collect()] == want
+
+
 def test_greedy_cuts_evaluates_every_option(spark):
     e = spark.createDataFrame([("s", "a"), ("a", "t"), ("a", "b"), ("b", "t"), ("x", "y")], "src string, dst string")
     worlds = spark.createDataFrame([], "sample_id int, src string, dst string")
