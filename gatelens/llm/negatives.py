@@ -218,7 +218,7 @@ def mine(rows: DataFrame) -> DataFrame:
         groups = with_positives(groups, merged)
         negatives = pass_over(rows, groups, NEGATIVES, best_negatives, lambda g: len(g["owner"]))
         pairs = [pa.table({"part": pa.array(np.full(len(g["owner"]), k, np.int32)), "list": np.arange(len(g["owner"])), "anchor_id": g["id"][g["owner"]], "positive_id": g["positive"], "positive_score": g["positive_score"]}) for k, g in enumerate(groups)]
-        named = F.broadcast(spark.createDataFrame(pa.concat_tables(pairs)))
+        named = F.broadcast(spark.createDataFrame(pa.concat_tables(pairs).combine_chunks()))  # in one chunk: an empty one would end the table
         done = negatives.join(named, ["part", "list"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
         done.write.parquet(f"{path}/block={block}")
         written = True

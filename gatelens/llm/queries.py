@@ -12,12 +12,13 @@ from gatelens.llm.negatives import OP12_SQL, op12_hard_negatives
 from gatelens.llm.packing import op8_packing
 from gatelens.llm.rptree import OP7_SQL, op7_vector_dedup
 from gatelens.llm.secrets import op1_secret_scan
+from gatelens.llm.structure import op13_structure_repair
 from gatelens.llm.urlfilter import OP4_SQL, op4_url_filter
 from gatelens.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_languages, op3_line_dedup, op4_url_filter, op5_decontamination, op6_jaccard_join, op7_vector_dedup, op8_packing, op9_warc, op10_quality, op11_mixing, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_languages, op3_line_dedup, op4_url_filter, op5_decontamination, op6_jaccard_join, op7_vector_dedup, op8_packing, op9_warc, op10_quality, op11_mixing, op12_hard_negatives, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
