@@ -131,7 +131,7 @@ def best_negatives(group: dict, best: Best, ids: np.ndarray, labels: np.ndarray,
         anchor_floor, anchor_top = np.full(len(score), np.iinfo(np.int64).max), np.full(len(score), NONE)
         np.minimum.at(anchor_floor, owner, floors)
         np.maximum.at(anchor_top, owner, group["high"][first:last])
-        x, y = np.nonzero((score >= anchor_floor[:, None]) & (score <= anchor_top[:, None]) & (group["label"][a][:, None] != labels[b]))
+        x, y = np.nonzero((score >= anchor_floor[:, None]) & (score <= anchor_top[:, None]) & (group["label"][a][:, None] != labels[b]) & (group["id"][a][:, None] != ids[b]))
         for k in range(POSITIVES):  # each anchor's k-th positive
             pair = group["pairs"][a.start + x] + k
             real = pair < group["pairs"][a.start + x + 1]
