@@ -45,12 +45,13 @@ def predict(model, pairs: DataFrame, columns: list[str]) -> DataFrame:
     return model.transform(v).withColumn("score", vector_to_array("probability")[1]).select(*pairs.columns, "score")
 
 
-def node_features(nodes: DataFrame, edges: DataFrame, departments: tuple[str, ...]) -> DataFrame:
-    """(id, x): type and department codes, flags, and log degrees by relation."""
+def node_features(nodes: DataFrame, edges: DataFrame, departments: tuple[str, ...], accounts: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x): type, department and, of the named ones, account codes, flags, and log degrees by relation."""
     d = relation_degrees(nodes, edges)
     deg = F.array(*[F.col(c) for c in d.columns if c != "id"])
     flag = lambda c: F.array(F.col(c).cast("double"))
-    return nodes.join(d, "id").select("id", F.concat(one_hot(F.col("node_type"), (*NODE_TYPES, "other")), one_hot(F.col("department"), (*departments, "other")), flag("is_admin"), flag("is_high_value"), deg).alias("x"))
+    account = [one_hot(F.col("account_id"), (*accounts, "other"))] if accounts else []
+    return nodes.join(d, "id").select("id", F.concat(one_hot(F.col("node_type"), (*NODE_TYPES, "other")), one_hot(F.col("department"), (*departments, "other")), *account, flag("is_admin"), flag("is_high_value"), deg).alias("x"))
 
 
 def without_centrality(x: Column, first: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -21,9 +22,26 @@ def shared_folder(spark) -> str:
     return found.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def discard(spark):
+    """Removes, at the end, the folders of the steps that were taken inside: for rounds of a loop that leave nothing behind."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def step(df: DataFrame) -> DataFrame:
     """Write df as a table in the cluster's shared folder and read it back: lineage ends, sizes are true."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from gatelens.functions.scalars import uniform
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+#: Accounts are nation keys.
+ACCOUNTS = tuple(str(i) for i in range(25))
 BRIDGE_SHARE = 0.3
 
 
