@@ -115,11 +115,11 @@ def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(long, "v", ["kind"])
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the least id that a node reaches whichever way edges point."""
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that a node reaches whichever way edges point, however many rounds that takes."""
     both = step(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = step(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
         hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))
         far = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
@@ -127,7 +127,6 @@ def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Dat
         labels = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -110,6 +110,39 @@ def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets
     return hit.groupBy("source", F.col("node").alias("target")).agg(F.sum(F.bit_count("mask")).alias("hits"))
 
 
+def world_paths(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
+    """(chunk, source, target, hops, mask, path): every pair's witness in every world where it is in reach; worlds of a chunk
+    that have the same witness are bits of one row's mask.
+
+    As in ``reach``, the witness has the fewest hops and of those sorts first: of the rows that come to a node in a round,
+    each keeps the worlds that neither an earlier round nor a path before it in the order has taken.
+    """
+    flat = shared.select("src", "dst").unionByName(worlds.select("src", "dst"))
+    alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
+    common = shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst", F.lit(-1).cast("long").alias("own"))
+    every = shared.sparkSession.createDataFrame([(k, -1 if samples - k * WORLD_BITS >= WORLD_BITS else (1 << (samples - k * WORLD_BITS)) - 1) for k in range(-(-samples // WORLD_BITS))], "chunk int, mask long")
+    bit = F.expr(f"shiftleft(1L, cast(sample_id % {WORLD_BITS} as int))")
+    single = worlds.groupBy((F.floor(F.col("sample_id") / WORLD_BITS)).cast("int").alias("chunk"), F.col("src").alias("node"), "dst").agg(F.bit_or(bit).alias("own")).join(alive, "dst", "left_semi")
+    both = common.crossJoin(F.broadcast(every.select("chunk"))).select("chunk", "node", "dst", "own").unionByName(single.select("chunk", "node", "dst", "own"))
+    links = step(both.groupBy("chunk", "node", "dst").agg(F.bit_or("own").alias("own")))
+    key = ["chunk", "source", "node"]
+    start = sources.select(F.col("id").alias("source")).distinct().join(links.select(F.col("node").alias("source")).distinct(), "source", "left_semi").crossJoin(F.broadcast(every))
+    front = step(start.select("chunk", "source", F.col("source").alias("node"), "mask", F.col("source").alias("path"), F.lit(0).alias("hops")))
+    seen = front
+    before = Window.partitionBy(*key).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    for hop in _hops(depth):
+        came = front.join(links, ["chunk", "node"]).select("chunk", "source", F.col("dst").alias("node"), F.col("mask").bitwiseAND(F.col("own")).alias("mask"), F.concat("path", F.lit(">"), "dst").alias("path")).where("mask <> 0")
+        held = seen.join(came.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.bit_or("mask").alias("was"))
+        rest = came.join(held, key, "left").withColumn("mask", F.expr("mask & ~coalesce(was, 0L)")).where("mask <> 0")
+        first = rest.withColumn("taken", F.coalesce(F.bit_or("mask").over(before), F.lit(0))).withColumn("mask", F.expr("mask & ~taken")).where("mask <> 0")
+        front, n = counted_step(first.select(*key, "mask", "path", F.lit(hop).alias("hops")))
+        if not n:
+            break
+        seen = _grown(seen, front, hop)
+    hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    return hit.select("chunk", "source", F.col("node").alias("target"), "hops", "mask", "path")
+
+
 def path_edges(witnesses: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, pos, src, dst, relation, is_bridge): of parallel edges a bridge first, then the relation that sorts first."""
     n = F.split("path", ">")

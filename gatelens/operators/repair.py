@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 from abc import ABC, abstractmethod
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,15 +31,18 @@ class Edit(ABC):
 
 
 class ScopeResource(Edit):
-    """Narrow an action of a statement to some resources: in place if it is the only action, else split off."""
+    """Narrow an action of a statement to some resources: in place if it is the only action, else split off.
+
+    policy_id: the policy whose statement is meant, where equal sids of others are to stay; None edits all of the sid.
+    """
 
     cost = SCOPE_COST
 
-    def __init__(self, sid: str, action: str, resources: list[str]):
-        self.sid, self.action, self.resources = sid, action, sorted(resources)
+    def __init__(self, sid: str, action: str, resources: list[str], policy_id: str | None = None):
+        self.sid, self.action, self.resources, self.policy_id = sid, action, sorted(resources), policy_id
 
     def apply(self, statements: DataFrame) -> DataFrame:
-        here = (F.col("sid") == self.sid) & F.exists("action", lambda a: normal_action(a) == self.action.strip().lower())
+        here = _meant(self.sid, self.policy_id) & F.exists("action", lambda a: normal_action(a) == self.action.strip().lower())
         alone, to = F.size("action") == 1, F.array(*[F.lit(r) for r in self.resources])
         kept = statements.withColumn("resource", F.when(here & alone, to).otherwise(F.col("resource"))).withColumn(
             "action", F.when(here & ~alone, F.filter("action", lambda a: normal_action(a) != self.action.strip().lower())).otherwise(F.col("action"))
@@ -50,17 +52,24 @@ class ScopeResource(Edit):
 
 
 class RemoveAction(Edit):
-    """Take an action out of a statement; a statement without actions goes."""
+    """Take an action out of a statement; a statement that loses its last action goes. Others, and those that never named
+    an action, such as statements of what is not meant, stay as they are."""
 
     cost = REMOVE_COST
 
-    def __init__(self, sid: str, action: str):
-        self.sid, self.action = sid, action
+    def __init__(self, sid: str, action: str, policy_id: str | None = None):
+        self.sid, self.action, self.policy_id = sid, action, policy_id
 
     def apply(self, statements: DataFrame) -> DataFrame:
-        here = F.col("sid") == self.sid
-        less = statements.withColumn("action", F.when(here, F.filter("action", lambda a: normal_action(a) != self.action.strip().lower())).otherwise(F.col("action")))
-        return less.where(~here | (F.size("action") > 0))
+        named = F.exists("action", lambda a: normal_action(a) == self.action.strip().lower())
+        here = F.coalesce(_meant(self.sid, self.policy_id) & named, F.lit(False))
+        less = F.filter("action", lambda a: normal_action(a) != self.action.strip().lower())
+        return statements.where(~here | (F.size(less) > 0)).withColumn("action", F.when(here, less).otherwise(F.col("action")))
+
+
+def _meant(sid: str, policy_id: str | None) -> Column:
+    here = F.col("sid") == sid
+    return here if policy_id is None else here & (F.col("policy_id") == policy_id)
 
 
 def authorizing_statements(cuts: DataFrame, edges: DataFrame, statements: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -252,29 +261,6 @@ def _mean_risk(observed: DataFrame, worlds: DataFrame, pair: DataFrame, samples:
     return attack_risk(observed, worlds, pair, samples).agg(F.avg("risk")).collect()[0][0] or 0.0
 
 
-def exact_cuts(paths: DataFrame, actions: DataFrame, most: int = 10) -> DataFrame:
-    """The cheapest assignment of keep, scope or remove to each action that breaks every path.
-
-    paths: (path_id, action) that a path needs; actions: (action, scopable, breaks_if_scoped, needed): a scoped action
-    breaks its paths only if the target falls outside, and a needed one can't be removed. All 3 ** n assignments are
-    rows; more than ``most`` actions raise, and the greedy search is there for them.
-    """
-    spark = paths.sparkSession
-    acts = actions.orderBy("action").limit(most + 1).collect()
-    if len(acts) > most:
-        raise ValueError(f"more than {most} actions: use greedy_cuts")
-    rows = []
-    for i, choice in enumerate(product((0, 1, 2), repeat=len(acts))):
-        if all(not (c == 1 and not a["scopable"]) and not (c == 2 and a["needed"]) for c, a in zip(choice, acts, strict=True)):
-            rows += [(i, a["action"], c, (0.0, SCOPE_COST, REMOVE_COST)[c], c == 2 or (c == 1 and a["breaks_if_scoped"])) for c, a in zip(choice, acts, strict=True)]
-    table = spark.createDataFrame(rows, "assignment int, action string, choice int, cost double, breaks boolean")
-    broken = table.join(paths, "action").groupBy("assignment", "path_id").agg(F.max("breaks").alias("b")).groupBy("assignment").agg(F.min("b").alias("all_broken")).where("all_broken")
-    cost = table.groupBy("assignment").agg(F.sum("cost").alias("total"))
-    best = broken.join(cost, "assignment").agg(F.min(F.struct("total", "assignment")).alias("m")).select("m.*")
-    names = F.element_at(F.array(F.lit("keep"), F.lit("scope"), F.lit("remove")), F.col("choice") + 1)
-    return table.join(best, "assignment").select("action", names.alias("choice"), "cost", "total")
-
-
 def policy_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(policy_id, diff): unified diffs of the JSON texts of (policy_id, doc) tables, for policies that changed."""
     @F.pandas_udf("string")

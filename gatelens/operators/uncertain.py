@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import uniform
-from gatelens.operators.reach import path_edges, reach, world_hits
+from gatelens.operators.reach import path_edges, reach, world_hits, world_paths
 
 
 def sample_worlds(candidates: DataFrame, samples: int = 100, seed: str = "0") -> DataFrame:
@@ -54,10 +54,12 @@ def attack_risk(observed: DataFrame, worlds: DataFrame, pair: DataFrame, samples
 
 
 def participation(witnesses: DataFrame, edges: DataFrame, samples: int) -> DataFrame:
-    """(src, dst, relation, sample_share, path_count) over (sample_id, source, target, path) witnesses."""
-    keyed = witnesses.withColumn("source", F.concat_ws("|", F.col("sample_id").cast("string"), "source"))
-    legs = path_edges(keyed, edges)
-    return legs.groupBy("src", "dst", "relation", "is_bridge").agg((F.count_distinct(F.split("source", r"\|")[0]) / samples).alias("sample_share"), F.count("*").alias("path_count"))
+    """(src, dst, relation, sample_share, path_count) over (chunk, source, target, mask, path) witnesses, as ``reach.world_paths``
+    gives them: in what share of the worlds an edge is on a witness, and on how many witnesses."""
+    legs = path_edges(witnesses.select("source", "target", "path").distinct().withColumn("source", F.col("path")), edges).select(F.col("source").alias("path"), "src", "dst", "relation", "is_bridge").distinct()
+    masks = witnesses.groupBy("chunk", "path").agg(F.bit_or("mask").alias("worlds"))  # a path has one source and one target, and so a world once
+    each = legs.join(masks, "path").groupBy("src", "dst", "relation", "is_bridge", "chunk").agg(F.bit_or("worlds").alias("any"), F.sum(F.bit_count("worlds")).alias("paths"))
+    return each.groupBy("src", "dst", "relation", "is_bridge").agg((F.sum(F.bit_count("any")) / samples).alias("sample_share"), F.sum("paths").alias("path_count"))
 
 
 def capability_score(edges: DataFrame, capability: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ used AS (SELECT src, dst, relation, is_bridge, count(DISTINCT sample_id) / {SAMP
 
 def _used(spark, d):
     n, o, _, w = _worlds(spark, d)
-    return uncertain.participation(uncertain.world_witnesses(o, w, *_ends(n), SAMPLES), star.edges(spark, d), SAMPLES)
+    return uncertain.participation(reach.world_paths(o, w, *_ends(n), SAMPLES), star.edges(spark, d), SAMPLES)
 
 
 # edges passed on may be there or not: latent 0.5; memberships name no action 0.8; GetCallerIdentity alone takes only * 0.4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions import metrics
 from gatelens.functions.scalars import uniform
-from gatelens.operators import masking, models, pairs, policy, reach, repair, synthesis, training, uncertain, verify, workload
+from gatelens.operators import hitting, masking, models, pairs, policy, reach, repair, synthesis, training, uncertain, verify, workload
 from gatelens.plans.graph_queries import CANDIDATES, G, SAMPLES, SOURCES, TARGETS, USED, WORLDS, _graph, _used, _worlds
 from gatelens.plans.registry import query
 from gatelens.plans.steps import shared_folder, step
@@ -270,11 +270,31 @@ def edge_supports(spark, d):
     return found.join(parts.select("part", "policy_id", "pattern"), "part").select("src", "dst", "relation", "policy_id", "pattern", "own", "goal")
 
 
-@query("SELECT 'a:1' AS action, 'scope' AS choice, 1.0 AS cost, 6.0 AS total UNION ALL SELECT 'a:2', 'keep', 0.0, 6.0 UNION ALL SELECT 'a:3', 'remove', 5.0, 6.0")
+#: Line numbers and return flags of large lines are what could be given up by a nation; each of its orders needs one to go.
+_GIVE_UP = """lines AS (SELECT c_nationkey AS nation, l_orderkey AS path, l_linenumber, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 25),
+need AS (SELECT DISTINCT nation, path, 'line ' || l_linenumber AS what FROM lines UNION SELECT nation, path, 'flag ' || l_returnflag FROM lines WHERE l_returnflag <> 'N'),
+price AS (SELECT nation, what, 1 + CAST(('0x' || substr(md5(nation || '|' || what), 1, 2)) AS BIGINT) % 7 AS cost, row_number() OVER (PARTITION BY nation ORDER BY what) - 1 AS bit FROM (SELECT DISTINCT nation, what FROM need)),
+masks AS (SELECT DISTINCT nation, m FROM (SELECT n.nation, path, CAST(sum(1 << bit) AS BIGINT) AS m FROM need n JOIN price p ON p.nation = n.nation AND p.what = n.what GROUP BY n.nation, path)),
+tried AS (SELECT nation, s, CAST(sum(CASE WHEN (s >> bit) & 1 = 1 THEN cost ELSE 0 END) AS DOUBLE) AS cost FROM price, (SELECT unnest(range(512)) AS s) GROUP BY nation, s)"""
+
+
+@query(f"WITH {_GIVE_UP} SELECT t.nation, min(cost) AS cost FROM tried t WHERE NOT EXISTS (SELECT 1 FROM masks k WHERE k.nation = t.nation AND k.m & t.s = 0) GROUP BY t.nation")
 def exact_repair(spark, d):
-    paths = spark.createDataFrame([(1, "a:1"), (1, "a:2"), (2, "a:3")], "path_id int, action string")
-    acts = spark.createDataFrame([("a:1", True, True, True), ("a:2", False, False, False), ("a:3", False, False, False)], "action string, scopable boolean, breaks_if_scoped boolean, needed boolean")
-    return repair.exact_cuts(paths, acts)
+    lines = table(spark, d, "lineitem").where("l_quantity >= 25").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    what = F.explode(F.array_compact(F.array(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")), F.when(F.col("l_returnflag") != "N", F.concat(F.lit("flag "), "l_returnflag")))))
+    need = lines.select(F.col("c_nationkey").alias("nation"), F.col("l_orderkey").alias("path_id"), what.alias("what")).withColumn("option", F.concat_ws("|", F.col("nation").cast("string"), "what"))
+    byte = F.conv(F.substring(F.md5("option"), 1, 2), 16, 10).cast("long")
+    chosen = hitting.cheapest(need.select("path_id", "option"), need.select("option", (1 + byte % 7).cast("double").alias("cost")).distinct())
+    return chosen.groupBy(F.split("option", r"\|")[0].cast("long").alias("nation")).agg(F.sum("cost").alias("cost"))
+
+
+@query()
+def repair_gap(spark, d):
+    n, o, c, w = _worlds(spark, d)
+    goals = n.where("is_admin and id like 'role:%'").select(F.col("id").alias("target"))
+    asked = step(c.select(F.col("src").alias("source")).distinct().crossJoin(F.broadcast(goals)).where("source <> target"))
+    cuts = step(c.select(F.concat_ws("|", "src", "dst").alias("option"), "src", "dst", F.lit(1.0).alias("cost")))
+    return hitting.compare_with_greedy(hitting.cheapest_cuts(o, w, asked, cuts, SAMPLES), repair.greedy_cuts(o, w, asked, cuts, SAMPLES), 0.0)
 
 
 @query()

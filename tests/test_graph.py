@@ -142,8 +142,6 @@ def test_repair_and_verify(spark, chain):
     options = spark.createDataFrame([("cut-bridge", 1.0, "dev", "admin"), ("cut-latent", 1.0, "dev", "vault"), ("cut-both", 10.0, "dev", "admin"), ("cut-both", 10.0, "dev", "vault"), ("cut-first", 4.0, "intern", "dev")], "option string, cost double, src string, dst string")
     steps = repair.greedy_cuts(e, worlds, pair, options, 10).orderBy("step").collect()
     assert steps[-1]["risk"] == 0.0 and [x["option"] for x in steps] == ["cut-first"]
-    with pytest.raises(ValueError):
-        repair.exact_cuts(spark.createDataFrame([(1, "a")], "path_id int, action string"), spark.createDataFrame([(str(i), True, True, False) for i in range(11)], "action string, scopable boolean, breaks_if_scoped boolean, needed boolean"))
 
 
 def test_greedy_cuts_are_those_of_brute_force(spark):
