@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.conditions import block_holds
 from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
+from gatelens.plans.steps import step
 
 STATEMENT = (
     "sid string, effect string, principal map<string, array<string>>, not_principal map<string, array<string>>, action array<string>, not_action array<string>, "
@@ -75,14 +76,25 @@ def decide(requests: DataFrame, statements: DataFrame, on: Column | None = None)
     ``on`` may bind statements to requests, e.g. by the policies that govern a principal. Requests that repeat a req_id
     are one request: whatever any of them matches counts.
     """
+    return _decided(matches(requests, statements, on).select("r.req_id", "s.effect", "s.sid"), requests)
+
+
+def _decided(hits: DataFrame, requests: DataFrame) -> DataFrame:
     # a row of its own for each request, so that one that matches nothing is there too
-    hits = matches(requests, statements, on).select("r.req_id", "s.effect", "s.sid").unionByName(requests.select("req_id", F.lit(None).cast("string").alias("effect"), F.lit(None).cast("string").alias("sid")))
+    every = hits.unionByName(requests.select("req_id", F.lit(None).cast("string").alias("effect"), F.lit(None).cast("string").alias("sid")))
     sids = lambda effect: F.array_sort(F.collect_list(F.when(F.col("effect") == effect, F.col("sid"))))
     some = lambda effect: F.coalesce(F.bool_or(F.col("effect") == effect), F.lit(False))
-    found = hits.groupBy("req_id").agg(some("Deny").alias("denied"), some("Allow").alias("allowed"), sids("Allow").alias("allows"), sids("Deny").alias("denies"))
+    found = every.groupBy("req_id").agg(some("Deny").alias("denied"), some("Allow").alias("allowed"), sids("Allow").alias("allows"), sids("Deny").alias("denies"))
     return found.select("req_id", F.when(F.col("denied"), "ExplicitDeny").when(F.col("allowed"), "Allow").otherwise("ImplicitDeny").alias("decision"), "allows", "denies")
 
 
+def governed_matches(requests: DataFrame, statements: DataFrame) -> DataFrame:
+    """(r, s) where requests name the policy that governs them, ``policy_id``, one row for each: joined by it, so that no
+    request meets statements of other policies."""
+    r = requests.select("policy_id", F.struct(*[c for c in requests.columns if c != "policy_id"]).alias("r"))
+    return r.join(statements.select("policy_id", F.struct("*").alias("s")), "policy_id").where(statement_applies("s", "r")).select("r", "s")
+
+
 def authorized_actions(principal: str, resource: str, actions: DataFrame, statements: DataFrame) -> DataFrame:
     """The distinct actions of ``actions(action)`` that a principal may take on a resource."""
     asked = actions.select("action").distinct().select(F.col("action").alias("req_id"), F.lit(principal).alias("principal_arn"), "action", F.lit(resource).alias("resource_arn"), F.expr("cast(map() as map<string, array<string>>)").alias("context"))
@@ -104,21 +116,27 @@ def resolve_principals(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.min(F.struct("rank", "id")).alias("best")).select("name", F.col("best.id").alias("id"))
 
 
-def evaluate_on_graph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, statements: DataFrame, trust: DataFrame) -> DataFrame:
+def evaluate_on_graph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, statements: DataFrame, trust: DataFrame, guarded: DataFrame | None = None) -> DataFrame:
     """(req_id, decision): policies govern principals, and a role's trust statements (policy_id = role id) come first.
 
     An unknown principal, or one without policies, is implicitly denied. Taking on a role that has a trust policy
-    needs that policy's Allow before the principal's own.
+    needs that policy's Allow before the principal's own. guarded: (id) of roles that have a trust policy even if no
+    statement is left in it; None: those that ``trust`` names.
     """
-    known = requests.join(resolve_principals(nodes, requests.select(F.col("principal_arn").alias("name")).distinct()), requests.principal_arn == F.col("name"), "left").drop("name")
-    bound = known.join(governing_policies(edges).select(F.col("principal").alias("id"), "policy").groupBy("id").agg(F.collect_set("policy").alias("policies")), "id", "left")
-    own = decide(bound, statements, F.coalesce(F.array_contains(F.col("r.policies"), F.col("s.policy_id")), F.lit(False))).select("req_id", F.col("decision").alias("own"))
-    takes = known.where("lower(action) = 'sts:assumerole'").join(resolve_principals(nodes, requests.select(F.col("resource_arn").alias("name")).distinct()).select(F.col("name").alias("resource_arn"), F.col("id").alias("role")), "resource_arn")
-    guarded = takes.join(trust.select(F.col("policy_id").alias("role")).distinct(), "role", "left_semi")
-    gate = decide(guarded, trust, F.col("r.role") == F.col("s.policy_id")).select("req_id", F.col("decision").alias("gate"))
-    return requests.select("req_id").join(own, "req_id", "left").join(gate, "req_id", "left").select(
-        "req_id", F.when(F.col("gate") != "Allow", F.col("gate")).otherwise(F.coalesce("own", F.lit("ImplicitDeny"))).alias("decision")
-    )
+    names = lambda c: resolve_principals(nodes, requests.select(F.col(c).alias("name")).distinct())
+    known = requests.join(names("principal_arn").withColumnRenamed("name", "principal_arn"), "principal_arn", "left")
+    known = known.join(names("resource_arn").select(F.col("name").alias("resource_arn"), F.col("id").alias("role")), "resource_arn", "left")
+    return evaluate_known(step(known), edges, statements, trust, guarded)
+
+
+def evaluate_known(known: DataFrame, edges: DataFrame, statements: DataFrame, trust: DataFrame, guarded: DataFrame | None = None) -> DataFrame:
+    """The same for requests that carry ``id``, the principal's node, and ``role``, the resource's; either may be null."""
+    governs = governing_policies(edges).distinct().select(F.col("principal").alias("id"), F.col("policy").alias("policy_id"))
+    own = _decided(governed_matches(known.join(governs, "id"), statements).select("r.req_id", "s.effect", "s.sid"), known).select("req_id", F.col("decision").alias("own"))
+    barred = (trust.select(F.col("policy_id").alias("role")) if guarded is None else guarded.select(F.col("id").alias("role"))).distinct()
+    takes = known.where(normal_action(F.col("action")) == "sts:assumerole").join(barred, "role", "left_semi")
+    gate = _decided(governed_matches(takes.withColumn("policy_id", F.col("role")), trust).select("r.req_id", "s.effect", "s.sid"), takes).select("req_id", F.col("decision").alias("gate"))
+    return own.join(gate, "req_id", "left").select("req_id", F.when(F.col("gate") != "Allow", F.col("gate")).otherwise(F.col("own")).alias("decision"))
 
 
 def grants_all(statements: DataFrame) -> DataFrame:

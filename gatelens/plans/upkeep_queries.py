@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelens.functions.conditions import block_holds
-from gatelens.operators import graph, masking, policy, reach, uncertain, vocabulary
+from gatelens.operators import graph, masking, policy, reach, resync, uncertain, vocabulary
 from gatelens.plans.graph_queries import CANDIDATES, G, WORLDS, _graph, _worlds
 from gatelens.plans.registry import query
 from gatelens.plans.steps import shared_folder, step
@@ -150,3 +150,72 @@ def candidate_recall(spark, d):
     _, _, c, w = _worlds(spark, d)
     top = w.groupBy(*TRIPLE).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst", "relation").limit(10)
     return uncertain.candidate_recall(top, c.where("probability >= 0.5"))
+
+
+# --- trust and edits: parts grant roles beside what _part_statements says, suppliers' roles have trust ---
+
+_ROLES_PART = """grants AS (SELECT 'policy:' || p_partkey AS policy_id, p_partkey, p_size, 'app:' || lower(split_part(p_type, ' ', 1)) AS act, CASE WHEN p_size % 3 = 0 THEN '*' ELSE 'resource:' || p_brand END AS place FROM part),
+before AS (SELECT policy_id, p_partkey, 's' AS sid, CASE WHEN p_size % 5 = 0 THEN 'Deny' ELSE 'Allow' END AS effect, unnest(CASE WHEN p_size % 7 = 0 THEN ['app:view', '*'] ELSE [act] END) AS pattern, place FROM grants
+  UNION ALL SELECT policy_id, p_partkey, 't', 'Allow', unnest(['sts:assumerole', 'iam:passrole']), CASE WHEN p_partkey % 4 = 0 THEN 'role:*' ELSE 'role:1*' END FROM grants WHERE p_partkey % 2 = 0),
+roles AS (SELECT 'role:' || s_suppkey AS role, s_suppkey FROM supplier)"""
+_WAYS = """gov AS (SELECT src AS principal, dst AS policy FROM edges WHERE relation = 'AttachedWith' UNION SELECT m.src, a.dst FROM edges m JOIN edges a ON m.dst = a.src WHERE m.relation = 'MemberOf' AND a.relation = 'AttachedWith')"""
+
+
+def _role_statements(spark, d):
+    s = _part_statements(spark, d)
+    k = F.substring_index("policy_id", ":", -1).cast("long")
+    more = s.where(k % 2 == 0).withColumn("sid", F.concat(F.lit("t"), k.cast("string"))).withColumn("effect", F.lit("Allow")).withColumn("action", F.array(F.lit("sts:AssumeRole"), F.lit("iam:PassRole")))
+    return s.unionByName(more.withColumn("resource", F.array(F.when(k % 4 == 0, "role:*").otherwise("role:1*"))))
+
+
+def _trust(spark, d, name):
+    """A trust statement of each supplier's role for one name, the column given."""
+    none, maps = F.lit(None), "map<string, array<string>>"
+    names = lambda c: none.cast(c)
+    return table(spark, d, "supplier").select(
+        F.lit("trust").alias("sid"), F.lit("Allow").alias("effect"), F.create_map(F.lit("AWS"), F.array(name)).alias("principal"), names(maps).alias("not_principal"), F.array(F.lit("sts:AssumeRole")).alias("action"), names("array<string>").alias("not_action"),
+        names("array<string>").alias("resource"), names("array<string>").alias("not_resource"), names(f"map<string, {maps}>").alias("condition"), F.concat(F.lit("role:"), F.col("s_suppkey").cast("string")).alias("policy_id"),
+    )
+
+
+@query(f"""{G}, {_ROLES_PART}, {_WAYS}, asked AS (SELECT src, dst, src || '>' || dst AS req_id FROM edges WHERE relation = 'AssumesRole'),
+own AS (SELECT req_id, bool_or(effect = 'Deny') AS no, bool_or(effect = 'Allow') AS yes FROM asked JOIN gov ON principal = src JOIN before b ON b.policy_id = policy WHERE 'sts:assumerole' GLOB pattern AND dst GLOB place GROUP BY req_id)
+SELECT req_id, CASE WHEN s_suppkey % 2 = 1 AND s_suppkey % 10 <> 5 AND src <> 'user:' || 3 * s_suppkey THEN 'ImplicitDeny' WHEN no THEN 'ExplicitDeny' WHEN yes THEN 'Allow' ELSE 'ImplicitDeny' END AS decision FROM asked JOIN roles ON role = dst LEFT JOIN own USING (req_id)""")
+def trust_decision(spark, d):
+    """Users' requests to take on roles, of which some trust everybody, some one user, and some say nothing."""
+    n, e = _graph(spark, d)
+    k = F.col("s_suppkey")
+    trust = _trust(spark, d, F.when(k % 2 == 0, "*").otherwise(F.concat(F.lit("user:"), (3 * k).cast("string")))).where("policy_id not like '%5'")
+    r = e.where("relation = 'AssumesRole'").select(F.concat_ws(">", "src", "dst").alias("req_id"), F.col("src").alias("principal_arn"), F.lit("sts:AssumeRole").alias("action"), F.col("dst").alias("resource_arn"), F.expr("cast(map() as map<string, array<string>>)").alias("context"))
+    return policy.evaluate_on_graph(r, n.withColumn("arn", F.col("id")), e, _role_statements(spark, d), trust)
+
+
+@query(f"""{G}, {_ROLES_PART}, {_WAYS}, after AS (SELECT policy_id, effect, pattern, CASE WHEN sid = 't' AND p_partkey % 3 = 0 THEN 'role:*1' ELSE place END AS place, p_partkey FROM before WHERE NOT (sid = 's' AND p_partkey % 5 = 0 AND pattern <> '*')),
+changed AS (SELECT policy_id FROM grants WHERE p_partkey % 6 = 0 OR p_partkey % 5 = 0),
+acts AS (SELECT policy_id AS src, 'resource:' || p_brand AS dst, act FROM grants JOIN part USING (p_partkey)), ed AS (SELECT src, dst, relation, CAST([] AS VARCHAR[]) AS actions FROM edges WHERE relation <> 'ActsOn'
+  UNION ALL SELECT src, dst, 'ActsOn', [act, 'app:view'] FROM acts UNION ALL SELECT e.src, a.dst, 'ActsOn', list_sort(list(DISTINCT a.act)) FROM edges e JOIN acts a ON a.src = e.dst WHERE e.relation = 'AttachedWith' AND e.src LIKE 'role:%' GROUP BY e.src, a.dst),
+touched AS (SELECT src, dst, relation FROM ed JOIN gov ON principal = src JOIN changed ON policy_id = policy WHERE relation IN ('PassesTo', 'ActsOn', 'AssumesRole') UNION SELECT src, dst, relation FROM ed JOIN changed ON policy_id = src WHERE relation = 'ActsOn' UNION SELECT src, dst, relation FROM ed JOIN roles ON role = dst WHERE relation = 'AssumesRole' AND s_suppkey % 2 = 1),
+asked AS (SELECT *, unnest(CASE relation WHEN 'PassesTo' THEN ['iam:passrole'] WHEN 'AssumesRole' THEN ['sts:assumerole'] ELSE actions END) AS act FROM ed JOIN touched USING (src, dst, relation)),
+ways AS (SELECT a.src, a.dst, a.relation, a.act, policy FROM asked a JOIN gov ON principal = a.src UNION SELECT src, dst, relation, act, src FROM asked WHERE src LIKE 'policy:%'),
+ok AS (SELECT w.src, w.dst, w.relation, w.act FROM ways w JOIN after ON policy_id = policy LEFT JOIN roles ON role = w.dst WHERE w.act GLOB pattern AND w.dst GLOB place AND NOT (w.relation = 'AssumesRole' AND s_suppkey % 2 = 1 AND (s_suppkey % 5 = 0 OR w.src <> 'user:' || 3 * s_suppkey)) GROUP BY ALL HAVING bool_and(effect = 'Allow')),
+kept AS (SELECT src, dst, relation, list(act) AS acts FROM ok GROUP BY ALL)
+SELECT ed.src, ed.dst, ed.relation, array_to_string(CASE WHEN ed.relation = 'ActsOn' AND t.src IS NOT NULL THEN list_filter(actions, lambda x: list_contains(acts, x)) ELSE actions END, ',') AS actions
+FROM ed LEFT JOIN touched t ON t.src = ed.src AND t.dst = ed.dst AND t.relation = ed.relation LEFT JOIN kept k ON k.src = ed.src AND k.dst = ed.dst AND k.relation = ed.relation WHERE t.src IS NULL OR k.src IS NOT NULL""")
+def edges_resynced(spark, d):
+    """Edges after a batch of edits: a third of the role grants narrowed, a fifth of the parts' actions taken out, odd roles
+    trusting one user in place of all, and every fifth of those nobody."""
+    n, e = _graph(spark, d)
+    k = F.substring_index("policy_id", ":", -1).try_cast("long")
+    before = step(_role_statements(spark, d))
+    less = F.filter("action", lambda a: F.trim(a) == "*")
+    cut = (k % 5 == 0) & F.startswith("sid", F.lit("s"))
+    after = before.withColumn("resource", F.when((k % 3 == 0) & F.startswith("sid", F.lit("t")), F.array(F.lit("role:*1"))).otherwise(F.col("resource")))
+    after = after.where(~cut | (F.size(less) > 0)).withColumn("action", F.when(cut, less).otherwise(F.col("action")))
+    own = F.concat(F.lit("user:"), (3 * F.col("s_suppkey")).cast("string"))
+    trust = _trust(spark, d, F.lit("*")), _trust(spark, d, F.when(F.col("s_suppkey") % 2 == 0, "*").otherwise(own)).where((k % 2 == 0) | (k % 5 != 0))
+    part = table(spark, d, "part").select(F.concat(F.lit("policy:"), F.col("p_partkey").cast("string")).alias("part"), F.concat(F.lit("resource:"), "p_brand").alias("dst"), F.concat(F.lit("app:"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))).alias("act"))
+    held = e.where("relation = 'AttachedWith' and src like 'role:%'").select("src", F.col("dst").alias("part")).join(part, "part").groupBy("src", "dst").agg(F.array_sort(F.collect_set("act")).alias("actions"))
+    acts = part.select(F.col("part").alias("src"), "dst", F.array("act", F.lit("app:view")).alias("actions")).unionByName(held).withColumn("relation", F.lit("ActsOn"))
+    whole = step(e.where("relation <> 'ActsOn'").select(*TRIPLE, F.expr("cast(array() as array<string>)").alias("actions")).unionByName(acts))
+    after = resync.synchronize(whole, n.withColumn("arn", F.col("id")), before, after, *trust)
+    return after.select(*TRIPLE, F.array_join("actions", ",").alias("actions"))
