@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
 from gatelens.operators.capability import validate
-from gatelens.operators.policy import matches
+from gatelens.operators.policy import governed_matches, governing_policies, matches, principal_matches
 from gatelens.operators.reach import has_path, useful
+from gatelens.operators.resync import IMPLIED, synchronize
 from gatelens.operators.uncertain import attack_risk
 from gatelens.plans.steps import step
 
@@ -90,13 +91,6 @@ def evidenced_resources(events: DataFrame, statements: DataFrame, target: str) -
     return used.where((F.col("resource_arn") != target) & (F.col("resource_arn") != "*")).groupBy("sid").agg(F.array_sort(F.collect_set("resource_arn")).alias("resources"))
 
 
-def synchronize_edges(edges: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Edges whose actions shrink to those of allowed(src, dst, relation, action); an edge without any left goes."""
-    key = ["src", "dst", "relation"]
-    kept = edges.where("size(actions) > 0").withColumn("action", F.explode("actions")).join(allowed.select(*key, "action").distinct(), [*key, "action"], "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("action")).alias("actions"))
-    return edges.where("size(actions) = 0").unionByName(edges.drop("actions").join(kept, key).select(*edges.columns))
-
-
 def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options: DataFrame, samples: int, delta: float = 0.0, most: int = 20, used: DataFrame | None = None) -> DataFrame:
     """(step, option, cost, risk): the options taken in turn until the risk of every pair is at most delta.
 
@@ -158,22 +152,48 @@ def policy_parts(statements: DataFrame) -> DataFrame:
 
 
 def edge_supports(cuts: DataFrame, parts: DataFrame, nodes: DataFrame, observed: DataFrame) -> DataFrame:
-    """(src, dst, relation, part, own, goal): the parts that allow an action of an edge, by a policy attached to its source
-    (the source's or the target's name fits) or by the source itself, a policy (the target's name fits)."""
-    attached = observed.where("relation = 'AttachedWith'").select("src", F.col("dst").alias("policy_id"))
+    """(src, dst, relation, part, own, goal): the parts that allow an action of an edge, by a policy that governs its source,
+    directly or over a group (the source's or the target's name fits), or by the source itself, a policy (the target's
+    name fits). Edges that take on or pass roles need no listed action."""
+    governs = governing_policies(observed).distinct().select(F.col("principal").alias("src"), F.col("policy").alias("policy_id"))
     arn = lambda end, name: nodes.select(F.col("id").alias(end), F.col("arn").alias(name))
-    edge = cuts.select("src", "dst", "relation", F.explode("actions").alias("act"))
-    ways = edge.join(attached, "src").join(arn("src", "own"), "src").unionByName(edge.withColumn("policy_id", F.col("src")).withColumn("own", F.lit(None).cast("string")))
+    edge = _needed(cuts)
+    ways = edge.join(governs, "src").join(arn("src", "own"), "src").unionByName(edge.withColumn("policy_id", F.col("src")).withColumn("own", F.lit(None).cast("string")))
     full = ways.join(arn("dst", "goal"), "dst").join(parts, "policy_id").where(action_matches(F.col("act"), F.col("pattern")) & _names(F.col("resource")))
     return full.select("src", "dst", "relation", "part", "own", "goal").distinct()
 
 
+def _needed(cuts: DataFrame) -> DataFrame:
+    actions = F.when(F.size("actions") > 0, F.col("actions"))
+    for relation, action in IMPLIED.items():
+        actions = actions.when(F.col("relation") == relation, F.array(F.lit(action)))
+    return cuts.select("src", "dst", "relation", F.explode(actions).alias("act"))
+
+
+def trust_parts(trust: DataFrame) -> DataFrame:
+    """``policy_parts`` of trust statements, whose parts never equal those of a policy, with ``principal``."""
+    each = trust.where("effect = 'Allow'").select("policy_id", "sid", "principal", F.explode(F.array_distinct(F.transform("action", normal_action))).alias("pattern"), F.array(F.lit("*")).alias("resource"))
+    return each.select(_trust_part(F.col("pattern")).alias("part"), "*")
+
+
+def _trust_part(pattern: Column) -> Column:
+    return F.to_json(F.struct("policy_id", "sid", pattern.alias("pattern"), F.lit(True).alias("trust")))
+
+
+def trust_supports(cuts: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As ``edge_supports``, for edges that take on a role: the parts of its trust that name the source or anyone."""
+    arn = lambda end, name: nodes.select(F.col("id").alias(end), F.col("arn").alias(name))
+    takes = _needed(cuts.where("relation = 'AssumesRole'").withColumn("actions", F.lit(None).cast("array<string>"))).join(arn("src", "own"), "src").join(arn("dst", "goal"), "dst")
+    full = takes.join(parts, F.col("dst") == F.col("policy_id")).where(action_matches(F.col("act"), F.col("pattern")) & principal_matches(F.col("principal"), F.col("own")))
+    return full.select("src", "dst", "relation", "part", "own", "goal").distinct()
+
+
 def _names(resource: Column) -> Column:
     return any_resource(F.col("goal"), resource) | F.coalesce(any_resource(F.col("own"), resource), F.lit(False))
 
 
-def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, statements: DataFrame, cuts: DataFrame, log: DataFrame, nodes: DataFrame, capability: DataFrame, samples: int, delta: float = 0.0, most: int = 20) -> DataFrame:
-    """(step, policy_id, sid, action, edit, resources, cost, risk): the edits of identity policies taken in turn until the mean
+def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, statements: DataFrame, cuts: DataFrame, log: DataFrame, nodes: DataFrame, capability: DataFrame, samples: int, delta: float = 0.0, most: int = 20, trust: DataFrame | None = None) -> DataFrame:
+    """(step, policy_id, sid, action, edit, resources, cost, risk, is_trust): the edits of policies taken in turn until the mean
     risk of the pairs is at most delta, each the largest fall in risk per cost, scoping ahead by a tenth.
 
     cuts: the edges (src, dst, relation, actions) that edits may aim at, such as the pruned candidates; log: requests as
@@ -181,30 +201,48 @@ def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, stat
     of its actions, is narrowed to the resources that the log or the statement itself names for it, the edge's target
     apart, or taken out. Narrowing must be valid in the capability model. An edit that leaves any request of the log
     without an allow isn't admitted; a log that isn't allowed to begin with raises. Edges without a supporting part, and
-    worlds' edges, stay. Requests that repeat a req_id are one; trust policies are not edited. The loop's state is
-    tables: requests count once per set of parts that allow them.
+    worlds' edges, stay. Requests that repeat a req_id are one. trust: statements of roles, the role's id as policy_id; an
+    edge that takes on such a role needs a part of its trust beside one of its source's policies, and so does a request
+    of the log. Actions of trust statements can only be taken out. The loop's state is tables: requests count once per
+    set of parts that allow them.
     """
     spark, taken, key = observed.sparkSession, [], ["src", "dst"]
     hits = step(matches(log, statements, F.array_contains("r.policy_ids", F.col("s.policy_id"))).select("r.req_id", "r.action", "r.resource_arn", "s.effect", "s.policy_id", "s.sid", F.col("s.action").alias("patterns")))
     state = log.select("req_id").distinct().join(hits.groupBy("req_id").agg(F.bool_or(F.col("effect") == "Deny").alias("no"), F.bool_or(F.col("effect") == "Allow").alias("yes")), "req_id", "left")
+    if trust is not None:
+        names = nodes.select(F.col("arn").alias("resource_arn"), F.col("id").alias("policy_id")).join(trust.select("policy_id").distinct(), "policy_id", "left_semi")
+        takes = log.where(normal_action(F.col("action")) == "sts:assumerole").join(names, "resource_arn").drop("policy_ids")
+        gate = step(governed_matches(takes, trust).select("r.req_id", "r.action", "r.resource_arn", "s.effect", "s.policy_id", "s.sid", F.col("s.action").alias("patterns")))
+        opens = takes.select("req_id").distinct().join(gate.groupBy("req_id").agg((~F.bool_or(F.col("effect") == "Deny") & F.bool_or(F.col("effect") == "Allow")).alias("open")), "req_id", "left")
+        state = state.join(opens.select("req_id", F.coalesce("open", F.lit(False)).alias("open")), "req_id", "left").withColumn("no", F.coalesce("no", F.lit(False)) | ~F.coalesce("open", F.lit(True)))
     denied = state.where("coalesce(no, false) or not coalesce(yes, false)").count()
     if denied:
         raise ValueError(f"{denied} requests of the log are denied before any edit")
-    parts = step(policy_parts(statements))
+    parts = step(policy_parts(statements).withColumn("is_trust", F.lit(False)))
     fits = F.filter(F.transform("patterns", normal_action), lambda p: action_matches(F.col("action"), p))
     named = F.transform(F.array_distinct(fits), lambda p: F.to_json(F.struct("policy_id", "sid", p.alias("pattern"))))
     # a statement without actions allows by what it leaves out, and no edit takes that away
     by = F.when(F.size("patterns") > 0, named).otherwise(F.array(F.lit("")))
     allowed = hits.where("effect = 'Allow'").groupBy("req_id", "resource_arn").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(by)))).alias("ways"))
-    allowed = step(allowed.select("resource_arn", "ways").distinct())
-    supports = step(edge_supports(cuts.join(observed.select(*key, "relation"), [*key, "relation"], "left_semi"), parts, nodes, observed))
+    allowed = allowed.select("resource_arn", "ways")
+    aimed = step(cuts.join(observed.select(*key, "relation"), [*key, "relation"], "left_semi"))
+    supports = edge_supports(aimed, parts, nodes, observed).withColumn("is_trust", F.lit(False))
+    if trust is not None:
+        gates = step(trust_parts(trust).withColumn("is_trust", F.lit(True)))
+        supports = supports.unionByName(trust_supports(aimed, gates, nodes).withColumn("is_trust", F.lit(True)))
+        parts = step(parts.unionByName(gates.drop("principal")))
+        named = F.transform(F.array_distinct(fits), _trust_part)
+        by = F.when(F.size("patterns") > 0, named).otherwise(F.array(F.lit("")))
+        barred = gate.where("effect = 'Allow'").groupBy("req_id", "resource_arn").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(by)))).alias("ways"))
+        allowed = allowed.unionByName(barred.select("resource_arn", "ways"))
+    allowed, supports = step(allowed.distinct()), step(supports)
     o = step(observed.select(*key, "relation").distinct())
     w = worlds.select("sample_id", *key)
     every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
     risk, asked = _mean_risk(o.select(*key), w, pair, samples), pair.count()
     while risk > delta and len(taken) < most:
         seen = allowed.select("resource_arn", F.size("ways").alias("others"), F.explode("ways").alias("part")).withColumn("others", F.col("others") - 1)
-        aims = supports.select("part", "goal").distinct().join(parts, "part")
+        aims = supports.where("not is_trust").select("part", "goal").distinct().join(parts, "part")
         known = aims.select("part", "goal", F.explode("resource").alias("r")).unionByName(aims.select("part", "goal").join(seen.select("part", F.col("resource_arn").alias("r")), "part"))
         real = known.where((F.col("r") != "*") & (F.lower("r") != F.lower("goal"))).groupBy("part", "goal").agg(F.array_sort(F.collect_set("r")).alias("to"))
         scope = step(real.select("part", "to").distinct().join(parts.select("part", "pattern"), "part").select(F.to_json(F.struct("part", "to")).alias("option"), "part", "pattern", "to"))
@@ -215,9 +253,11 @@ def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, stat
         # no way is left beside the option's part, and the request is broken
         broken = options.join(seen.where("others = 0"), "part").where(lost).select("option").distinct()
         options = step(options.join(broken, "option", "left_anti"))
-        total = supports.groupBy(*key, "relation").agg(F.countDistinct("part").alias("all"))
-        fewer = options.join(supports, "part").where(F.col("to").isNull() | ~_names(F.col("to"))).groupBy("option", *key, "relation").agg(F.countDistinct("part").alias("less"))
-        gone = step(fewer.join(total, [*key, "relation"]).where(F.col("less") == F.col("all")).select("option", *key, "relation"))
+        # an edge goes where its source's policies, or its target's trust, have no part left for it
+        side = [*key, "relation", "is_trust"]
+        total = supports.groupBy(*side).agg(F.countDistinct("part").alias("all"))
+        fewer = options.join(supports, "part").where(F.col("to").isNull() | ~_names(F.col("to"))).groupBy("option", *side).agg(F.countDistinct("part").alias("less"))
+        gone = step(fewer.join(total, side).where(F.col("less") == F.col("all")).select("option", *key, "relation").distinct())
         names = gone.select("option").distinct().join(options.select("option", "cost", "weight"), "option")
         blocks = -(-names.count() // OPTION_BLOCK)
         best = None
@@ -233,18 +273,19 @@ def greedy_patches(observed: DataFrame, worlds: DataFrame, pair: DataFrame, stat
         risk = best["risk"]
         chosen = options.where(F.col("option") == best["option"]).join(parts.drop("resource"), "part").collect()[0]
         part, to = chosen["part"], chosen["to"]
-        taken.append((len(taken) + 1, chosen["policy_id"], chosen["sid"], chosen["pattern"], "remove" if to is None else "scope", to, float(best["cost"]), float(risk)))
+        taken.append((len(taken) + 1, chosen["policy_id"], chosen["sid"], chosen["pattern"], "remove" if to is None else "scope", to, float(best["cost"]), float(risk), chosen["is_trust"]))
         o = step(o.join(gone.where(F.col("option") == best["option"]).drop("option"), [*key, "relation"], "left_anti"))
         here, new = F.col("part") == part, F.array(*[F.lit(x) for x in to or []])
         parts = step(parts.where(~here) if to is None else parts.withColumn("resource", F.when(here, new).otherwise(F.col("resource"))))
         supports = step(supports.where(~here | (F.lit(to is not None) & _names(new))) if to is not None else supports.where(~here))
         stays = any_resource(F.col("resource_arn"), new) if to is not None else F.lit(False)
         allowed = step(allowed.select("resource_arn", F.when(stays, F.col("ways")).otherwise(F.array_remove("ways", part)).alias("ways")).distinct())
-    return spark.createDataFrame(taken, "step int, policy_id string, sid string, action string, edit string, resources array<string>, cost double, risk double")
+    return spark.createDataFrame(taken, "step int, policy_id string, sid string, action string, edit string, resources array<string>, cost double, risk double, is_trust boolean")
 
 
 def apply_patches(statements: DataFrame, patches: DataFrame) -> DataFrame:
-    """statements(policy_id, sid, effect, action, resource, ...) after edits as ``greedy_patches`` gives them, in order.
+    """statements(policy_id, sid, effect, action, resource, ...) after edits as ``greedy_patches`` gives them, in order:
+    policies' statements after those of policies, trust statements after those of trust.
 
     The patches are the few that a search took; statements that a narrowing splits off are edited by later ones too."""
     for p in patches.orderBy("step").collect():
@@ -257,6 +298,14 @@ def apply_patches(statements: DataFrame, patches: DataFrame) -> DataFrame:
     return statements
 
 
+def repaired(edges: DataFrame, nodes: DataFrame, statements: DataFrame, trust: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statements, trust, edges) after the patches of ``greedy_patches``: the edits carried out, and the edges they touch
+    judged again. nodes need node_type."""
+    after = apply_patches(statements, patches.where("not is_trust"))
+    gates = apply_patches(trust, patches.where("is_trust"))
+    return after, gates, synchronize(edges, nodes, statements, after, trust, gates)
+
+
 def _mean_risk(observed: DataFrame, worlds: DataFrame, pair: DataFrame, samples: int) -> float:
     return attack_risk(observed, worlds, pair, samples).agg(F.avg("risk")).collect()[0][0] or 0.0
 

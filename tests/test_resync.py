@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from gatelens.operators import policy, resync
+from gatelens.operators import capability, policy, repair, resync
+from gatelens.plans.steps import step
 
 SHAPE = f"policy_id string, {policy.STATEMENT}"
 NODES = [(f"u{i}", "User", f"arn:u{i}") for i in range(3)] + [("g", "Group", "arn:g")] + [(f"r{i}", "Role", f"arn:r{i}") for i in range(3)] + [(f"p{i}", "Policy", f"arn:p{i}") for i in range(4)] + [("x", "Resource", "arn:x")]
@@ -96,3 +97,42 @@ def test_a_role_without_trust_statements_left_admits_nobody(spark):
     e, n, s, trust, none = frames(spark, edges, [row("p0", "Allow", ["*"], ["*"])], [row("r0", "Allow", ["sts:AssumeRole"], None, ["arn:u0"])], [])
     assert {r["dst"] for r in resync.synchronize(e, n, s, s, trust, none).collect()} == {"p0", "r1"}
     assert {r["dst"] for r in resync.synchronize(e, n, s, s, none, trust).collect()} == {"p0", "r0", "r1"}
+
+
+SHARED = "arn:aws:iam::1:role/"
+
+
+def _searched(spark, used, gates, most=20):
+    """An intern in a group whose policy takes on any role; the admin role reaches the vault, worlds add a way over dev."""
+    nodes = [("intern", "User", "arn:aws:iam::1:user/intern"), ("g", "Group", "arn:aws:iam::1:group/g"), ("admin", "Role", SHARED + "admin"), ("dev", "Role", SHARED + "dev"), ("vault", "Resource", "arn:aws:s3:::vault"), ("p", "Policy", "arn:aws:iam::1:policy/p")]
+    edges = [("intern", "g", "MemberOf", []), ("g", "p", "AttachedWith", []), ("intern", "admin", "AssumesRole", []), ("intern", "dev", "AssumesRole", []), ("admin", "vault", "ActsOn", ["s3:GetObject"])]
+    n = spark.createDataFrame(nodes, "id string, node_type string, arn string")
+    e = spark.createDataFrame(edges, "src string, dst string, relation string, actions array<string>")
+    s = spark.createDataFrame([row("p", "Allow", ["sts:*", "s3:GetObject"], ["*"])], SHAPE)
+    trust = spark.createDataFrame([row(r, effect, ["sts:AssumeRole"], None, names) for r, effect, names in gates], SHAPE)
+    log = spark.createDataFrame([(f"r{i}", "arn:aws:iam::1:user/intern", a, r, {}, ["p"]) for i, (a, r) in enumerate(used)], "req_id string, principal_arn string, action string, resource_arn string, context map<string, array<string>>, policy_ids array<string>")
+    worlds = spark.createDataFrame([(0, "dev", "vault")], "sample_id int, src string, dst string")
+    pair = spark.createDataFrame([("intern", "vault")], "source string, target string")
+    got = step(repair.greedy_patches(e, worlds, pair, s, e.where("relation = 'AssumesRole'"), log, n, capability.snapshot(spark), 4, most=most, trust=trust))
+    return (e, n, s, trust), got, [(r["policy_id"], r["action"], r["edit"], r["cost"], r["risk"], r["is_trust"]) for r in got.orderBy("step").collect()]
+
+
+def test_trust_is_edited_where_the_log_needs_the_policy(spark):
+    everyone = [("admin", "Allow", ["arn:aws:iam::1:user/intern"]), ("dev", "Allow", ["*"])]
+    tables, got, taken = _searched(spark, [("sts:AssumeRole", SHARED + "dev"), ("s3:GetObject", "arn:aws:s3:::a/b")], everyone)
+    # the log takes on dev by the policy and by dev's trust, so one world in four keeps its way
+    assert taken == [("admin", "sts:assumerole", "remove", 5.0, 0.25, True)]
+    statements, trust, edges = repair.repaired(*tables, got)
+    assert {r["policy_id"] for r in trust.collect()} == {"dev"} and statements.count() == 1
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {("intern", "g"), ("g", "p"), ("intern", "dev"), ("admin", "vault")}
+    # without a log the policy's one action closes both ways at once
+    tables, got, taken = _searched(spark, [], everyone)
+    assert taken == [("p", "sts:*", "remove", 5.0, 0.0, False)]
+    assert {r["relation"] for r in repair.repaired(*tables, got)[2].collect()} == {"MemberOf", "AttachedWith", "ActsOn"}
+
+
+def test_a_log_that_trust_bars_raises(spark):
+    with pytest.raises(ValueError, match="1 requests"):
+        _searched(spark, [("sts:AssumeRole", SHARED + "dev")], [("dev", "Allow", ["arn:other"])])
+    with pytest.raises(ValueError, match="1 requests"):
+        _searched(spark, [("sts:AssumeRole", SHARED + "dev")], [("dev", "Allow", ["*"]), ("dev", "Deny", ["*"])])
