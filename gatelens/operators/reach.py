@@ -2,7 +2,9 @@
 
 Every loop advances all sources, and all worlds of a sample, at once; a round is one join and one aggregate on the
 frontier alone, and what it finds is written once. Where only the worlds in which a node is reached matter, they are
-bits of a number (``world_hits``); where paths do, they are extra key columns.
+bits of a number (``world_hits``); where paths do, they are extra key columns. Of the two ends the one with fewer nodes is
+where a search begins, against the edges if these are the targets: a pair of an end and a node between is then held for
+few ends, and not, say, for every user with every policy of the user's group.
 """
 
 from __future__ import annotations
@@ -43,6 +45,26 @@ def useful(edges: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame
     return seen
 
 
+def _backwards(sources: DataFrame, targets: DataFrame) -> bool:
+    return targets.select("id").distinct().count() < sources.select("id").distinct().count()
+
+
+def _turned(edges: DataFrame, back: bool) -> DataFrame:
+    """The edges, or the same the other way round."""
+    other = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(other.get(c, c)).alias(c) for c in edges.columns]) if back else edges
+
+
+def _ends(back: bool) -> list:
+    """Source and target of rows that hold where a search began as ``source`` and what it found as ``node``."""
+    return [F.col("node").alias("source"), F.col("source").alias("target")] if back else [F.col("source"), F.col("node").alias("target")]
+
+
+def _longer(back: bool):
+    """The path with the node that a round comes to."""
+    return F.concat("dst", F.lit(">"), "path") if back else F.concat("path", F.lit(">"), "dst")
+
+
 def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int | None = 8, paths: bool = False, world: list[str] = (), shared: DataFrame | None = None, worlds: DataFrame | None = None) -> DataFrame:
     """(world..., source, target, hops[, path]) with the fewest hops from each source, itself left out, to each target.
 
@@ -51,6 +73,10 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int |
     in any world are never walked. shared: (src, dst) edges that every world has, held once; worlds: all worlds' keys,
     where edges don't name each.
     """
+    back = not (world and world[0] in sources.columns) and _backwards(sources, targets)
+    if back:
+        sources, targets = targets, sources
+    edges, shared = _turned(edges, back), None if shared is None else _turned(shared, back)
     own = edges.select(*world, "src", "dst").distinct()
     flat = own.select("src", "dst") if shared is None else own.select("src", "dst").unionByName(shared.select("src", "dst"))
     alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
@@ -66,7 +92,7 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int |
         out = front.join(own, [*world, "node"])
         if common is not None:
             out = out.unionByName(front.join(common, "node").select(*out.columns))
-        least = [F.min(F.concat("path", F.lit(">"), "dst")).alias("path")] if paths else []
+        least = [F.min(_longer(back)).alias("path")] if paths else []
         grouped = out.groupBy(*world, "source", F.col("dst").alias("node"))
         new = (grouped.agg(*least) if paths else out.select(*world, "source", F.col("dst").alias("node")).distinct()).withColumn("hops", F.lit(hop))
         front, n = counted_step(new.join(seen.select(*key), key, "left_anti"))
@@ -74,7 +100,7 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int |
             break
         seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    return hit.select(*world, "source", F.col("node").alias("target"), "hops", *(["path"] if paths else []))
+    return hit.select(*world, *_ends(back), "hops", *(["path"] if paths else []))
 
 
 def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
@@ -83,6 +109,10 @@ def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets
     shared: (src, dst) edges of every world; worlds: (sample_id, src, dst) edges of single ones. A row of the frontier
     stands for all worlds of a chunk of ``WORLD_BITS``, one bit each, so neither edges nor rows multiply by the samples.
     """
+    back = _backwards(sources, targets)
+    if back:
+        sources, targets = targets, sources
+    shared, worlds = _turned(shared, back), _turned(worlds, back)
     flat = shared.select("src", "dst").unionByName(worlds.select("src", "dst"))
     alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
     common = step(shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst"))
@@ -107,7 +137,7 @@ def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets
         seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     # a world's bit is new only once for a node, so bits add up over the rounds
-    return hit.groupBy("source", F.col("node").alias("target")).agg(F.sum(F.bit_count("mask")).alias("hits"))
+    return hit.groupBy(*_ends(back)).agg(F.sum(F.bit_count("mask")).alias("hits"))
 
 
 def world_paths(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
@@ -117,6 +147,10 @@ def world_paths(shared: DataFrame, worlds: DataFrame, sources: DataFrame, target
     As in ``reach``, the witness has the fewest hops and of those sorts first: of the rows that come to a node in a round,
     each keeps the worlds that neither an earlier round nor a path before it in the order has taken.
     """
+    back = _backwards(sources, targets)
+    if back:
+        sources, targets = targets, sources
+    shared, worlds = _turned(shared, back), _turned(worlds, back)
     flat = shared.select("src", "dst").unionByName(worlds.select("src", "dst"))
     alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
     common = shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst", F.lit(-1).cast("long").alias("own"))
@@ -131,7 +165,7 @@ def world_paths(shared: DataFrame, worlds: DataFrame, sources: DataFrame, target
     seen = front
     before = Window.partitionBy(*key).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     for hop in _hops(depth):
-        came = front.join(links, ["chunk", "node"]).select("chunk", "source", F.col("dst").alias("node"), F.col("mask").bitwiseAND(F.col("own")).alias("mask"), F.concat("path", F.lit(">"), "dst").alias("path")).where("mask <> 0")
+        came = front.join(links, ["chunk", "node"]).select("chunk", "source", F.col("dst").alias("node"), F.col("mask").bitwiseAND(F.col("own")).alias("mask"), _longer(back).alias("path")).where("mask <> 0")
         held = seen.join(came.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.bit_or("mask").alias("was"))
         rest = came.join(held, key, "left").withColumn("mask", F.expr("mask & ~coalesce(was, 0L)")).where("mask <> 0")
         first = rest.withColumn("taken", F.coalesce(F.bit_or("mask").over(before), F.lit(0))).withColumn("mask", F.expr("mask & ~taken")).where("mask <> 0")
@@ -140,7 +174,7 @@ def world_paths(shared: DataFrame, worlds: DataFrame, sources: DataFrame, target
             break
         seen = _grown(seen, front, hop)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    return hit.select("chunk", "source", F.col("node").alias("target"), "hops", "mask", "path")
+    return hit.select("chunk", *_ends(back), "hops", "mask", "path")
 
 
 def path_edges(witnesses: DataFrame, edges: DataFrame) -> DataFrame:
