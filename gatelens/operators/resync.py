@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.operators.policy import evaluate_known, governed_matches, governing_policies
+from gatelens.operators.policy import evaluate_known, governed_matches
 from gatelens.plans.steps import step
 
 KEY = ["src", "dst", "relation"]
@@ -65,13 +65,15 @@ def allowed_acts(asked: DataFrame, edges: DataFrame, statements: DataFrame, trus
 
 
 def touched(edges: DataFrame, policies: DataFrame, roles: DataFrame) -> DataFrame:
-    """(policy_id, src, dst, relation): the edges that a change of a policy, or of a role's trust, may take."""
+    """(src, dst, relation): the edges that a change of a policy, or of a role's trust, may take."""
     kind = lambda *names: edges.where(F.col("relation").isin(*names)).select(*KEY).distinct()
-    governs = governing_policies(edges).distinct().select(F.col("principal").alias("src"), F.col("policy").alias("policy_id"))
-    held = governs.join(policies.select("policy_id"), "policy_id", "left_semi").join(kind("ActsOn", *IMPLIED), "src")
+    # who holds a changed policy, then whose groups do: no pairs of a principal and a policy
+    owner = edges.where("relation = 'AttachedWith'").select(F.col("src"), F.col("dst").alias("policy_id")).join(policies.select("policy_id"), "policy_id", "left_semi").select("src").distinct()
+    member = edges.where("relation = 'MemberOf'").select("src", "dst").join(owner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src")
+    held = kind("ActsOn", *IMPLIED).join(owner.unionByName(member), "src", "left_semi")
     own = kind("ActsOn").withColumn("policy_id", F.col("src")).join(policies.select("policy_id"), "policy_id", "left_semi")
     into = kind("AssumesRole").withColumn("policy_id", F.col("dst")).join(roles.select("policy_id"), "policy_id", "left_semi")
-    return held.unionByName(own).unionByName(into).select("policy_id", *KEY).distinct()
+    return held.select(*KEY).unionByName(own.select(*KEY)).unionByName(into.select(*KEY)).distinct()
 
 
 def synchronize(edges: DataFrame, nodes: DataFrame, before: DataFrame, after: DataFrame, trust_before: DataFrame, trust_after: DataFrame, guarded: DataFrame | None = None) -> DataFrame:
@@ -81,7 +83,7 @@ def synchronize(edges: DataFrame, nodes: DataFrame, before: DataFrame, after: Da
     role whose last trust statement goes admits nobody instead of anybody.
     """
     roles = trust_before.select(F.col("policy_id").alias("id")).unionByName(trust_after.select(F.col("policy_id").alias("id"))).distinct() if guarded is None else guarded
-    at_stake = touched(edges, step(changed_policies(before, after)), step(changed_policies(trust_before, trust_after))).select(*KEY).distinct()
+    at_stake = touched(edges, step(changed_policies(before, after)), step(changed_policies(trust_before, trust_after)))
     asked = step(edge_requests(edges.join(at_stake, KEY, "left_semi"), nodes))
     kept = allowed_acts(asked, edges, after, trust_after, roles).groupBy(*KEY).agg(F.collect_set("act").alias("_kept"))
     judged = asked.select(*KEY).distinct().join(kept, KEY, "left").withColumn("_judged", F.lit(True))

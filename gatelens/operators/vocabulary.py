@@ -82,12 +82,15 @@ def feature_sizes(vocabulary_size: int) -> dict[str, int]:
 def effective_actions(nodes: DataFrame, edges: DataFrame, statements: DataFrame) -> DataFrame:
     """(principal, actions): of the policies attached to a principal or to its groups, the actions that statements of
     policy_id allow and the actions of the policies' ActsOn edges; sorted."""
-    from gatelens.operators.policy import governing_policies
+    from gatelens.operators.policy import owners
 
-    held = governing_policies(edges)
+    attached = edges.where("relation = 'AttachedWith'").select(F.col("src").alias("owner"), F.col("dst").alias("policy")).distinct()
     said = statements.where("effect = 'Allow'").select(F.col("policy_id").alias("policy"), F.explode("action").alias("action"))
     if "actions" in edges.columns:
         said = said.unionByName(edges.where("relation = 'ActsOn'").select(F.col("src").alias("policy"), F.explode("actions").alias("action")))
-    got = held.join(said, "policy").groupBy("principal").agg(F.array_sort(F.collect_set("action")).alias("actions"))
+    # an owner's different actions first: members are then never paired with the policies of their group
+    held = attached.join(said, "policy").groupBy("owner").agg(F.collect_set("action").alias("held"))
     who = nodes.where("node_type in ('User', 'Role')").select(F.col("id").alias("principal"))
+    of = owners(edges, who.select(F.col("principal").alias("id"))).withColumnRenamed("id", "principal")
+    got = of.join(held, "owner").groupBy("principal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("actions"))
     return who.join(got, "principal", "left").select("principal", F.coalesce("actions", F.expr("cast(array() as array<string>)")).alias("actions"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import reach
+from gatelens.operators import policy, reach, resync, vocabulary
+
+CONTEXT = "map<string, array<string>>"
 
 
 def _held(monkeypatch):
@@ -35,3 +37,34 @@ def test_searches_hold_no_pair_of_a_user_and_a_policy(spark, monkeypatch):
     paths = {(r["source"], r["target"], r["mask"], r["path"]) for r in reach.world_paths(e, worlds, sources, target, 3).collect()}
     assert paths == {x for i in range(50) for x in ((f"u{i}", "r", 1, f"u{i}>g>r"), (f"u{i}", "r", 6, f"u{i}>g>p0>r"))}
     assert max(seen) <= 2 * 50
+
+
+def _statements(spark, n):
+    """Of each policy a statement; only three are different."""
+    k = F.col("id") % 3
+    none, empty, maps = F.lit(None), F.expr("cast(array() as array<string>)"), CONTEXT
+    return spark.range(n).select(
+        F.concat(F.lit("s"), "id").alias("sid"), F.when(k == 0, "Deny").otherwise("Allow").alias("effect"), none.cast(maps).alias("principal"), none.cast(maps).alias("not_principal"),
+        F.when(k == 0, F.array(F.lit("A:del"))).when(k == 1, F.array(F.lit("a:*"))).otherwise(F.array(F.lit(" a:get "))).alias("action"), empty.alias("not_action"), F.when(k == 2, F.array(F.lit("x"))).otherwise(F.array(F.lit("*"))).alias("resource"),
+        empty.alias("not_resource"), none.cast(f"map<string, {maps}>").alias("condition"), F.concat(F.lit("p"), "id").alias("policy_id"),
+    )
+
+
+def test_requests_meet_a_groups_different_statements_once(spark):
+    e, s = _group(spark, 4, 60), _statements(spark, 60)
+    rows = [(f"{u}{a}{x}", f"u{u}", f"u{u}", a, x, {}, None) for u in range(4) for a in ("a:get", "A:DEL", "b:get") for x in ("x", "y")]
+    known = spark.createDataFrame(rows, f"req_id string, id string, principal_arn string, action string, resource_arn string, context {CONTEXT}, role string")
+    assert policy.owned_statements(e, s).count() == 3
+    met = policy.owned_effects(known, e, s)
+    assert met.count() == 4 * (2 + 1 + 2 + 2)  # a:get on x by two statements, on y by one, A:DEL by a deny and an allow
+    got = {r["req_id"]: r["decision"] for r in policy.evaluate_known(known, e, s, s.limit(0)).collect()}
+    assert got == {r[0]: {"a:get": "Allow", "A:DEL": "ExplicitDeny", "b:get": "ImplicitDeny"}[r[3]] for r in rows}
+    nodes = spark.createDataFrame([(f"u{i}", "User") for i in range(5)], "id string, node_type string")
+    assert {tuple(r)[0]: r[1] for r in vocabulary.effective_actions(nodes, e, s).collect()} == {**{f"u{i}": [" a:get ", "a:*"] for i in range(4)}, "u4": []}
+
+
+def test_touched_edges_are_no_pairs_with_policies(spark):
+    e = _group(spark, 3, 30).unionByName(spark.createDataFrame([("u0", "q", "AssumesRole"), ("u9", "q", "AssumesRole")], "src string, dst string, relation string"))
+    changed = spark.range(30).select(F.concat(F.lit("p"), "id").alias("policy_id"))
+    got = resync.touched(e, changed, changed.limit(0)).collect()
+    assert len(got) == 31 and ("u0", "q", "AssumesRole") in {tuple(r) for r in got}
