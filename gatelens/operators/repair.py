@@ -155,9 +155,12 @@ def edge_supports(cuts: DataFrame, parts: DataFrame, nodes: DataFrame, observed:
     """(src, dst, relation, part, own, goal): the parts that allow an action of an edge, by a policy that governs its source,
     directly or over a group (the source's or the target's name fits), or by the source itself, a policy (the target's
     name fits). Edges that take on or pass roles need no listed action."""
-    governs = governing_policies(observed).distinct().select(F.col("principal").alias("src"), F.col("policy").alias("policy_id"))
-    arn = lambda end, name: nodes.select(F.col("id").alias(end), F.col("arn").alias(name))
     edge = _needed(cuts)
+    # only the edges' sources are asked for: not everybody's policies
+    mine = observed.join(edge.select("src").distinct(), "src", "left_semi").where("relation = 'MemberOf'").unionByName(observed.where("relation = 'AttachedWith'"))
+    governs = governing_policies(mine).distinct().select(F.col("principal").alias("src"), F.col("policy").alias("policy_id"))
+    governs = governs.join(edge.select("src").distinct(), "src", "left_semi")
+    arn = lambda end, name: nodes.select(F.col("id").alias(end), F.col("arn").alias(name))
     ways = edge.join(governs, "src").join(arn("src", "own"), "src").unionByName(edge.withColumn("policy_id", F.col("src")).withColumn("own", F.lit(None).cast("string")))
     full = ways.join(arn("dst", "goal"), "dst").join(parts, "policy_id").where(action_matches(F.col("act"), F.col("pattern")) & _names(F.col("resource")))
     return full.select("src", "dst", "relation", "part", "own", "goal").distinct()

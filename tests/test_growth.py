@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import policy, reach, resync, vocabulary
+from gatelens.operators import policy, reach, repair, resync, vocabulary
 
 CONTEXT = "map<string, array<string>>"
 
@@ -68,3 +68,12 @@ def test_touched_edges_are_no_pairs_with_policies(spark):
     changed = spark.range(30).select(F.concat(F.lit("p"), "id").alias("policy_id"))
     got = resync.touched(e, changed, changed.limit(0)).collect()
     assert len(got) == 31 and ("u0", "q", "AssumesRole") in {tuple(r) for r in got}
+
+
+def test_supports_ask_only_for_the_edges_sources(spark):
+    e = _group(spark, 300, 200)
+    cuts = spark.createDataFrame([("u7", "r", "ActsOn", ["a:get"])], "src string, dst string, relation string, actions array<string>")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("arn", F.col("id"))
+    parts = repair.policy_parts(_statements(spark, 200).withColumn("resource", F.array(F.lit("r"))))
+    found = repair.edge_supports(cuts, parts, nodes, e)
+    assert found.count() == sum(i % 3 > 0 for i in range(200))
