@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import policy, reach, repair, resync, vocabulary
+from gatelens.operators import masking, policy, reach, repair, resync, vocabulary
 
 CONTEXT = "map<string, array<string>>"
 
@@ -77,3 +77,19 @@ def test_supports_ask_only_for_the_edges_sources(spark):
     parts = repair.policy_parts(_statements(spark, 200).withColumn("resource", F.array(F.lit("r"))))
     found = repair.edge_supports(cuts, parts, nodes, e)
     assert found.count() == sum(i % 3 > 0 for i in range(200))
+
+
+def test_negatives_are_numbered_in_ranges(spark, monkeypatch):
+    n, e = _roles(spark)
+    windows, real = [], masking.Window.partitionBy
+    monkeypatch.setattr(masking.Window, "partitionBy", staticmethod(lambda *c: windows.append(c) or real(*c)))
+    monkeypatch.setattr(masking.Window, "orderBy", staticmethod(lambda *c: windows.append(c) or real().orderBy(*c)))
+    got = masking.negatives(e, n, "AssumesRole", "User", "Role").collect()
+    # the ranges' counts, one row each, are the only rows that a window without a range gets
+    assert len(got) == 8 and windows and all("_range" in w for w in windows)
+    assert not {(r["src"], r["dst"]) for r in got} & {(f"u{i}", f"r{i}") for i in range(8)}
+
+
+def _roles(spark):
+    n = spark.createDataFrame([(f"u{i}", "User", "d", False, False) for i in range(8)] + [(f"r{i}", "Role", "de"[i % 2], False, i > 5) for i in range(8)], "id string, node_type string, department string, is_high_value boolean, is_admin boolean")
+    return n, spark.createDataFrame([(f"u{i}", f"r{i}", "AssumesRole") for i in range(8)], "src string, dst string, relation string")
