@@ -93,3 +93,10 @@ def test_negatives_are_numbered_in_ranges(spark, monkeypatch):
 def _roles(spark):
     n = spark.createDataFrame([(f"u{i}", "User", "d", False, False) for i in range(8)] + [(f"r{i}", "Role", "de"[i % 2], False, i > 5) for i in range(8)], "id string, node_type string, department string, is_high_value boolean, is_admin boolean")
     return n, spark.createDataFrame([(f"u{i}", f"r{i}", "AssumesRole") for i in range(8)], "src string, dst string, relation string")
+
+
+def test_governing_policies_are_counted_by_owner(spark):
+    e = _group(spark, 20, 30).unionByName(spark.createDataFrame([("u0", "a", "AttachedWith"), ("u0", "h", "MemberOf"), ("h", "p0", "AttachedWith"), ("lone", "h", "MemberOf")], "src string, dst string, relation string"))
+    want = policy.governing_policies(e).groupBy("principal").agg(F.count("*").alias("n"), F.min("policy").alias("first"))
+    got = {tuple(r) for r in policy.governing_counts(e).collect()}
+    assert got == {tuple(r) for r in want.collect()} and ("u0", 32, "a") in got and ("lone", 1, "p0") in got
