@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.operators.graph import weak_components
-from gatelens.operators.reach import useful, world_paths
+from gatelens.operators.reach import ends_of, useful, world_paths
 from gatelens.plans.steps import step
 
 #: What floating-point sums of costs may differ by.
@@ -171,7 +171,7 @@ def exact_cuts(paths: DataFrame, actions: DataFrame, scope_cost: float, remove_c
 # --- over a graph ----------------------------------------------------------------
 
 
-def cheapest_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options: DataFrame, samples: int, used: DataFrame | None = None) -> DataFrame | None:
+def cheapest_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tuple[DataFrame, DataFrame], options: DataFrame, samples: int, used: DataFrame | None = None) -> DataFrame | None:
     """(option, cost): the cheapest options after which no pair is connected in any world; None where there is no such set.
 
     The arguments are those of ``repair.greedy_cuts``: observed (src, dst) edges are in every world, worlds (sample_id,
@@ -181,7 +181,7 @@ def cheapest_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, optio
     key = ["src", "dst"]
     if used is not None:
         options = options.join(options.join(used.select(*key).distinct(), key, "left_semi").select("option").distinct(), "option", "left_anti")
-    ends = [step(pair.select(F.col(c).alias("id")).distinct()) for c in ("source", "target")]
+    ends = ends_of(pair)
     flat = step(observed.select(*key).unionByName(worlds.select(*key)).distinct())
     ahead = useful(flat, ends[1], None).withColumnRenamed("node", "dst")
     behind = useful(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends[0], None).withColumnRenamed("node", "src")
@@ -194,7 +194,7 @@ def cheapest_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, optio
     while True:
         gone = step(opts.join(chosen.select("option"), "option", "left_semi").select(*key).distinct())
         left = world_paths(o.join(gone, key, "left_anti"), w.join(gone, key, "left_anti"), *ends, samples, None)
-        open_ = left.join(pair.select("source", "target").distinct(), ["source", "target"], "left_semi").select("path").distinct()
+        open_ = (left if isinstance(pair, tuple) else left.join(pair.select("source", "target").distinct(), ["source", "target"], "left_semi")).select("path").distinct()
         n = F.split("path", ">")
         legs = open_.select("path", F.explode(F.arrays_zip(F.slice(n, F.lit(1), F.size(n) - 1).alias("src"), F.slice(n, F.lit(2), F.size(n) - 1).alias("dst"))).alias("e")).select("path", "e.*")
         anew = legs.join(opts.select("option", *key), key, "left").groupBy("path").agg(F.collect_set("option").alias("options"))

@@ -45,6 +45,11 @@ def useful(edges: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame
     return seen
 
 
+def ends_of(pair: DataFrame | tuple[DataFrame, DataFrame]) -> list[DataFrame]:
+    """The sources and the targets (id) of pairs (source, target), or of two tables of which each is asked with each."""
+    return [step(x.select("id").distinct()) for x in pair] if isinstance(pair, tuple) else [step(pair.select(F.col(c).alias("id")).distinct()) for c in ("source", "target")]
+
+
 def _backwards(sources: DataFrame, targets: DataFrame) -> bool:
     return targets.select("id").distinct().count() < sources.select("id").distinct().count()
 
@@ -103,22 +108,15 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int |
     return hit.select(*world, *_ends(back), "hops", *(["path"] if paths else []))
 
 
-def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
-    """(source, target, hits): in how many of the worlds 0 to samples - 1 a target is in reach, where it is in any.
-
-    shared: (src, dst) edges of every world; worlds: (sample_id, src, dst) edges of single ones. A row of the frontier
-    stands for all worlds of a chunk of ``WORLD_BITS``, one bit each, so neither edges nor rows multiply by the samples.
-    """
-    back = _backwards(sources, targets)
-    if back:
-        sources, targets = targets, sources
-    shared, worlds = _turned(shared, back), _turned(worlds, back)
-    flat = shared.select("src", "dst").unionByName(worlds.select("src", "dst"))
-    alive = useful(flat, targets, depth).withColumnRenamed("node", "dst")
-    common = step(shared.select(F.col("src").alias("node"), "dst").distinct().join(alive, "dst", "left_semi").select("node", "dst"))
+def world_bits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame | None, samples: int, depth: int | None = 8) -> DataFrame:
+    """(chunk, source, node, mask): the worlds of a chunk in which a node is reached, a bit in one row only; what leads to no target is left out, if any are given."""
+    common = shared.select(F.col("src").alias("node"), "dst").distinct()
     bit = F.expr(f"shiftleft(1L, cast(sample_id % {WORLD_BITS} as int))")
     masks = worlds.groupBy((F.floor(F.col("sample_id") / WORLD_BITS)).cast("int").alias("chunk"), F.col("src").alias("node"), "dst").agg(F.bit_or(bit).alias("own"))
-    own = step(masks.join(alive, "dst", "left_semi").select("chunk", "node", "dst", "own"))
+    if targets is not None:
+        alive = useful(shared.select("src", "dst").unionByName(worlds.select("src", "dst")), targets, depth).withColumnRenamed("node", "dst")
+        common, masks = common.join(alive, "dst", "left_semi"), masks.join(alive, "dst", "left_semi")
+    common, own = step(common.select("node", "dst")), step(masks.select("chunk", "node", "dst", "own"))
     full = [(k, -1 if samples - k * WORLD_BITS >= WORLD_BITS else (1 << (samples - k * WORLD_BITS)) - 1) for k in range(-(-samples // WORLD_BITS))]
     chunks = shared.sparkSession.createDataFrame(full, "chunk int, mask long")
     begin = own.select("node").unionByName(common.select("node")).distinct()
@@ -135,6 +133,20 @@ def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets
         if not n:
             break
         seen = _grown(seen, front, hop)
+    return seen
+
+
+def world_hits(shared: DataFrame, worlds: DataFrame, sources: DataFrame, targets: DataFrame, samples: int, depth: int | None = 8) -> DataFrame:
+    """(source, target, hits): in how many of the worlds 0 to samples - 1 a target is in reach, where it is in any.
+
+    shared: (src, dst) edges of every world; worlds: (sample_id, src, dst) edges of single ones. A row of the frontier
+    stands for all worlds of a chunk of ``WORLD_BITS``, one bit each, so neither edges nor rows multiply by the samples.
+    """
+    back = _backwards(sources, targets)
+    if back:
+        sources, targets = targets, sources
+    shared, worlds = _turned(shared, back), _turned(worlds, back)
+    seen = world_bits(shared, worlds, sources, targets, samples, depth)
     hit = seen.where("node <> source").join(targets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     # a world's bit is new only once for a node, so bits add up over the rounds
     return hit.groupBy(*_ends(back)).agg(F.sum(F.bit_count("mask")).alias("hits"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from abc import ABC, abstractmethod
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
 from gatelens.operators.capability import validate
 from gatelens.operators.policy import governed_matches, governing_policies, matches, principal_matches
-from gatelens.operators.reach import has_path, useful
+from gatelens.operators.reach import WORLD_BITS, ends_of, has_path, useful, world_bits
 from gatelens.operators.resync import IMPLIED, synchronize
 from gatelens.operators.uncertain import attack_risk
 from gatelens.plans.steps import step
@@ -91,13 +92,14 @@ def evidenced_resources(events: DataFrame, statements: DataFrame, target: str) -
     return used.where((F.col("resource_arn") != target) & (F.col("resource_arn") != "*")).groupBy("sid").agg(F.array_sort(F.collect_set("resource_arn")).alias("resources"))
 
 
-def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options: DataFrame, samples: int, delta: float = 0.0, most: int = 20, used: DataFrame | None = None) -> DataFrame:
-    """(step, option, cost, risk): the options taken in turn until the risk of every pair is at most delta.
+def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tuple[DataFrame, DataFrame], options: DataFrame, samples: int, delta: float = 0.0, most: int = 20, used: DataFrame | None = None) -> DataFrame:
+    """(step, option, cost, risk): the options taken in turn until the mean risk of the pairs is at most delta.
 
     options: (option, cost, src, dst, edges that it cuts), and maybe ``scoping``, which raises an option's score by a
-    tenth. used: (src, dst) edges that the workload's log needs; options that cut one of them are not admitted. Each
-    round evaluates every option that is left, ``OPTION_BLOCK`` or so in one reachability pass, with the option in the
-    world's key, and takes the largest fall in risk per cost; ties go to the option that sorts first.
+    tenth. used: (src, dst) edges that the workload's log needs; options that cut one of them are not admitted. pair: rows
+    (source, target), or two tables (id) of sources and targets, of which each is asked with each other. Each round takes the
+    largest fall in risk per cost over all options; ties go to the option that sorts first. What each option would cut off is found once
+    for each source, from the edges that the source reaches (``_cut_off``); a round finds it again for sources of which an edge went.
     """
     spark, taken = observed.sparkSession, []
     key = ["src", "dst"]
@@ -105,37 +107,105 @@ def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame, options
         broken = options.join(used.select(*key).distinct(), key, "left_semi").select("option").distinct()
         options = options.join(broken, "option", "left_anti")
     weight = F.when(F.col("scoping"), 1.1).otherwise(1.0) if "scoping" in options.columns else F.lit(1.0)
-    # only edges on some way from a pair's source to a pair's target can change a risk; the others would be copied in vain
+    # only edges on some way from a pair's source to a pair's target can change a risk; the others would be looked at in vain
+    ends = ends_of(pair)
     flat = step(observed.select(*key).unionByName(worlds.select(*key)).distinct())
-    ahead = useful(flat, pair.select(F.col("target").alias("id")), None).withColumnRenamed("node", "dst")
-    behind = useful(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pair.select(F.col("source").alias("id")), None).withColumnRenamed("node", "src")
+    ahead = useful(flat, ends[1], None).withColumnRenamed("node", "dst")
+    behind = useful(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends[0], None).withColumnRenamed("node", "src")
     live = step(flat.join(ahead, "dst", "left_semi").join(behind, "src", "left_semi").select(*key))
     opts = step(options.join(live, key, "left_semi").select("option", F.col("cost").cast("double").alias("cost"), weight.alias("weight"), *key))
-    names = opts.groupBy("option").agg(F.max("cost").alias("cost"), F.max("weight").alias("weight"))
-    blocks = -(-names.count() // OPTION_BLOCK)
-    left = step(names.withColumn("block", F.pmod(F.xxhash64("option"), F.lit(max(1, blocks)))))
+    names = step(opts.groupBy("option").agg(F.max("cost").alias("cost"), F.max("weight").alias("weight")))
     o, w = step(observed.select(*key).distinct().join(live, key, "left_semi")), step(worlds.select("sample_id", *key).distinct().join(live, key, "left_semi"))
-    every = spark.range(samples).select(F.col("id").cast("int").alias("sample_id"))
-    risk, asked = _mean_risk(o, w, pair, samples), pair.count()
+    asked = ends[0].count() * ends[1].count() - ends[0].join(ends[1], "id", "left_semi").count() if isinstance(pair, tuple) else pair.count()
+    goals = ends[1].select(F.col("id").alias("dst")) if isinstance(pair, tuple) else pair.select("source", F.col("target").alias("dst")).distinct()
+    met = step(_met(o, w, goals, ends[0], opts, samples))
+    cut = step(met.groupBy("source").applyInPandas(_cut_off, CUT_OFF))
+    hits = cut.where("option is null").agg(F.sum("n")).collect()[0][0] or 0
+    risk = hits / samples / asked if asked else 0.0
     while risk > delta and len(taken) < most:
-        base = step(o.crossJoin(F.broadcast(every)).select("sample_id", *key).unionByName(w).distinct())
-        best = None
-        for b in range(blocks):
-            some = left.where(F.col("block") == b)
-            spec = base.crossJoin(some.select("option")).join(opts.select("option", *key), ["option", *key], "left_anti")
-            first = _first(spec, pair, some, risk, samples, asked)
-            if first and (best is None or (-first[0]["score"], first[0]["option"]) < (-best["score"], best["option"])):
-                best = first[0]
-        if best is None:
+        h = F.lit(hits) - F.col("n")
+        left_risk = h / samples / asked
+        found = names.join(cut.where("option is not null").groupBy("option").agg(F.sum("n").alias("n")), "option").withColumn("h", h).withColumn("risk", left_risk).where(F.lit(risk) - F.col("risk") > 1e-6)
+        best = found.select("option", "cost", "h", "risk", ((F.lit(risk) - F.col("risk")) / F.col("cost") * F.col("weight")).alias("score")).orderBy(F.desc("score"), "option").limit(1).collect()
+        if not best:
             break
-        risk = best["risk"]
-        taken.append((len(taken) + 1, best["option"], float(best["cost"]), float(risk)))
-        gone = opts.where(F.col("option") == best["option"]).select(*key)
-        o, w = step(o.join(gone, key, "left_anti")), step(w.join(gone, key, "left_anti"))
-        left = step(left.where(F.col("option") != best["option"]))
+        hits, risk = best[0]["h"], best[0]["risk"]
+        taken.append((len(taken) + 1, best[0]["option"], float(best[0]["cost"]), float(risk)))
+        gone = F.broadcast(opts.where(F.col("option") == best[0]["option"]).select(*key))
+        touched = step(met.join(gone, key, "left_semi").select("source").distinct())
+        again = met.join(touched, "source", "left_semi").join(gone, key, "left_anti")
+        cut = step(cut.join(touched, "source", "left_anti").unionByName(again.groupBy("source").applyInPandas(_cut_off, CUT_OFF)))
+        met = step(met.join(gone, key, "left_anti"))
     return spark.createDataFrame(taken, "step int, option string, cost double, risk double")
 
 
+CUT_OFF = "source string, option string, n long"
+
+
+def _met(observed: DataFrame, worlds: DataFrame, goals: DataFrame, sources: DataFrame, opts: DataFrame, samples: int) -> DataFrame:
+    """(source, src, dst, masks, options, goal): the edges that a source reaches, the worlds where it does as bits of each chunk's
+    mask, the options that cut the edge, and whether its end is a target of the source."""
+    bit = F.expr(f"shiftleft(1L, cast(sample_id % {WORLD_BITS} as int))")
+    single = worlds.groupBy(F.floor(F.col("sample_id") / WORLD_BITS).cast("int").alias("chunk"), F.col("src").alias("node"), "dst").agg(F.bit_or(bit).alias("own"))
+    chunks = observed.sparkSession.range(-(-samples // WORLD_BITS)).select(F.col("id").cast("int").alias("chunk"))
+    every = observed.crossJoin(F.broadcast(chunks)).select("chunk", F.col("src").alias("node"), "dst", F.lit(-1).cast("long").alias("own"))
+    links = step(every.unionByName(single.select("chunk", "node", "dst", "own")).groupBy("chunk", "node", "dst").agg(F.bit_or("own").alias("own")))
+    at = world_bits(observed, worlds, sources, None, samples, None).groupBy("chunk", "source", "node").agg(F.bit_or("mask").alias("mask"))
+    legs = at.join(links, ["chunk", "node"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("own"))).where("mask <> 0")
+    masks = F.map_from_entries(F.collect_list(F.struct("chunk", "mask")))
+    legs = legs.groupBy("source", F.col("node").alias("src"), "dst").agg(masks.alias("masks"))
+    legs = legs.withColumn("masks", F.transform(F.sequence(F.lit(0), F.lit(-(-samples // WORLD_BITS) - 1)), lambda k: F.coalesce(F.element_at("masks", k), F.lit(0).cast("long"))))
+    legs = legs.join(opts.groupBy("src", "dst").agg(F.collect_set("option").alias("options")), ["src", "dst"], "left")
+    marked = legs.join(goals.withColumn("goal", F.lit(True)), goals.columns, "left")
+    goal = F.coalesce("goal", F.lit(False)) & (F.col("source") != F.col("dst"))
+    return marked.select("source", "src", "dst", "masks", F.coalesce("options", F.array().cast("array<string>")).alias("options"), goal.alias("goal"))
+
+
+def _cut_off(rows: pd.DataFrame) -> pd.DataFrame:
+    """(source, option, n): in how many worlds, over all its targets, an option cuts a source off; without option, in how many it reaches them.
+
+    An option cuts off a node where it cuts off, or cuts the edge from, each node before it: sets of options are bits,
+    and start from all until nothing changes.
+    """
+    source = rows["source"].iloc[0]
+    names = sorted({x for o in rows["options"] for x in o})
+    place = {x: i for i, x in enumerate(names)}
+    ids = {x: i for i, x in enumerate(dict.fromkeys([source, *rows["src"], *rows["dst"]]))}
+    goals = {ids[x] for x in rows["dst"][rows["goal"]]}
+    by_world: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    for a, b, masks, options in zip(rows["src"], rows["dst"], rows["masks"], rows["options"], strict=True):
+        leg = ids[b], sum(1 << place[x] for x in options)
+        for chunk, mask in enumerate(masks):
+            mask = int(mask) & (1 << WORLD_BITS) - 1
+            while mask:
+                low = mask & -mask
+                mask ^= low
+                by_world.setdefault(chunk * WORLD_BITS + low.bit_length() - 1, {}).setdefault(ids[a], []).append(leg)
+    reached, lost = 0, [0] * len(names)
+    for out in by_world.values():
+        cut, queue, waiting = {0: 0}, deque([0]), {0}
+        while queue:
+            u = queue.popleft()
+            waiting.discard(u)
+            for v, own in out.get(u, ()):
+                was = cut.get(v)
+                now = cut[u] | own if was is None else was & (cut[u] | own)
+                if now != was:
+                    cut[v] = now
+                    if v not in waiting:
+                        waiting.add(v)
+                        queue.append(v)
+        for v in goals & cut.keys():
+            reached += 1
+            bits = cut[v]
+            while bits:
+                low = bits & -bits
+                lost[low.bit_length() - 1] += 1
+                bits ^= low
+    found = [(source, None, reached), *((source, names[i], n) for i, n in enumerate(lost) if n)]
+    return pd.DataFrame(found, columns=["source", "option", "n"])
+
+
 def _first(spec: DataFrame, pair: DataFrame, some: DataFrame, risk: float, samples: int, asked: int) -> list:
     """The best of some options (option, cost, weight), or none that helps; spec: (option, sample_id, src, dst) with it taken."""
     hits = has_path(spec.select("option", "sample_id", "src", "dst"), pair, ["option", "sample_id"]).groupBy("option").agg(F.count("*").alias("h"))

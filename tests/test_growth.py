@@ -100,3 +100,76 @@ def test_governing_policies_are_counted_by_owner(spark):
     want = policy.governing_policies(e).groupBy("principal").agg(F.count("*").alias("n"), F.min("policy").alias("first"))
     got = {tuple(r) for r in policy.governing_counts(e).collect()}
     assert got == {tuple(r) for r in want.collect()} and ("u0", 32, "a") in got and ("lone", 1, "p0") in got
+
+
+def _ladder(spark, n):
+    """Sources in a chain to t, which only the last has an edge to; all edges are in each of two worlds, but one."""
+    rows = [(k, f"a{i}", f"a{i + 1}" if i < n - 1 else "t") for i in range(n) for k in range(2) if (k, i) != (1, 0)]
+    worlds = spark.createDataFrame(rows, "sample_id int, src string, dst string")
+    pair = worlds.select(F.col("src").alias("source"), F.lit("t").alias("target")).distinct()
+    return worlds, pair, worlds.select(F.concat_ws("|", "src", "dst").alias("option"), F.lit(1.0).alias("cost"), "src", "dst").distinct()
+
+
+def test_greedy_cuts_copy_no_edges_by_option_or_world(spark, monkeypatch):
+    worlds, pair, options = _ladder(spark, 4)
+    shared = spark.createDataFrame([(f"x{i}", f"a{i % 4}") for i in range(20)], "src string, dst string")
+    pair = pair.unionByName(shared.select(F.col("src").alias("source"), F.lit("t").alias("target")))
+    held, real = [], repair.step
+
+    def noted(df):
+        out = real(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(repair, "step", noted)
+    got = [tuple(r) for r in repair.greedy_cuts(shared, worlds, pair, options, 40).collect()]
+    assert got == [(1, "a3|t", 1.0, 0.0)]
+    assert max(held) <= 5 * 24  # the edges that each source reaches, not edges by worlds
+
+
+def test_greedy_cuts_by_ends_and_by_pairs_equal_trying_each(spark):
+    import random
+
+    draw = random.Random(5)
+    nodes = [f"n{i}" for i in range(9)]
+    each = sorted({(draw.choice(nodes), draw.choice(nodes)) for _ in range(26)})
+    each = [(a, b) for a, b in each if a != b]
+    shared, samples = each[:4], 70
+    worlds = [(k, *e) for k in range(samples) for e in each[4:] if draw.random() < 0.6]
+    options = {f"o{i}": set(draw.sample(each, 1 + i % 2)) for i in range(10)}
+    sources, targets = nodes[:5], nodes[4:]
+
+    def hits(gone):
+        n = 0
+        for k in range(samples):
+            out = {}
+            for a, b in set(shared) | {(a, b) for i, a, b in worlds if i == k}:
+                if (a, b) not in gone:
+                    out.setdefault(a, []).append(b)
+            for s in sources:
+                seen, todo = {s}, [s]
+                while todo:
+                    for v in out.get(todo.pop(), []):
+                        if v not in seen:
+                            seen.add(v)
+                            todo.append(v)
+                n += len((seen - {s}) & set(targets))
+        return n
+
+    asked, gone, want = 24, set(), []
+    risk = hits(gone) / samples / asked
+    while True:
+        falls = [(-(risk - hits(gone | cut) / samples / asked) / (1 + int(o[1:]) % 3), o) for o, cut in options.items()]
+        fall, best = min(falls)
+        if -fall <= 1e-6:
+            break
+        gone |= options[best]
+        risk = hits(gone) / samples / asked
+        want.append((best, round(risk, 9)))
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    pair = spark.createDataFrame([(s, t) for s in sources for t in targets if s != t], "source string, target string")
+    o, w = spark.createDataFrame(shared, "src string, dst string"), spark.createDataFrame(worlds, "sample_id int, src string, dst string")
+    opts = spark.createDataFrame([(n, float(1 + int(n[1:]) % 3), a, b) for n, cut in options.items() for a, b in cut], "option string, cost double, src string, dst string")
+    for asks in (pair, (ids(sources), ids(targets))):
+        got = repair.greedy_cuts(o, w, asks, opts, samples).orderBy("step").collect()
+        assert len(want) > 2 and [(r["option"], round(r["risk"], 9)) for r in got] == want
