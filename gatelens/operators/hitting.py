@@ -189,18 +189,22 @@ def cheapest_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tupl
     o, w = step(observed.select(*key).distinct().join(live, key, "left_semi")), step(worlds.select("sample_id", *key).distinct().join(live, key, "left_semi"))
     opts = step(options.select("option", F.col("cost").cast("double").alias("cost"), *key).join(live, key, "left_semi"))
     costs = opts.groupBy("option").agg(F.max("cost").alias("cost"))
-    rows = None
+    rows, depth = None, 1
     chosen = o.sparkSession.createDataFrame([], CHOSEN)
     while True:
         gone = step(opts.join(chosen.select("option"), "option", "left_semi").select(*key).distinct())
-        left = world_paths(o.join(gone, key, "left_anti"), w.join(gone, key, "left_anti"), *ends, samples, None)
+        left = world_paths(o.join(gone, key, "left_anti"), w.join(gone, key, "left_anti"), *ends, samples, depth)
         open_ = (left if isinstance(pair, tuple) else left.join(pair.select("source", "target").distinct(), ["source", "target"], "left_semi")).select("path").distinct()
         n = F.split("path", ">")
         legs = open_.select("path", F.explode(F.arrays_zip(F.slice(n, F.lit(1), F.size(n) - 1).alias("src"), F.slice(n, F.lit(2), F.size(n) - 1).alias("dst"))).alias("e")).select("path", "e.*")
         anew = legs.join(opts.select("option", *key), key, "left").groupBy("path").agg(F.collect_set("option").alias("options"))
         anew = step(anew.select(F.col("path").alias("path_id"), F.explode_outer("options").alias("option")))
         if anew.isEmpty():
-            return chosen.select("option", "cost")
+            if depth is None:
+                return chosen.select("option", "cost")
+            # short paths first: what cuts them leaves few of the long ones
+            depth = 4 if depth == 1 else None
+            continue
         rows = anew if rows is None else step(rows.unionByName(anew).distinct())
         chosen = step(cheapest(rows, costs))
         if not chosen.where("not solved").isEmpty():

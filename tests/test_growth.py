@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import masking, policy, reach, repair, resync, vocabulary
+from gatelens.operators import hitting, masking, policy, reach, repair, resync, vocabulary
 
 CONTEXT = "map<string, array<string>>"
 
@@ -173,3 +173,17 @@ def test_greedy_cuts_by_ends_and_by_pairs_equal_trying_each(spark):
     for asks in (pair, (ids(sources), ids(targets))):
         got = repair.greedy_cuts(o, w, asks, opts, samples).orderBy("step").collect()
         assert len(want) > 2 and [(r["option"], round(r["risk"], 9)) for r in got] == want
+
+
+def test_exact_cuts_look_at_short_paths_first(spark, monkeypatch):
+    worlds, pair, options = _ladder(spark, 6)
+    found, real = [], hitting.world_paths
+
+    def noted(*a):
+        out = real(*a)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(hitting, "world_paths", noted)
+    got = [tuple(r) for r in hitting.cheapest_cuts(worlds.select("src", "dst").limit(0), worlds, pair, options, 2).collect()]
+    assert got == [("a5|t", 1.0)] and sum(found) == 1
