@@ -225,23 +225,45 @@ def severed(witnesses: DataFrame, edges: DataFrame) -> DataFrame:
     return witnesses.join(left, ["source", "target"], "left").withColumn("severed", F.col("still").isNull()).drop("still")
 
 
+def _maybe_cyclic(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node): all nodes of cycles, and maybe others; ends of edges that nothing comes to or goes on from are taken off in rounds."""
+    left, n = counted_step(edges)
+    for _ in range(rounds):
+        into, on = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        was = n
+        left, n = counted_step(left.join(into, "src", "left_semi").join(on, "dst", "left_semi").select("src", "dst"))
+        if n in (0, was):
+            break
+    return step(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 8, limit: int = 10) -> DataFrame:
-    """(source, target, path, n_hops): simple paths within cutoff, the first ``limit`` by length and then by text."""
-    alive = useful(edges, pairs.select(F.col("target").alias("id")).distinct(), cutoff)
-    pruned = step(edges.select("src", "dst").distinct().join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    front, found = step(pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("p"))), None
-    for _ in range(cutoff):
-        out = front.join(pruned.withColumnRenamed("src", "node"), "node").where(~F.array_contains("p", F.col("dst")))
-        front, n = counted_step(out.select("source", F.col("dst").alias("node"), F.array_append("p", F.col("dst")).alias("p")))
+    """(source, target, path, n_hops): simple paths within cutoff, the first ``limit`` by length and then by text.
+
+    Ways are walked back from the targets. A node on no cycle can't be met again before it, so whatever comes before it goes
+    with any way on from it, and the first ``limit`` of its ways to a target are all that are needed; other nodes keep all.
+    """
+    ends = [step(pairs.select(F.col(c).alias("id")).distinct()) for c in ("source", "target")]
+    flat = step(edges.select("src", "dst").where("src <> dst").distinct())
+    alive = useful(_turned(flat, True), ends[0], cutoff).withColumnRenamed("node", "src")
+    pruned = step(flat.join(alive, "src", "left_semi").select("src", "dst"))
+    cyclic = _maybe_cyclic(pruned, cutoff).withColumn("cyclic", F.lit(True))
+    seen = front = step(ends[1].select(F.col("id").alias("target"), F.col("id").alias("node"), F.col("id").alias("path"), F.array("id").alias("p"), F.lit(0).alias("n_hops"), F.lit(True).alias("cyclic")))
+    first = Window.partitionBy("target", "node").orderBy("path")
+    for hop in _hops(cutoff):
+        out = front.drop("cyclic").join(pruned.withColumnRenamed("dst", "node"), "node").where(~F.array_contains("p", F.col("src")))
+        out = out.select("target", F.col("src").alias("node"), F.concat("src", F.lit(">"), "path").alias("path"), F.concat(F.array("src"), "p").alias("p"), F.lit(hop).alias("n_hops"))
+        out = out.join(cyclic, "node", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).select(*seen.columns)
+        some = out.where("not cyclic").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit)
+        held = seen.where("not cyclic").groupBy("target", "node").agg(F.count("*").alias("_held"))
+        some = some.join(held, ["target", "node"], "left").where(F.col("_r") + F.coalesce("_held", F.lit(0)) <= limit)
+        front, n = counted_step(out.where("cyclic").unionByName(some.select(*seen.columns)))
         if not n:
             break
-        hit = front.join(pairs.select("source", F.col("target").alias("node")).distinct(), ["source", "node"], "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-    empty = pairs.select("source", "target", F.lit("").alias("path"), F.lit(0).alias("n_hops")).limit(0)
-    if found is None:
-        return empty
-    named = found.select("source", F.col("node").alias("target"), F.array_join("p", ">").alias("path"), (F.size("p") - 1).alias("n_hops"))
-    return named.withColumn("_r", F.row_number().over(Window.partitionBy("source", "target").orderBy("n_hops", "path"))).where(F.col("_r") <= limit).drop("_r")
+        seen = _grown(seen, front, hop)
+    found = seen.where("n_hops > 0").withColumnRenamed("node", "source").join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    best = Window.partitionBy("source", "target").orderBy("n_hops", "path")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).select("source", "target", "path", "n_hops")
 
 
 def ego(edges: DataFrame, centers: DataFrame, radius: int = 2, directed: bool = False) -> DataFrame:

@@ -187,3 +187,27 @@ def test_exact_cuts_look_at_short_paths_first(spark, monkeypatch):
     monkeypatch.setattr(hitting, "world_paths", noted)
     got = [tuple(r) for r in hitting.cheapest_cuts(worlds.select("src", "dst").limit(0), worlds, pair, options, 2).collect()]
     assert got == [("a5|t", 1.0)] and sum(found) == 1
+
+
+def test_simple_paths_hold_no_pair_of_a_user_and_a_policy(spark, monkeypatch):
+    e = _group(spark, 50, 40).unionByName(spark.createDataFrame([("c1", "c2", "P"), ("c2", "c1", "P"), ("c1", "g", "P"), ("c2", "p0", "P"), ("u0", "c1", "P")], "src string, dst string, relation string"))
+    pairs = e.where("src rlike '^[uc]'").select(F.col("src").alias("source"), F.lit("r").alias("target")).distinct()
+    known = {}
+    for r in e.collect():
+        known.setdefault(r["src"], set()).add(r["dst"])
+
+    def walk(p):
+        if p[-1] == "r":
+            yield p
+        elif len(p) <= 8:
+            for v in known.get(p[-1], ()):
+                if v not in p:
+                    yield from walk([*p, v])
+
+    want = set()
+    for s in [*(f"u{i}" for i in range(50)), "c1", "c2"]:
+        every = sorted((len(p) - 1, ">".join(p)) for p in walk([s]))
+        want |= {(s, "r", p, n) for n, p in every[:3]}
+    seen = _held(monkeypatch)
+    got = {tuple(r) for r in reach.simple_paths(e, pairs, 8, 3).collect()}
+    assert got == want and max(seen) <= 3 * 52 + 40 + 50
