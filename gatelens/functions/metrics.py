@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelens.plans.steps import step
+
 
 def _steps(df: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct score: positives and rows at it, cumulated from the highest score, and the totals."""
@@ -25,6 +27,20 @@ def pr_auc(df: DataFrame, by: list[str]) -> DataFrame:
     return s.groupBy(*by).agg(F.when(F.max("p") == 0, 0.0).when(F.max("p") == F.max("all"), 1.0).otherwise(ap).alias("pr_auc"))
 
 
+def pr_auc_in_ranges(df: DataFrame) -> float:
+    """The same of all rows as one group, however many: scores are cumulated in sorted ranges, and the ranges' sums, one row each."""
+    each = df.groupBy("score").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
+    ranged = step(each.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    sums = sums.select("_range", F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    falling = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    s = ranged.withColumn("ctp", F.sum("tp").over(falling)).withColumn("cn", F.sum("n").over(falling)).join(F.broadcast(sums), "_range")
+    won = F.try_divide(F.col("tp") * (F.col("ctp") + F.col("_tp")), F.col("cn") + F.col("_n"))
+    p, rows, ap = s.agg(F.sum("tp"), F.sum("n"), F.sum(won)).first()
+    return 0.0 if not p else 1.0 if p == rows else ap / p
+
+
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """Share of positive-negative pairs in order, ties one half; 0.5 with one class only."""
     s = _steps(df, by)

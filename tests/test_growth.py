@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gatelens.operators import hitting, masking, policy, reach, repair, resync, vocabulary
+from gatelens.functions import metrics
+from gatelens.operators import hitting, masking, policy, reach, repair, resync, training, vocabulary
 
 CONTEXT = "map<string, array<string>>"
 
@@ -211,3 +212,34 @@ def test_simple_paths_hold_no_pair_of_a_user_and_a_policy(spark, monkeypatch):
     seen = _held(monkeypatch)
     got = {tuple(r) for r in reach.simple_paths(e, pairs, 8, 3).collect()}
     assert got == want and max(seen) <= 3 * 52 + 40 + 50
+
+
+def test_training_holds_no_places_of_relations_that_do_not_come_to_a_node(spark, monkeypatch):
+    e = _group(spark, 40, 30)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    features = nodes.select("id", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.when(i == F.hash("id") % 20, 1.0).otherwise(i.cast("double") * 0)).alias("x"))
+    pairs = e.where("relation = 'MemberOf'").select(F.col("src").alias("u"), F.col("dst").alias("v"), "relation", F.lit(1).alias("y"), F.lit("train").alias("part"))
+    held, real = [], training.step
+
+    def noted(df):
+        out = real(df)
+        wide = [F.size(f.name) for f in df.schema if f.dataType.typeName() == "array"]
+        if wide and "x" not in df.columns:
+            held.append(out.agg(F.sum(sum(wide, F.lit(0)))).first()[0])
+        return out
+
+    monkeypatch.setattr(training, "step", noted)
+    config = training.Config(dim=4, bases=2)
+    graph = training.Graph.of(e, features, config)
+    training.gradients(graph, pairs, training.fresh(config, graph.width, ["MemberOf"]))
+    sparse = [f.name for f in graph.first.schema if f.dataType.typeName() == "array"]
+    assert "x" not in sparse  # the rows that each epoch reads are no full matrix rows
+    # own features and means, 72 nodes by at most 20 places of few ways; full rows would hold 72 * 11 * 20
+    assert graph.first.agg(F.sum(F.size(sparse[0]))).first()[0] < 72 * 20 and max(held) < 72 * 20
+
+
+def test_average_precision_in_ranges_is_that_of_one_group(spark):
+    rows = spark.range(3000).select((F.hash("id") % 3 == 0).cast("int").alias("y"), (F.abs(F.hash("id", F.lit(1))) % 700 / 7).alias("score"), F.lit(1).alias("g"))
+    for some in (rows, rows.where("y = 1"), rows.where("y = 0")):
+        assert abs(metrics.pr_auc_in_ranges(some) - metrics.pr_auc(some, ["g"]).first()["pr_auc"]) < 1e-12
+    assert metrics.pr_auc_in_ranges(rows.limit(0)) == 0.0
