@@ -91,6 +91,37 @@ def test_negatives_are_numbered_in_ranges(spark, monkeypatch):
     assert not {(r["src"], r["dst"]) for r in got} & {(f"u{i}", f"r{i}") for i in range(8)}
 
 
+def test_negatives_hold_only_the_nearest_draws_and_are_those_of_all(spark, monkeypatch):
+    import hashlib
+
+    users, roles, n_pos = 300, 50, 12
+    rows = [(f"u{i}", "User", "de"[i % 2], False, i % 7 == 0) for i in range(users)] + [(f"r{i}", "Role", "de"[i % 2], i % 5 == 0, False) for i in range(roles)]
+    n = spark.createDataFrame(rows, "id string, node_type string, department string, is_high_value boolean, is_admin boolean")
+    e = spark.createDataFrame([(f"u{i}", f"r{i}", "AssumesRole") for i in range(n_pos)], "src string, dst string, relation string")
+    u = lambda *k: int(hashlib.md5("|".join(("neg", "0", *k)).encode()).hexdigest()[:12], 16) / (1 << 48)
+    at = {r[0]: r for r in rows}
+    ids = sorted(r[0] for r in rows if r[1] == "Role")
+    every = {(a, ids[int(u(a, str(t)) * roles)]) for a in at if at[a][1] == "User" for t in range(1, 65)} - {(f"u{i}", f"r{i}") for i in range(n_pos)}
+    kind = lambda a, b: "up" if not at[a][4] and (at[b][3] or at[b][4]) else "same" if at[a][2] == at[b][2] else "cross"
+    held, real = [], masking.step
+
+    def noted(df):
+        out = real(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(masking, "step", noted)
+    for ratio in (1.0, 400.0):
+        k = round(n_pos * ratio)
+        seen, ranked = {}, []
+        for x, a, b in sorted((u(a, b), a, b) for a, b in every):
+            seen[kind(a, b)] = seen.get(kind(a, b), 0) + 1
+            ranked.append((seen[kind(a, b)] > round(k * dict(masking.STRATA)[kind(a, b)]), x, a, b))
+        got = {tuple(r) for r in masking.negatives(e, n, "AssumesRole", "User", "Role", ratio).collect()}
+        assert got == {(a, b, kind(a, b)) for _, _, a, b in sorted(ranked)[:k]} and len(got) == k
+        assert ratio > 1 or max(held) < len(every) / 10
+
+
 def _roles(spark):
     n = spark.createDataFrame([(f"u{i}", "User", "d", False, False) for i in range(8)] + [(f"r{i}", "Role", "de"[i % 2], False, i > 5) for i in range(8)], "id string, node_type string, department string, is_high_value boolean, is_admin boolean")
     return n, spark.createDataFrame([(f"u{i}", f"r{i}", "AssumesRole") for i in range(8)], "src string, dst string, relation string")
