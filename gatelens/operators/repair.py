@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 from abc import ABC, abstractmethod
 from collections import deque
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.globs import action_matches, any_action, any_resource, normal_action
 from gatelens.operators.capability import validate
+from gatelens.operators.graph import weak_components
 from gatelens.operators.policy import governed_matches, governing_policies, matches, principal_matches
 from gatelens.operators.reach import WORLD_BITS, ends_of, has_path, useful, world_bits
 from gatelens.operators.resync import IMPLIED, synchronize
@@ -21,6 +23,8 @@ from gatelens.plans.steps import step
 SCOPE_COST, REMOVE_COST = 1.0, 5.0
 #: Options evaluated in one reachability pass, about.
 OPTION_BLOCK = 1000
+#: Rows of a connected part (an edge that a source reaches is one) up to which one task searches it.
+PART_ROWS = 200_000
 
 
 class Edit(ABC):
@@ -92,14 +96,18 @@ def evidenced_resources(events: DataFrame, statements: DataFrame, target: str) -
     return used.where((F.col("resource_arn") != target) & (F.col("resource_arn") != "*")).groupBy("sid").agg(F.array_sort(F.collect_set("resource_arn")).alias("resources"))
 
 
-def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tuple[DataFrame, DataFrame], options: DataFrame, samples: int, delta: float = 0.0, most: int = 20, used: DataFrame | None = None) -> DataFrame:
-    """(step, option, cost, risk): the options taken in turn until the mean risk of the pairs is at most delta.
+def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tuple[DataFrame, DataFrame], options: DataFrame, samples: int, delta: float = 0.0, most: int | None = None, used: DataFrame | None = None) -> DataFrame:
+    """(step, option, cost, risk): the options taken in turn until the mean risk of the pairs is at most delta, or no option lessens it,
+    or ``most`` are taken, if that is given.
 
     options: (option, cost, src, dst, edges that it cuts), and maybe ``scoping``, which raises an option's score by a
     tenth. used: (src, dst) edges that the workload's log needs; options that cut one of them are not admitted. pair: rows
-    (source, target), or two tables (id) of sources and targets, of which each is asked with each other. Each round takes the
-    largest fall in risk per cost over all options; ties go to the option that sorts first. What each option would cut off is found once
-    for each source, from the edges that the source reaches (``_cut_off``); a round finds it again for sources of which an edge went.
+    (source, target), or two tables (id) of sources and targets, of which each is asked with each. Each turn takes the
+    largest fall in risk per cost over all options, however small; ties go to the option that sorts first. What each option would cut off
+    is found once for each source, from the edges that the source reaches (``_cut_off``), and again for sources of which an edge went.
+
+    Sources that share no option, directly or over others, don't touch each other: each connected part takes its options in turns of its
+    own, in one task up to ``PART_ROWS`` rows and in rounds over tables beyond, and of the parts' next options the best is taken.
     """
     spark, taken = observed.sparkSession, []
     key = ["src", "dst"]
@@ -119,24 +127,101 @@ def greedy_cuts(observed: DataFrame, worlds: DataFrame, pair: DataFrame | tuple[
     asked = ends[0].count() * ends[1].count() - ends[0].join(ends[1], "id", "left_semi").count() if isinstance(pair, tuple) else pair.count()
     goals = ends[1].select(F.col("id").alias("dst")) if isinstance(pair, tuple) else pair.select("source", F.col("target").alias("dst")).distinct()
     met = step(_met(o, w, goals, ends[0], opts, samples))
+    of, to = F.concat(F.lit("source:"), "source"), F.concat(F.lit("option:"), "option")
+    shared = step(met.select(of.alias("src"), F.explode("options").alias("option")).distinct().withColumn("dst", to))
+    ids = met.select(of.alias("id")).unionByName(shared.select(F.col("dst").alias("id"))).distinct()
+    parts = step(weak_components(ids, shared.select("src", "dst")).select("id", F.col("component").cast("string").alias("part")))
+    whole = met.withColumn("id", of).join(parts, "id").drop("id")
+    large = F.broadcast(step(whole.groupBy("part").count().where(F.col("count") > PART_ROWS).select("part")))
+    prices = step(names.withColumn("id", to).join(parts, "id").drop("id").join(large, "part", "left_anti"))
+    small = whole.join(large, "part", "left_anti").groupBy("part").cogroup(prices.groupBy("part"))
+    found = small.applyInPandas(lambda rows, priced: _in_part(rows, priced, most), IN_PART)
+    turns: dict[str, list[tuple]] = {}
+    hits = 0
+    for r in sorted(found.collect(), key=lambda r: (r["part"], r["turn"])):
+        if r["option"] is None:
+            hits += r["n"]
+        else:
+            turns.setdefault(r["part"], []).append((r["option"], r["cost"], r["score"], r["n"]))
+    if not large.isEmpty():
+        first, turns[""] = _in_rounds(step(whole.join(large, "part", "left_semi").drop("part")), names, opts, most)
+        hits += first
+    risk = hits / samples / asked if asked else 0.0
+    heads = [(-t[0][2], t[0][0], part, 0) for part, t in turns.items() if t]
+    heapq.heapify(heads)
+    while heads and risk > delta and (most is None or len(taken) < most):
+        _, option, part, at = heapq.heappop(heads)
+        hits -= turns[part][at][3]
+        risk = hits / samples / asked
+        taken.append((len(taken) + 1, option, float(turns[part][at][1]), float(risk)))
+        if at + 1 < len(turns[part]):
+            after = turns[part][at + 1]
+            heapq.heappush(heads, (-after[2], after[0], part, at + 1))
+    return spark.createDataFrame(taken, "step int, option string, cost double, risk double")
+
+
+def _in_rounds(met: DataFrame, names: DataFrame, opts: DataFrame, most: int | None) -> tuple[int, list[tuple]]:
+    """The worlds in which targets are reached, and (option, cost, score, n) of the options in their turns, found in jobs over tables."""
+    key, turns = ["src", "dst"], []
     cut = step(met.groupBy("source").applyInPandas(_cut_off, CUT_OFF))
     hits = cut.where("option is null").agg(F.sum("n")).collect()[0][0] or 0
-    risk = hits / samples / asked if asked else 0.0
-    while risk > delta and len(taken) < most:
-        h = F.lit(hits) - F.col("n")
-        left_risk = h / samples / asked
-        found = names.join(cut.where("option is not null").groupBy("option").agg(F.sum("n").alias("n")), "option").withColumn("h", h).withColumn("risk", left_risk).where(F.lit(risk) - F.col("risk") > 1e-6)
-        best = found.select("option", "cost", "h", "risk", ((F.lit(risk) - F.col("risk")) / F.col("cost") * F.col("weight")).alias("score")).orderBy(F.desc("score"), "option").limit(1).collect()
+    while most is None or len(turns) < most:
+        found = cut.where("option is not null").groupBy("option").agg(F.sum("n").alias("n")).join(names, "option").withColumn("score", F.col("n") / F.col("cost") * F.col("weight"))
+        best = found.orderBy(F.desc("score"), "option").limit(1).collect()
         if not best:
             break
-        hits, risk = best[0]["h"], best[0]["risk"]
-        taken.append((len(taken) + 1, best[0]["option"], float(best[0]["cost"]), float(risk)))
+        turns.append((best[0]["option"], best[0]["cost"], best[0]["score"], best[0]["n"]))
         gone = F.broadcast(opts.where(F.col("option") == best[0]["option"]).select(*key))
         touched = step(met.join(gone, key, "left_semi").select("source").distinct())
         again = met.join(touched, "source", "left_semi").join(gone, key, "left_anti")
         cut = step(cut.join(touched, "source", "left_anti").unionByName(again.groupBy("source").applyInPandas(_cut_off, CUT_OFF)))
         met = step(met.join(gone, key, "left_anti"))
-    return spark.createDataFrame(taken, "step int, option string, cost double, risk double")
+    return hits, turns
+
+
+IN_PART = "part string, turn int, option string, cost double, score double, n long"
+
+
+def _in_part(rows: pd.DataFrame, priced: pd.DataFrame, most: int | None) -> pd.DataFrame:
+    """The same for one part: a row without option for the worlds in which targets are reached, then a row a turn."""
+    if rows.empty:
+        return pd.DataFrame([], columns=["part", "turn", "option", "cost", "score", "n"])
+    part, price = rows["part"].iloc[0], {r.option: (float(r.cost), float(r.weight)) for r in priced.itertuples()}
+    legs = {source: list(zip(g["src"], g["dst"], g["masks"], map(tuple, g["options"]), g["goal"], strict=True)) for source, g in rows.groupby("source")}
+    holders: dict[str, set[str]] = {}
+    for source, mine in legs.items():
+        for leg in mine:
+            for x in leg[3]:
+                holders.setdefault(x, set()).add(source)
+    lost, total, out = {}, dict.fromkeys(holders, 0), [(part, 0, None, None, None, 0)]
+    for source, mine in legs.items():
+        reached, lost[source] = _lost(source, mine)
+        out[0] = (*out[0][:5], out[0][5] + reached)
+        for x, n in lost[source].items():
+            total[x] += n
+    entry = lambda x: (-(total[x] / price[x][0] * price[x][1]), x, total[x])
+    heap = [entry(x) for x, n in total.items() if n]
+    heapq.heapify(heap)
+    while heap and (most is None or len(out) <= most):
+        score, option, n = heapq.heappop(heap)
+        if n != total[option]:  # an entry of before; that of now is there too
+            continue
+        out.append((part, len(out), option, price[option][0], -score, n))
+        changed = set()
+        for source in holders[option]:
+            for x, was in lost[source].items():
+                total[x] -= was
+                changed.add(x)
+            legs[source] = [leg for leg in legs[source] if option not in leg[3]]
+            lost[source] = _lost(source, legs[source])[1]
+            for x, now in lost[source].items():
+                total[x] += now
+                changed.add(x)
+        holders[option] = set()
+        for x in changed:
+            if total[x]:
+                heapq.heappush(heap, entry(x))
+    return pd.DataFrame(out, columns=["part", "turn", "option", "cost", "score", "n"])
 
 
 CUT_OFF = "source string, option string, n long"
@@ -162,18 +247,24 @@ def _met(observed: DataFrame, worlds: DataFrame, goals: DataFrame, sources: Data
 
 
 def _cut_off(rows: pd.DataFrame) -> pd.DataFrame:
-    """(source, option, n): in how many worlds, over all its targets, an option cuts a source off; without option, in how many it reaches them.
+    """(source, option, n): in how many worlds, over all its targets, an option cuts a source off; without option, in how many it reaches them."""
+    source = rows["source"].iloc[0]
+    reached, lost = _lost(source, list(zip(rows["src"], rows["dst"], rows["masks"], rows["options"], rows["goal"], strict=True)))
+    return pd.DataFrame([(source, None, reached), *((source, x, n) for x, n in lost.items())], columns=["source", "option", "n"])
+
+
+def _lost(source: str, legs: list[tuple]) -> tuple[int, dict[str, int]]:
+    """In how many worlds a source reaches its targets, and for each option in how many it is cut off; legs: (src, dst, masks, options, goal).
 
     An option cuts off a node where it cuts off, or cuts the edge from, each node before it: sets of options are bits,
     and start from all until nothing changes.
     """
-    source = rows["source"].iloc[0]
-    names = sorted({x for o in rows["options"] for x in o})
+    names = sorted({x for leg in legs for x in leg[3]})
     place = {x: i for i, x in enumerate(names)}
-    ids = {x: i for i, x in enumerate(dict.fromkeys([source, *rows["src"], *rows["dst"]]))}
-    goals = {ids[x] for x in rows["dst"][rows["goal"]]}
+    ids = {x: i for i, x in enumerate(dict.fromkeys([source, *(x for leg in legs for x in leg[:2])]))}
+    goals = {ids[leg[1]] for leg in legs if leg[4]}
     by_world: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for a, b, masks, options in zip(rows["src"], rows["dst"], rows["masks"], rows["options"], strict=True):
+    for a, b, masks, options, _ in legs:
         leg = ids[b], sum(1 << place[x] for x in options)
         for chunk, mask in enumerate(masks):
             mask = int(mask) & (1 << WORLD_BITS) - 1
@@ -202,8 +293,7 @@ def _cut_off(rows: pd.DataFrame) -> pd.DataFrame:
                 low = bits & -bits
                 lost[low.bit_length() - 1] += 1
                 bits ^= low
-    found = [(source, None, reached), *((source, names[i], n) for i, n in enumerate(lost) if n)]
-    return pd.DataFrame(found, columns=["source", "option", "n"])
+    return reached, {names[i]: n for i, n in enumerate(lost) if n}
 
 
 def _first(spec: DataFrame, pair: DataFrame, some: DataFrame, risk: float, samples: int, asked: int) -> list:

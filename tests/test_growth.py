@@ -159,6 +159,33 @@ def test_greedy_cuts_copy_no_edges_by_option_or_world(spark, monkeypatch):
     assert max(held) <= 5 * 24  # the edges that each source reaches, not edges by worlds
 
 
+def test_greedy_cuts_go_on_until_no_risk_is_left_however_small_its_falls(spark):
+    n = 23
+    worlds = spark.createDataFrame([(k, f"a{i}", f"t{i}") for i in range(n) for k in range(2) if (k, i) != (1, 5)], "sample_id int, src string, dst string")
+    options = worlds.select(F.concat_ws("|", "src", "dst").alias("option"), F.lit(1.0).alias("cost"), "src", "dst").distinct()
+    # a fall is less than a millionth, as most pairs of a source and a target have no path
+    ends = [spark.range(2000).select(F.concat(F.lit(x), "id").alias("id")) for x in "at"]
+    none = worlds.select("src", "dst").limit(0)
+    got = [tuple(r) for r in repair.greedy_cuts(none, worlds, tuple(ends), options, 2).orderBy("step").collect()]
+    assert [r[1] for r in got] == [*sorted(f"a{i}|t{i}" for i in range(n) if i != 5), "a5|t5"] and got[-1][3] == 0.0 and got[-2][3] > 0.0
+    assert repair.greedy_cuts(none, worlds, tuple(ends), options, 2, most=4).count() == 4
+
+
+def test_greedy_cuts_by_parts_are_those_in_rounds(spark, monkeypatch):
+    import random
+
+    draw = random.Random(11)
+    rows = [(k, f"{g}{a}", f"{g}{b}") for g in "pqrs" for a, b in {tuple(sorted(draw.sample(range(6), 2))) for _ in range(9)} for k in range(8) if draw.random() < 0.7]
+    worlds = spark.createDataFrame(rows, "sample_id int, src string, dst string")
+    options = worlds.select(F.concat_ws("|", "src", "dst").alias("option"), (1.0 + F.length("src") + F.ascii("dst") % 3).alias("cost"), "src", "dst").distinct()
+    ends = [spark.createDataFrame([(f"{g}{i}",) for g in "pqrs" for i in some], "id string") for some in ((0, 1), (4, 5))]
+    taken = []
+    for bound in (200_000, 12, 0):
+        monkeypatch.setattr(repair, "PART_ROWS", bound)
+        taken.append([tuple(r) for r in repair.greedy_cuts(worlds.select("src", "dst").limit(0), worlds, tuple(ends), options, 8).orderBy("step").collect()])
+    assert taken[0] == taken[1] == taken[2] and taken[0][-1][3] == 0.0
+
+
 def test_greedy_cuts_by_ends_and_by_pairs_equal_trying_each(spark):
     import random
 
