@@ -134,6 +134,14 @@ def test_governing_policies_are_counted_by_owner(spark):
     assert got == {tuple(r) for r in want.collect()} and ("u0", 32, "a") in got and ("lone", 1, "p0") in got
 
 
+def test_governing_policies_of_owners_are_counted_with_inline_ones(spark):
+    e = _group(spark, 5, 3)
+    inline = spark.createDataFrame([("u0", "a"), ("u0", "a"), ("g", "b"), ("alone", "c")], "owner string, policy string")
+    want = policy.governing_policies(e, inline).groupBy("principal").agg(F.count("*").alias("n"), F.min("policy").alias("first"))
+    got = {tuple(r) for r in policy.governing_counts(e, inline).collect()}
+    assert got == {tuple(r) for r in want.collect()} and {("u0", 6, "a"), ("u1", 4, "b"), ("alone", 1, "c")} <= got
+
+
 def _ladder(spark, n):
     """Sources in a chain to t, which only the last has an edge to; all edges are in each of two worlds, but one."""
     rows = [(k, f"a{i}", f"a{i + 1}" if i < n - 1 else "t") for i in range(n) for k in range(2) if (k, i) != (1, 0)]
